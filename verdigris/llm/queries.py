@@ -77,7 +77,7 @@ with words as (
   union all
   select 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
 ), phrases as (
-  select id, least(len(w), 10) as size, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), i -> array_to_string(w[i:i + 9], ' '))) as phrase
+  select id, least(len(w), 10) as size, unnest(list_transform(range(1, greatest(len(w) - 10, 0) + 2), lambda i: array_to_string(w[i:i + 9], ' '))) as phrase
   from words where side = 'b' and len(w) > 0
 ), starts as (
   select id, size, unnest(range(1, len(w) - size + 2)) as i, w
