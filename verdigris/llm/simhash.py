@@ -5,10 +5,11 @@ Two fingerprints with at most 4 differing bits have a third within 2 bits of bot
 the ball is taken on two of them at a time: at most 2 of the 4 differing bits lie outside the part that differs
 most, so on the other two parts some variant is within 1 bit of both. That takes 131 rows, and loses no link.
 
-Distinct fingerprints are shuffled on their variants. A variant that few share has its pairs compared bit by
-bit. The fingerprints of a variant that more than ``CROWD`` share go to the whole 64-bit ball instead, where
-all that share a variant are linked by definition and each links to the smallest: no group's pairs are ever
-enumerated. Components are then found on the links, and the smallest doc_id names each.
+Distinct fingerprints are shuffled on their variants. A variant that at most ``CROWD`` share has its pairs
+compared bit by bit. A larger crowd is covered by pivots, which settles it unless pieces stay apart that could
+still be near; the members of an unsettled crowd go to the whole 64-bit ball, where all that share a variant
+are linked by definition and each links to the first. No group's pairs are ever enumerated. Components are
+then found on the links, and the smallest doc_id names each.
 
 A null text counts as empty; texts without words have fingerprint zero and link like any other. Rows with a
 null doc_id take part, but name a component only if no other row is in it (component_id is then null).
@@ -99,40 +100,117 @@ def variants(rows: DataFrame, radius: int, whole: bool) -> DataFrame:
     return rows.select("fp").mapInArrow(run, "key long, fp long")
 
 
-def pairs_of_runs(batches: Iterator[pa.RecordBatch], radius: int, crowd: int) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) among rows (key, fp) that come sorted by key; (a, null) for members of crowded keys."""
-    key, fp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+class SpanningLinks:
+    """Passes on a link only if it joins what earlier ones left apart; forgets what it saw beyond ``most`` nodes."""
+
+    def __init__(self, most: int = 500_000) -> None:
+        self.above: dict[int, int] = {}
+        self.most = most
+
+    def top(self, x: int) -> int:
+        above = self.above
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    def new(self, pairs: np.ndarray) -> np.ndarray:
+        """The rows of ``pairs`` that join two groups, larger member first."""
+        if len(self.above) > self.most:
+            self.above.clear()
+        kept = []
+        for a, b in pairs.tolist():
+            x, y = self.top(a), self.top(b)
+            if x != y:
+                self.above[max(x, y)] = min(x, y)
+                self.above.setdefault(min(x, y), min(x, y))
+                kept.append((max(a, b), min(a, b)))
+        return np.array(kept, dtype=np.int64).reshape(-1, 2)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of every a with every b."""
+    return np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64))
+
+
+def links_of_run(fp: np.ndarray, radius: int, crowd: int) -> np.ndarray | None:
+    """Links that connect all within ``radius`` among the rows of one key; None if that would take all pairs.
+
+    A crowded run is covered by pivots, to which all near are linked. If the pivots end in one piece, or in
+    pieces too far apart for any two rows of them to be near, those links are enough.
+    """
+    if len(fp) <= crowd:
+        i, j = np.nonzero(np.tril(distances(fp, fp) <= radius, -1))
+        return np.stack((fp[i], fp[j]), axis=1)
+    pivots, rest = [], fp
+    while len(rest):
+        if len(pivots) == crowd:
+            return None
+        pivots.append(rest[0])
+        rest = rest[np.bitwise_count((rest ^ rest[0]).view(np.uint64)) > radius]
+    pivot = np.array(pivots, dtype=np.int64)
+    near = distances(fp, pivot) <= radius
+    first = near.argmax(axis=1)
+    links = [np.stack((fp, pivot[first]), axis=1)]
+    piece = np.arange(len(pivot))
+    for k in range(1, len(pivot)):  # rows near two pivots join these
+        for j in np.unique(first[near[:, k] & (first != k)]):
+            row = np.flatnonzero(near[:, k] & (first == j))[0]
+            links.append(np.array([[fp[row], pivot[k]]], dtype=np.int64))
+            piece[piece == max(piece[j], piece[k])] = min(piece[j], piece[k])
+    apart = piece[:, None] != piece[None, :]
+    return None if (apart & (distances(pivot, pivot) <= 3 * radius)).any() else np.concatenate(links)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[list[np.ndarray]]:
+    """For each batch the fingerprints of keys with several rows, of rows (key, fp) sorted by key, run by run.
+
+    A run that reaches ``most`` rows is given in pieces of that size.
+    """
+    held, key = [np.zeros(0, dtype=np.int64)], None
     for batch in batches:
-        old = len(key)
-        key = np.concatenate((key, batch.column(0).to_numpy(zero_copy_only=False)))
-        fp = np.concatenate((fp, batch.column(1).to_numpy(zero_copy_only=False)))
-        links = [np.zeros((0, 2), dtype=np.int64)]
-        for step in range(1, crowd + 1):
-            at = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else []
-            if not len(at):
-                break
-            if step == crowd:
-                edge = np.zeros(len(key) + 1, dtype=np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + step + 1, -1)
-                crowded = np.unique(fp[np.cumsum(edge)[:-1] > 0])
-            else:
-                at = at[at + step >= old]
-                a, b = fp[at], fp[at + step]
-                near = (np.bitwise_count((a ^ b).view(np.uint64)) <= radius) & (a != b)
-                links.append(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1)[near])
-        else:
-            yield _links(crowded, None)
-        found = np.unique(np.concatenate(links), axis=0)
+        keys, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(keys):
+            continue
+        edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
+        runs = []
+        if keys[0] != key:
+            runs.append(np.concatenate(held))
+            held = []
+        sizes = np.diff(edges)
+        if len(sizes) > 1:
+            runs.append(np.concatenate([*held, fp[: edges[1]]]))
+            held = []
+            inner = np.flatnonzero(sizes[1:-1] > 1) + 1
+            runs += [fp[edges[k] : edges[k + 1]] for k in inner]
+        held.append(fp[edges[-2] :])
+        key = keys[-1]
+        if sum(map(len, held)) >= most:
+            runs.append(np.concatenate(held))
+            held = [np.zeros(0, dtype=np.int64)]
+        yield [np.unique(r) for r in runs if len(r) > 1]
+    yield [np.unique(np.concatenate(held))]
+
+
+def pairs_of_runs(batches: Iterator[pa.RecordBatch], radius: int, crowd: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) among rows (key, fp) that come sorted by key; (a, null) for members of unsettled crowds."""
+    spanning = SpanningLinks()
+    for runs in whole_runs(batches, most):
+        links, unsettled = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for fp in runs:
+            found = links_of_run(fp, radius, crowd) if len(fp) < most else None
+            if found is None:
+                unsettled.append(fp)
+            elif len(found):
+                links.append(found[found[:, 0] != found[:, 1]])
+        found = spanning.new(np.concatenate(links))
         yield _links(found[:, 0], found[:, 1])
-        # The last key may go on in the next batch.
-        tail = min(crowd, len(key) - int(np.searchsorted(key, key[-1]))) if len(key) else 0
-        key, fp = key[len(key) - tail :], fp[len(fp) - tail :]
+        yield _links(np.unique(np.concatenate(unsettled)), None)
 
 
 def stars_of_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links from every row of a key to the key's first, of rows (key, fp) that come sorted by key."""
-    head = None
+    head, spanning = None, SpanningLinks()
     for batch in batches:
         key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(key):
@@ -144,7 +222,7 @@ def stars_of_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
             center = np.where(key == key[0], head[1], center)
         head = (key[-1], center[-1])
         near = (np.bitwise_count((fp ^ center).view(np.uint64)) <= radius) & (fp != center)
-        found = np.unique(np.stack((np.maximum(fp, center), np.minimum(fp, center)), axis=1)[near], axis=0)
+        found = spanning.new(np.unique(np.stack((fp, center), axis=1)[near], axis=0))
         yield _links(found[:, 0], found[:, 1])
 
 
