@@ -116,6 +116,7 @@ class FMIndex:
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of right-aligned rows of symbols (0: none): bounds of the matching suffixes."""
         first, last = np.zeros(len(phrases), dtype=np.int64), np.full(len(phrases), len(self.bwt), dtype=np.int64)
+        last[(phrases >> self.levels).any(axis=1)] = 0  # a symbol beyond those of the sequence
         for column in reversed(range(phrases.shape[1])):
             live = np.flatnonzero((first < last) & (phrases[:, column] > 0))
             if not len(live):
