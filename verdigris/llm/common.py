@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from verdigris.functions.session import cut, ship_code
 
 #: Texts are handed to the Python helpers in slices of about so many UTF-8 bytes.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -89,14 +89,13 @@ def per_text(docs: DataFrame, helper: Callable[[list[str]], list], fields: str)
 def where_text(docs: DataFrame, decide: Callable[[list[str]], list]) -> DataFrame:
     """The rows of ``docs``, all columns, for which ``decide`` says true of the text (null: empty); no shuffle."""
     ship_code(docs.sparkSession)
-    rows = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "__text"):
-                yield part.filter(pa.array(decide(part.column("__text").to_pylist()), pa.bool_()))
+            for part in sliced(batch):
+                yield part.filter(pa.array(decide([t or "" for t in part.column("text").to_pylist()]), pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema).select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _ddl(fields: str):

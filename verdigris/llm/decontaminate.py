@@ -28,7 +28,7 @@ from verdigris.llm.common import sliced
 
 #: Words of a window, UTF-8 bytes of text in a shard, bytes of benchmark text in a broadcast, and the
 #: distance of sampled suffix positions.
-WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 8_000_000, 16_000_000, 8
+WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4_000_000, 16_000_000, 8
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Every byte that is in no word becomes a space; letters A-Z become lower case.

@@ -29,8 +29,9 @@ from verdigris.functions.session import ship_code
 from verdigris.llm.common import per_text, sliced
 from verdigris.llm.piece_model import NORMAL, SPACE, UNIGRAM, UNUSED, USER_DEFINED, PieceModel, chunks
 
-#: Threads of the library in a task, and the number of parts after which a worker's cache starts afresh.
-THREADS, CACHE = 1, 400_000
+#: Threads of the library in a task, the number of parts after which a worker's cache starts afresh, and the
+#: number of parts that the library encodes at once.
+THREADS, CACHE, AT_ONCE = 1, 100_000, 8192
 
 
 def merges_of(model: PieceModel) -> list[tuple[str, str]]:
@@ -101,12 +102,14 @@ class Codec:
 
     def learn(self, parts: list[str]) -> None:
         """Encode new parts, hold them against the library, decode them again."""
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        theirs = self.library.encode(parts)
-        back = self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
-        for part, mine, ids, text in zip(parts, ours, theirs, back):
-            want = part.replace(SPACE, " ") if self.cuts else part
-            self.known[part] = (array("I", ids).tobytes(), text == want, mine != ids)
+        for i in range(0, len(parts), AT_ONCE):
+            some = parts[i : i + AT_ONCE]
+            ours = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            theirs = self.library.encode(some)
+            back = self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
+            for part, mine, ids, text in zip(some, ours, theirs, back):
+                want = part.replace(SPACE, " ") if self.cuts else part
+                self.known[part] = (array("I", ids).tobytes(), text == want, mine != ids)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, int]]:
         """Ids, whether they decode to the text, and parts for which the library's ids were taken."""
@@ -165,13 +168,13 @@ def with_ids(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
     import pyarrow as pa
 
     ship_code(docs.sparkSession)
-    rows = docs.withColumns({"__text": F.coalesce(F.col("text").cast("string"), F.lit("")), "__ids": F.array().cast("array<int>")})
-    at = len(docs.columns) + 1
+    rows = docs.withColumn("__ids", F.array().cast("array<int>"))
+    at = len(docs.columns)
 
     def run(batches):
         for batch in batches:
-            for part in sliced(batch, "__text"):
-                ids = [ids for ids, _, _ in Codec.of(path, threads).encode(part.column("__text").to_pylist())]
+            for part in sliced(batch):
+                ids = [ids for ids, _, _ in Codec.of(path, threads).encode([t or "" for t in part.column("text").to_pylist()])]
                 yield part.set_column(at, part.schema.field(at), pa.array(ids, part.schema.field(at).type))
 
     made = rows.mapInArrow(run, rows.schema)

@@ -27,7 +27,7 @@ from verdigris.llm.piece_model import NORMAL, UNUSED, USER_DEFINED, PieceModel,
 
 LIMIT = 4096
 #: So many parts and pairs a worker keeps before it starts afresh.
-CACHE = 700_000
+CACHE = 500_000
 SHORT = (2, 1)
 
 
