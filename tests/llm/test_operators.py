@@ -282,3 +282,17 @@ def test_pipeline_stages(spark, data):
     assert decontaminate.contamination(made, bench).where("contaminated").count() == 0
     again = simhash.near_duplicates(made)
     assert again.count() == len(rows)
+
+
+def test_pipeline_stages_take_odd_rows_and_clashing_columns(spark, data):
+    import corpus_pipeline
+
+    docs = frame(spark, ODD, [None, 1, 2, 3, 4, 5, 6, 7, 8, 8]).selectExpr("doc_id", "text", "length(text) as n_chars", "key as ids", "fp as n_tokens", "n_words")
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            made = stage(spark, some, data)
+            rest = [c for c in some.columns if c not in ("ids", "n_tokens")]
+            assert made.columns == (rest + ["ids", "n_tokens"] if name == "sentencepiece" else some.columns)
+            assert made.count() <= some.count()
+        if name in ("line_dedup", "decontamination", "sentencepiece"):
+            assert stage(spark, docs, data).count() == len(ODD)

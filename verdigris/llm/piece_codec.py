@@ -164,10 +164,11 @@ def decode_pieces(encoded: DataFrame, path: str, threads: int = THREADS) -> Data
 
 
 def with_ids(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
-    """The rows and columns of ``docs`` with ids and n_tokens appended; no shuffle."""
+    """The rows and columns of ``docs`` with ids and n_tokens appended; no shuffle. Columns of those names are replaced."""
     import pyarrow as pa
 
     ship_code(docs.sparkSession)
+    docs = docs.drop("ids", "n_tokens", "__ids")
     rows = docs.withColumn("__ids", F.array().cast("array<int>"))
     at = len(docs.columns)
 

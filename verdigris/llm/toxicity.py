@@ -256,7 +256,7 @@ def document_features(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted and n_terms of every document."""
+    """doc_id, held_out, score and predicted of every document."""
     model = learn(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
