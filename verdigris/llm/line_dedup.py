@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.session import cut, ship_code
-from verdigris.llm.common import connected_components, document_key, sliced, texts_of
+from verdigris.llm.common import connected_components, document_key, let, sliced, texts_of
 
 TAU, LEAST_LINE, CROWD = 1, 20, 32
 #: Classes of characters that a line's signature counts, four bits each.
@@ -342,7 +342,11 @@ def deduplicate_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST_LINE,
     return keyed.join(gone, F.col("__key") == F.col("__gone"), "left").select(*docs.columns, "__dropped")
 
 
-def kept_text():
-    """The text without its dropped lines, as a column over ``deduplicate_lines``."""
-    lines = F.split(F.col("text"), "\n", -1)
-    return F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__dropped.number"), i)), "\n"))
+def kept_text() -> Column:
+    """The text without its dropped lines, as a column over ``deduplicate_lines``; linear in the lines."""
+
+    def kept(lines: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped.number"))
+        return F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+
+    return F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(let(F.split(F.col("text"), "\n", -1), kept))
