@@ -115,7 +115,7 @@ def _renumbered(patterns: list[str]) -> list[str]:
 
 
 def scan_secrets(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
-    """doc_id, the counts of each kind, base_sha256, n_entropy, spans and redacted text of every document."""
+    """doc_id, the counts of each kind, base_sha256, n_entropy and spans of every document (see ``redact``)."""
     scanner = scanner or Scanner()
 
     def helper(texts: list[str]) -> list:
