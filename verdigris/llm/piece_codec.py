@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 from array import array
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ from verdigris.llm.piece_model import NORMAL, SPACE, UNIGRAM, UNUSED, USER_DEFIN
 #: Threads of the library in a task, the number of parts after which a worker's cache starts afresh, and the
 #: number of parts that the library encodes at once.
 THREADS, CACHE, AT_ONCE = 1, 100_000, 8192
+#: Bytes of an id in the cache.
+WIDTH = array("I").itemsize
 
 
 def merges_of(model: PieceModel) -> list[tuple[str, str]]:
@@ -91,8 +94,10 @@ class Codec:
         self.tokenizer = rebuild(self.model, whole_texts=not self.cuts)
         raw = self.model.without_dummy_prefix() if self.cuts else self.model.raw
         self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        #: By part: its ids as bytes, whether they decode to the part, whether the library's were taken.
-        self.known: dict[str, tuple[bytes, bool, bool]] = {}
+        #: By part its ids as bytes; the parts that they don't decode to, and those for which the library's were taken.
+        self.known: dict[str, bytes] = {}
+        self.inexact: set[str] = set()
+        self.repaired: set[str] = set()
 
     @classmethod
     def of(cls, path: str, threads: int = THREADS) -> Codec:
@@ -107,24 +112,37 @@ class Codec:
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             theirs = self.library.encode(some)
             back = self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
-            for part, mine, ids, text in zip(some, ours, theirs, back):
-                want = part.replace(SPACE, " ") if self.cuts else part
-                self.known[part] = (array("I", ids).tobytes(), text == want, mine != ids)
+            want = [p.replace(SPACE, " ") for p in some] if self.cuts else some
+            if ours != theirs:
+                self.repaired.update(p for p, mine, ids in zip(some, ours, theirs) if mine != ids)
+            if back != want:
+                self.inexact.update(p for p, text, x in zip(some, back, want) if text != x)
+            flat = array("I", chain.from_iterable(theirs)).tobytes()
+            ends = [*accumulate(map(len, theirs), lambda at, n: at + WIDTH * n, initial=0)]
+            self.known.update(zip(some, [flat[a:b] for a, b in pairwise(ends)]))
+
+    def forget(self, parts: list[str]) -> None:
+        """Drop parts from the cache."""
+        for part in parts:
+            del self.known[part]
+        self.inexact.difference_update(parts)
+        self.repaired.difference_update(parts)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, int]]:
         """Ids, whether they decode to the text, and parts for which the library's ids were taken."""
         parted = [chunks(t, self.model.dummy_prefix) if self.cuts else [t] if t else [] for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        self.learn(sorted(set().union(*parted).difference(self.known)))
+            self.inexact.clear()
+            self.repaired.clear()
+        new = sorted(set().union(*parted).difference(self.known))
+        self.learn(new)
         out, get = [], self.known.__getitem__
         for text, parts in zip(texts, parted):
-            found = list(map(get, parts))
-            ids = np.frombuffer(b"".join([x[0] for x in found]), dtype=np.uint32).astype(np.int32)
-            exact = all([x[1] for x in found]) and not (self.cuts and SPACE in text)
-            out.append((ids, exact, sum([x[2] for x in found])))
-        for part in [p for p in self.known if len(p) > 64]:  # long parts seldom recur
-            del self.known[part]
+            ids = np.frombuffer(b"".join(map(get, parts)), dtype=np.uint32).astype(np.int32)
+            exact = not (self.cuts and SPACE in text) and self.inexact.isdisjoint(parts)
+            out.append((ids, exact, sum(map(self.repaired.__contains__, parts)) if self.repaired else 0))
+        self.forget([p for p in new if len(p) > 64])  # long parts seldom recur
         return out
 
     def decode(self, rows: list[list[int]]) -> list[str]:
