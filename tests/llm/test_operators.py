@@ -182,6 +182,12 @@ def test_line_dedup_equals_brute_force(spark, tau, crowd):
         assert r.kept == "\n".join(line for i, line in enumerate(r.text.split("\n")) if (r.doc_id, i) not in gone)
 
 
+def test_short_repeated_lines_go(spark):
+    texts = ["Of, edti oner.\n--\n\nok", "ok\n--\nOf, edti oner.\nOf, edti onar.", "été\nété\n--"]
+    found = line_dedup.deduplicate_lines(frame(spark, texts)).withColumn("kept", line_dedup.kept_text())
+    assert [r.kept for r in found.orderBy("doc_id").collect()] == [texts[0], "--\nOf, edti onar.", "été\n--"]
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(5)
     words = lambda k: " ".join(rng.choices(["aa", "B-b", "cé", "zz9"], k=k))

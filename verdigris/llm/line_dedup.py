@@ -1,7 +1,8 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``LEAST_LINE`` code points take part. Distinct lines within ``TAU`` edits are linked, and the
-components of the links are classes; of every class the first line (smallest doc_id, then place) stays and all
+Every line with a word (a letter or digit) takes part: equal lines are one class. Among lines of at least
+``LEAST_NEAR`` code points, distinct lines within ``TAU`` edits are linked as well (in shorter ones an edit is too
+large a share), and the components of the links are classes; of every class the first line (smallest doc_id, then place) stays and all
 other occurrences go, in the same document too.
 
 A line is split in TAU + 1 segments; of two lines within TAU edits the shorter has a segment that occurs in the
@@ -21,6 +22,7 @@ gets the same result. A null doc_id sorts before all others. An empty table give
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -33,9 +35,11 @@ from pyspark.sql import functions as F
 from verdigris.functions.session import cut, ship_code
 from verdigris.llm.common import connected_components, document_key, let, sliced, texts_of
 
-TAU, LEAST_LINE, CROWD = 1, 20, 32
+TAU, LEAST_LINE, LEAST_NEAR, CROWD = 1, 1, 20, 32
 #: Classes of characters that a line's signature counts, four bits each.
 CLASSES = 16
+#: A letter or digit of any script.
+_WORD = re.compile(r"[^\W_]")
 
 
 def line_id(line: str) -> bytes:
@@ -123,8 +127,8 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def eligible(text: str, least: int) -> list[tuple[int, str]]:
-    """(number, line) of the lines that take part."""
-    return [(i, line) for i, line in enumerate(text.split("\n")) if len(line) >= least] if text else []
+    """(number, line) of the lines that take part: with a word, and of ``least`` code points."""
+    return [(i, line) for i, line in enumerate(text.split("\n")) if len(line) >= least and _WORD.search(line)] if text else []
 
 
 def _distinct_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[dict[bytes, str]]:
@@ -286,7 +290,7 @@ def verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
-def line_links(docs: DataFrame, tau: int = TAU, least: int = LEAST_LINE, crowd: int = CROWD) -> DataFrame:
+def line_links(docs: DataFrame, tau: int = TAU, least: int = LEAST_NEAR, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) of line ids that connect all distinct lines within ``tau`` edits."""
     rows = segment_rows(docs, tau, least).repartition("key").sortWithinPartitions("key")
     most = crowd if tau == 1 else None
@@ -321,9 +325,9 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(run, f"__key binary, doc_id {kind}, number int, line binary")
 
 
-def dropped_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST_LINE, crowd: int = CROWD) -> DataFrame:
+def dropped_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST_LINE, crowd: int = CROWD, near: int = LEAST_NEAR) -> DataFrame:
     """(__key, __dropped): by document key the lines that go, as (number, doc_id and number of the line that stays)."""
-    classes = cut(connected_components(line_links(docs, tau, least, crowd)))
+    classes = cut(connected_components(line_links(docs, tau, max(least, near), crowd)))
     rows = occurrences(docs, least)
     place = F.struct(F.col("doc_id"), F.col("__key"), F.col("number"))
     lines = rows.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -334,10 +338,10 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST_LINE, crow
     return gone.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("number", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("first")))).alias("__dropped"))
 
 
-def deduplicate_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST_LINE, crowd: int = CROWD) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST_LINE, crowd: int = CROWD, near: int = LEAST_NEAR) -> DataFrame:
     """The rows and columns of ``docs``, and __dropped: the lines that go, each with what stays for it (null: none)."""
     ship_code(docs.sparkSession)
-    gone = dropped_lines(docs, tau, least, crowd).withColumnRenamed("__key", "__gone")
+    gone = dropped_lines(docs, tau, least, crowd, near).withColumnRenamed("__key", "__gone")
     keyed = docs.withColumn("__key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))))))
     return keyed.join(gone, F.col("__key") == F.col("__gone"), "left").select(*docs.columns, "__dropped")
 
