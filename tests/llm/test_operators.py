@@ -182,6 +182,28 @@ def test_line_dedup_equals_brute_force(spark, tau, crowd):
         assert r.kept == "\n".join(line for i, line in enumerate(r.text.split("\n")) if (r.doc_id, i) not in gone)
 
 
+@pytest.mark.parametrize("crowd", [0, 8])
+def test_edits_grow_with_the_line(spark, crowd):
+    rng = random.Random(crowd)
+    words = ["".join(rng.choices("abcdefghij é", k=rng.randint(2, 8))) for _ in range(300)]
+    base = [" ".join(rng.choices(words, k=k)) for k in (5, 15, 25, 40, 60, 90) for _ in range(2)]
+    lines = set(base)
+    for line in base * 12:
+        line = list(line)
+        for _ in range(rng.randint(1, 5)):
+            i = rng.randrange(len(line) - 4)
+            line[i : i + rng.randint(0, 4)] = rng.choice(["", "z", "zz", "zzzz"])
+        lines.add("".join(line))
+    lines = sorted(lines)
+    near = lambda a, b: line_dedup.edit_distance(a, b, t := min(8, max(1, min(len(a), len(b)) // 40))) <= t
+    pairs = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if near(a, b)]
+    assert any(plain_distance(a, b) > 5 for a, b in pairs)
+    texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]
+    ids = {line_dedup.line_id(line): line for line in lines}
+    root = components([(ids[r.a], ids[r.b]) for r in line_dedup.line_links(frame(spark, texts), crowd=crowd).collect()], lines)
+    assert root == components(pairs, lines)
+
+
 def test_short_repeated_lines_go(spark):
     texts = ["Of, edti oner.\n--\n\nok", "ok\n--\nOf, edti oner.\nOf, edti onar.", "été\nété\n--"]
     found = line_dedup.deduplicate_lines(frame(spark, texts)).withColumn("kept", line_dedup.kept_text())

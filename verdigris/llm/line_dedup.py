@@ -1,19 +1,19 @@
-"""Line dedup by a segment-partition edit join.
+"""Line dedup by an edit join on winnowed substrings.
 
-Every line with a word (a letter or digit) takes part: equal lines are one class. Among lines of at least
-``LEAST_NEAR`` code points, distinct lines within ``TAU`` edits are linked as well (in shorter ones an edit is too
-large a share), and the components of the links are classes; of every class the first line (smallest doc_id, then place) stays and all
+Every line with a word (a letter or digit) takes part: equal lines are one class. Lines of at least ``LEAST_NEAR``
+code points are also linked to those within a few edits (``edits``: one for every ``SHARE`` code points of the
+shorter line, one at least and ``MOST`` at most; in lines under ``LEAST_NEAR`` one edit is too large a share). The
+components of the links are classes; of every class the first line (smallest doc_id, then place) stays and all
 other occurrences go, in the same document too.
 
-A line is split in TAU + 1 segments; of two lines within TAU edits the shorter has a segment that occurs in the
-longer, at one of few places. Every line is indexed by its own segments (with its length) and probes with the
-substrings that segments of lines up to TAU shorter could match. Rows meet by a hash of length, segment and
-substring; those that meet are candidates if lengths and counts of characters allow it, and a banded
-bit-parallel edit distance verifies them on the texts.
+Lines of m code points and one within t edits have (m - t) / (t + 1) code points in a row in common, rounded up.
+Of every stretch so long a line gives the smallest hash of its substrings of k code points (winnowing), so both
+give the same one for the common stretch. Lengths are cut in classes with a stretch and a k each; a line takes
+part in its own class and those of shorter lines that may be near. Rows meet by the hash; those that meet are
+candidates if lengths and counts of characters allow it, and a banded bit-parallel edit distance verifies them.
 
-Segments that more than ``CROWD`` rows share would bring a square of pairs. With one edit allowed, lines of such
-segments meet instead by the hashes of all they become by giving up one character: equal results are linked
-along the run, whatever its length. With more edits allowed, crowded segments are compared pair by pair.
+A hash whose rows make more than ``CROWD`` candidates each brings its texts together instead: each is held against
+pivots, and against the rows around a pivot only where these may link two groups. No link is lost.
 
 Null and empty texts have no lines to drop. Documents alike in doc_id and text are one document: each row of it
 gets the same result. A null doc_id sorts before all others. An empty table gives an empty result.
@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +36,12 @@ from pyspark.sql import functions as F
 from verdigris.functions.session import cut, ship_code
 from verdigris.llm.common import connected_components, document_key, let, sliced, texts_of
 
-TAU, LEAST_LINE, LEAST_NEAR, CROWD = 1, 1, 20, 32
-#: Classes of characters that a line's signature counts, four bits each.
-CLASSES = 16
+#: ``TAU`` may be a fixed number of edits; None lets it grow with the line.
+TAU, SHARE, MOST, LEAST_LINE, LEAST_NEAR, CROWD = None, 40, 8, 1, 20, 8
+#: Code points of a winnowed substring at most, and kinds of characters that a line's signature counts, four bits each.
+LONGEST_GRAM, KINDS = 14, 8
+#: As many wanted lines are sent to every task; more are joined by shuffle.
+FEW_LINES = 300_000
 #: A letter or digit of any script.
 _WORD = re.compile(r"[^\W_]")
 
@@ -47,33 +51,21 @@ def line_id(line: str) -> bytes:
     return hashlib.md5(line.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
 
-def signature(line: str) -> int:
-    """Counts of 16 classes of characters, each modulo 16; an edit changes at most two of them, by one."""
-    counts = [0] * CLASSES
-    for c, n in Counter(line).items():
-        counts[ord(c) % CLASSES] += n
-    return sum((n & 15) << 4 * i for i, n in enumerate(counts))
+def edits(length: int, tau: int | None = TAU) -> int:
+    """How many edits may lie between a line of that length and one at least as long."""
+    return min(MOST, max(1, length // SHARE)) if tau is None else tau
 
 
-def segments(length: int, tau: int) -> list[tuple[int, int]]:
-    """(start, size) of the tau + 1 segments of a line, the last ones longer by one where it doesn't divide."""
-    size, more = divmod(length, tau + 1)
-    sizes = [size + (i >= tau + 1 - more) for i in range(tau + 1)]
-    return [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
-
-
-def probes(length: int, tau: int) -> list[tuple[int, int, int, int]]:
-    """(length of the indexed line, segment, start, size) of the substrings that a line probes with.
-
-    For the i-th segment only starts that leave few enough edits on either side count.
-    """
-    out = []
-    for shorter in range(max(tau + 1, length - tau), length + 1):
-        delta = length - shorter
-        for i, (start, size) in enumerate(segments(shorter, tau)):
-            low = max(start - i, start + delta - (tau - i), 0)
-            high = min(start + i, start + delta + (tau - i), length - size)
-            out += [(shorter, i, at, size) for at in range(low, high + 1) if (delta, at) != (0, start)]
+def length_classes(longest: int, least: int, tau: int | None) -> list[tuple[int, int, int]]:
+    """(least length, k, window) of the classes of lengths; all lengths of a class have the same number of edits."""
+    out, low = [], max(least, edits(least, tau) + 1)
+    while low <= longest:
+        t = edits(low, tau)
+        stretch = -(-(low - t) // (t + 1))
+        k = min(LONGEST_GRAM, -(-7 * stretch // 10))
+        out.append((low, k, stretch - k + 1))
+        high = low + max(1, low // 3)
+        low = next((n for n in range(low + 1, high) if edits(n, tau) != t), high)
     return out
 
 
@@ -138,171 +130,235 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[d
             yield {line_id(line): line for text in part.column("text").to_pylist() for _, line in eligible(text, least)}
 
 
-def segment_rows(docs: DataFrame, tau: int, least: int) -> DataFrame:
-    """(key, line, sig, size, probe): a row for every segment and probe of every line."""
-    schema = pa.schema([("key", pa.int64()), ("line", pa.binary()), ("sig", pa.int64()), ("size", pa.int32()), ("probe", pa.bool_())])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
+
+
+def winnowed(codes: np.ndarray, owner: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, owners): the smallest hash of k codes in every ``window`` of them, where all have one owner."""
+    stretch = k + window - 1
+    if len(codes) < stretch:
+        return np.zeros(0, dtype=np.uint64), owner[:0]
+    n = len(codes)
+    base = 0x9E3779B97F4A7C15
+    up = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, base, dtype=np.uint64))))
+    down = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, pow(base, -1, 2**64), dtype=np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[:n])))
+    least = _mixed((sums[k:] - sums[:-k]) * down[: n - k + 1])
+    span = 1
+    while 2 * span <= window:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < window:
+        least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
+    own = owner[: len(least)]
+    same = own == owner[stretch - 1 :]
+    least, own = least[same], own[same]
+    new = np.concatenate((np.ones(min(1, len(own)), dtype=bool), (least[1:] != least[:-1]) | (own[1:] != own[:-1])))
+    return least[new], own[new]
+
+
+def line_hash(line: str) -> int:
+    """64 bits for a line while candidates are looked for, signed; verification is on the texts."""
+    x = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return x - (x >> 63 << 64)
+
+
+def gram_rows(docs: DataFrame, tau: int | None, least: int) -> DataFrame:
+    """(key, about, line): a row for every winnowed hash of every line; ``about`` has its length and signature.
+
+    The signature has the counts of ``KINDS`` kinds of characters, modulo 16: an edit changes at most two, by one.
+    """
+    schema = pa.schema([("key", pa.int64()), ("about", pa.int64()), ("line", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, list[tuple[bytes, int, int, bool]]] = {}
-        digest = xxhash.xxh64_intdigest
-        for lines in _distinct_lines(batches, least):
-            keys, ids, sigs, sizes, kinds = [], [], [], [], []
-            for name, line in lines.items():
-                n = len(line)
-                if n not in plans:
-                    own = [(f"{n}:{i}:".encode(), at, at + size, False) for i, (at, size) in enumerate(segments(n, tau))]
-                    plans[n] = own + [(f"{m}:{i}:".encode(), at, at + size, True) for m, i, at, size in probes(n, tau)]
-                plan, sig = plans[n], signature(line)
-                for head, a, b, probe in plan:
-                    keys.append(digest(head + line[a:b].encode("utf-8", "surrogatepass")))
-                    kinds.append(probe)
-                ids += [name] * len(plan)
-                sigs += [sig] * len(plan)
-                sizes += [n] * len(plan)
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(ids, pa.binary()), pa.array(np.array(sigs, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(kinds)], schema=schema
-                )
-
-    return texts_of(docs).mapInArrow(run, "key long, line binary, sig long, size int, probe boolean")
-
-
-def _alike(a: int, b: int, tau: int) -> bool:
-    """Whether two signatures allow ``tau`` edits: at most 2 * tau differing counts."""
-    x, n = a ^ b, 0
-    while x:
-        n += 1
-        x &= ~(15 << ((x & -x).bit_length() - 1) // 4 * 4)
-        if n > 2 * tau:
-            return False
-    return True
-
-
-def candidates_of_runs(batches: Iterator[pa.RecordBatch], tau: int, crowd: int | None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) among rows that come sorted by key; (a, null) for the lines of crowded keys."""
-    run: dict[bytes, tuple[int, int, bool]] = {}
-    last, full = None, False
+        for found in _distinct_lines(batches, least):
+            lines = list(found.values())
+            if not lines:
+                continue
+            names = np.array([line_hash(line) for line in lines], dtype=np.int64)
+            sizes = np.array([len(line) for line in lines], dtype=np.int64)
+            classes = length_classes(int(sizes.max()), least, tau)
+            lows = [low for low, _, _ in classes]
+            codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            owner = np.repeat(np.arange(len(lines)), sizes)
+            counts = np.bincount(owner * KINDS + codes % KINDS, minlength=len(lines) * KINDS).reshape(-1, KINDS) & 15
+            about = (sizes << 32) | (counts << 4 * np.arange(KINDS)).sum(axis=1)
+            of = [range(max(0, bisect_right(lows, n - edits(n, tau)) - 1), bisect_right(lows, n)) for n in sizes.tolist()]
+            for c, (_, k, window) in enumerate(classes):
+                chosen = np.array([c in x for x in of])
+                if chosen.any():
+                    mine = chosen[owner]
+                    keys, own = winnowed(codes[mine], owner[mine], k, window)
+                    keys = keys ^ _mixed(np.array([c + 1], dtype=np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(about[own]), pa.array(names[own])], schema=schema)
+
+    return texts_of(docs).mapInArrow(run, "key long, about long, line long")
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the differences of the counts in two arrays of signatures, going round at 16."""
+    total = np.zeros(len(a), dtype=np.int64)
+    for k in range(KINDS):
+        d = ((a >> 4 * k) - (b >> 4 * k)) & 15
+        total += np.minimum(d, 16 - d)
+    return total
+
+
+def candidates_of_keys(batches: Iterator[pa.RecordBatch], tau: int | None, crowd: int) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (a, b, null) of rows sorted by key, about and line; (a, null, key) for all lines of crowded keys."""
+
+    def pairs(key: np.ndarray, about: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+        new = np.concatenate((np.ones(min(1, len(key)), dtype=bool), (key[1:] != key[:-1]) | (line[1:] != line[:-1])))
+        key, about, line = key[new], about[new], line[new]
+        run = np.cumsum(np.concatenate((np.zeros(min(1, len(key)), dtype=np.int64), key[1:] != key[:-1])))
+        members = np.bincount(run)
+        hits, full = np.zeros(len(members), dtype=np.int64), np.zeros(len(members), dtype=bool)
+        size = about >> 32
+        most = np.minimum(MOST, np.maximum(1, size // SHARE)) if tau is None else np.full(len(size), tau)
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        at, step = np.arange(len(key)), 1
+        while len(at):  # every row and the step-th after it, as long as that has the key and is not too long
+            at = at[at + step < len(key)]
+            at = at[(run[at] == run[at + step]) & (size[at + step] - size[at] <= most[at]) & ~full[run[at]]]
+            near = at[_far(about[at], about[at + step]) <= 2 * most[at]]
+            left.append(near)
+            right.append(near + step)
+            hits += np.bincount(run[near], minlength=len(hits))
+            full |= hits > crowd * members
+            step += 1
+        i, j = np.concatenate(left), np.concatenate(right)
+        keep = ~full[run[i]]
+        a, b = line[i[keep]], line[j[keep]]
+        two = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0)
+        many = np.flatnonzero(full[run]) if len(key) else np.zeros(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((two[:, 0], line[many]))), pa.concat_arrays([pa.array(two[:, 1]), pa.nulls(len(many), pa.int64())]), pa.concat_arrays([pa.nulls(len(two), pa.int64()), pa.array(key[many])])], ["a", "b", "key"]
+        )
+
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else np.zeros(1, dtype=np.int64)
-        sizes = np.diff(edges)
-        # Only runs of several rows, and those that touch the batch's ends, can hold a pair.
-        wanted = np.flatnonzero(sizes > 1).tolist()
-        wanted = sorted({*wanted, *([0, len(sizes) - 1] if len(sizes) else [])})
-        left, right = [], []
-        for k in wanted:
-            begin, end = int(edges[k]), int(edges[k + 1])
-            key = int(keys[begin])
-            if key != last:
-                run, last, full = {}, key, False
-            part = batch.slice(begin, end - begin)
-            for line, sig, size, probe in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4))):
-                if full:
-                    left.append(line)
-                    right.append(None)
-                    continue
-                seen = run.get(line)
-                if seen is not None and seen[2] <= probe:
-                    continue
-                for other, (sig2, size2, probe2) in run.items():
-                    if other != line and not (probe and probe2) and abs(size - size2) <= tau and _alike(sig, sig2, tau):
-                        left.append(max(line, other))
-                        right.append(min(line, other))
-                run[line] = (sig, size, probe)
-                if crowd is not None and len(run) > crowd:
-                    left += run
-                    right += [None] * len(run)
-                    run, full = {}, True
-        found = sorted(set(zip(left, right)), key=lambda x: (x[0], x[1] or b""))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["a", "b"])
-
-
-def line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """(line, text) of the wanted line ids, each once."""
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        if not len(rows[0]):
+            continue
+        edge = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on in the next batch
+        if held and (edge or held[-1][0][-1] != rows[0][0]):
+            yield pairs(*(np.concatenate(x) for x in zip(*held, [x[:edge] for x in rows])))
+            held = []
+        elif edge:
+            yield pairs(*(x[:edge] for x in rows))
+        held.append([x[edge:] for x in rows])
+    if held:
+        yield pairs(*(np.concatenate(x) for x in zip(*held)))
+
+
+def pair_counts(text: str) -> np.ndarray:
+    """Counts of pairs of neighbouring characters, in 128 kinds; an edit changes at most four of them, by one."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.bincount((codes[:-1] * np.uint32(31) + codes[1:]) % 128, minlength=128).astype(np.int32)
+
+
+def links_of_crowd(lines: list[tuple[bytes, str]], tau: int | None) -> list[tuple[bytes, bytes]]:
+    """Links that connect all of the lines (id, text) within the edits they allow.
+
+    Each line joins the first pivot that is near, or becomes one. It can be near a row of another pivot only within
+    twice the edits of that pivot; such rows are tried until one links the two groups, unless they are one already.
+    Counts of pairs of characters tell most that are too far.
+    """
+    most = max((edits(len(text), tau) for _, text in lines), default=0)
+    counts = np.array([pair_counts(text) for _, text in lines]).reshape(-1, 128)
+    pivots = np.zeros_like(counts)
+    balls: list[list[int]] = []
+    above: list[int] = []
+    links = []
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    def near(x: int, y: int) -> bool:
+        a, b = lines[x][1], lines[y][1]
+        t = edits(min(len(a), len(b)), tau)
+        return edit_distance(a, b, t) <= t
+
+    def within(rows: np.ndarray, i: int, most: int) -> list[int]:
+        return np.flatnonzero(np.abs(rows - counts[i]).sum(axis=1) <= 4 * most).tolist()
+
+    for i in range(len(lines)):
+        ring = within(pivots[: len(balls)], i, 2 * most)
+        home = next((k for k in ring if near(i, balls[k][0])), None)
+        if home is None:
+            home = len(balls)
+            pivots[home] = counts[i]
+            balls.append([])
+            above.append(home)
+        else:
+            links.append((lines[i][0], lines[balls[home][0]][0]))
+        for k in ring:
+            if top(k) != top(home):
+                other = next((j for j in (balls[k][x] for x in within(counts[balls[k]], i, most)) if near(i, j)), None)
+                if other is not None:
+                    links.append((lines[i][0], lines[other][0]))
+                    above[top(k)] = top(home)
+        balls[home].append(i)
+    return links
+
+
+def crowd_links(crowded: DataFrame, tau: int | None) -> DataFrame:
+    """Links (a, b) of line ids among the rows (key, id, text) of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines in _distinct_lines(batches, least):
-            yield pa.RecordBatch.from_arrays([pa.array(lines.keys(), pa.binary()), pa.array(lines.values(), pa.string())], ["line", "text"])
+        def linked() -> pa.RecordBatch:
+            found = links_of_crowd(rows, tau)
+            return pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], pa.binary()), pa.array([min(x) for x in found], pa.binary())], ["a", "b"])
 
-    return texts_of(docs).mapInArrow(run, "line binary, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+        last, rows = None, []
+        for batch in batches:
+            for key, name, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != last:
+                    yield linked()
+                    last, rows = key, []
+                rows.append((name, text))
+        yield linked()
 
+    return crowded.select("key", "id", "text").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a binary, b binary")
 
-def shortened_rows(lines: DataFrame) -> DataFrame:
-    """(key, rank, line): hashes of each line with one character replaced by a gap (equal ones differ there at
-    most), of each line with one character left out, and of the line itself, which comes first in its run."""
-    base = np.uint64(0x9E3779B97F4A7C15)
+
+def line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """(line, id, text) of the wanted lines, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    codes = np.array([ord(c) for c in text], dtype=np.uint64)
-                    mixed = codes + np.uint64(1)
-                    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
-                        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-                    n = len(codes)
-                    power = np.cumprod(np.full(n + 1, base, dtype=np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-                    forward = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * power[:n])))  # at their own places
-                    moved = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed[1:] * power[: n - 1])))  # one place to the left
-                    whole = forward[-1]
-                    gap = (whole - mixed * power[:n]) ^ (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x94D049BB133111EB))
-                    without = forward[:-1] + (moved[-1] - moved)
-                    size = np.uint64(n)
-                    keys = np.concatenate((gap + size * base, np.unique(without) ^ (size - np.uint64(1)), whole[None] ^ size))
-                    ranks = np.concatenate((np.full(n, 2), np.full(len(keys) - n - 1, 1), np.zeros(1))).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ranks), pa.array([name] * len(keys), pa.binary())], ["key", "rank", "line"])
-
-    return lines.select("line", "text").mapInArrow(run, "key long, rank int, line binary")
-
-
-def chains_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) from the rows of a key to its first, of rows that come sorted by key and rank.
-
-    Gapped lines (rank 2) link to each other; shortened ones (rank 1) only to a line that is what they become.
-    """
-    last, first_rank, first = None, 0, b""
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        same = np.concatenate(([len(keys) > 0 and last == keys[0]], keys[1:] == keys[:-1])) if len(keys) else np.zeros(0, dtype=bool)
-        joined = np.flatnonzero(same | np.concatenate((same[1:], [True]))) if len(keys) else []
-        left, right = [], []
-        if len(joined):
-            part = batch.take(pa.array(joined))
-            for key, rank, line in zip(*(c.to_pylist() for c in part.columns)):
-                if key != last:
-                    last, first_rank, first = key, rank, line
-                elif line != first and (rank == 2) == (first_rank == 2) and first_rank != 1:
-                    left.append(max(line, first))
-                    right.append(min(line, first))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+        for lines in _distinct_lines(batches, least):
+            yield pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in lines.values()], pa.int64()), pa.array(lines.keys(), pa.binary()), pa.array(lines.values(), pa.string())], ["line", "id", "text"])
+
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_LINES else wanted
+    return texts_of(docs).mapInArrow(run, "line long, id binary, text string").join(wanted, "line", "left_semi").dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
-    """The pairs (a, b) whose texts are within ``tau`` edits."""
+def verified(pairs: DataFrame, texts: DataFrame, tau: int | None) -> DataFrame:
+    """Links (a, b) of line ids: the pairs whose texts are within the edits they allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [edit_distance(x, y, tau) <= tau for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            near = [edit_distance(x, y, t := edits(min(len(x), len(y)), tau)) <= t for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
-    left = texts.select(F.col("line").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("line").alias("b"), F.col("text").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+    left = texts.select(F.col("line").alias("a"), F.col("id").alias("x"), F.col("text").alias("left"))
+    right = texts.select(F.col("line").alias("b"), F.col("id").alias("y"), F.col("text").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "left", "right").mapInArrow(run, "a binary, b binary")
 
 
-def line_links(docs: DataFrame, tau: int = TAU, least: int = LEAST_NEAR, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) of line ids that connect all distinct lines within ``tau`` edits."""
-    rows = segment_rows(docs, tau, least).repartition("key").sortWithinPartitions("key")
-    most = crowd if tau == 1 else None
-    found = cut(rows.mapInArrow(lambda x: candidates_of_runs(x, tau, most), "a binary, b binary").distinct())
-    pairs = found.where("b is not null")
+def line_links(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_NEAR, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) of line ids that connect all distinct lines within the edits they allow."""
+    rows = gram_rows(docs, tau, least).repartition("key").sortWithinPartitions("key", "about", "line")
+    found = cut(rows.mapInArrow(lambda x: candidates_of_keys(x, tau, crowd), "a long, b long, key long").distinct())
     wanted = found.select(F.explode(F.array("a", "b")).alias("line")).where("line is not null").distinct()
     texts = cut(line_texts(docs, wanted, least))
-    if most is not None:
-        crowded = texts.join(found.where("b is null").select(F.col("a").alias("line")).distinct(), "line", "left_semi")
-        shortened = shortened_rows(crowded).repartition("key").sortWithinPartitions("key", "rank", "line")
-        pairs = pairs.unionByName(shortened.mapInArrow(chains_of_runs, "a binary, b binary").distinct()).distinct()
-    return verified(pairs, texts, tau)
+    crowded = found.where("b is null").select(F.col("a").alias("line"), "key").join(texts, "line")
+    return verified(found.where("b is not null").select("a", "b"), texts, tau).unionByName(crowd_links(crowded, tau))
 
 
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
@@ -325,7 +381,7 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(run, f"__key binary, doc_id {kind}, number int, line binary")
 
 
-def dropped_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST_LINE, crowd: int = CROWD, near: int = LEAST_NEAR) -> DataFrame:
+def dropped_lines(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_LINE, crowd: int = CROWD, near: int = LEAST_NEAR) -> DataFrame:
     """(__key, __dropped): by document key the lines that go, as (number, doc_id and number of the line that stays)."""
     classes = cut(connected_components(line_links(docs, tau, max(least, near), crowd)))
     rows = occurrences(docs, least)
@@ -338,7 +394,7 @@ def dropped_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST_LINE, crow
     return gone.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("number", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("first")))).alias("__dropped"))
 
 
-def deduplicate_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST_LINE, crowd: int = CROWD, near: int = LEAST_NEAR) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_LINE, crowd: int = CROWD, near: int = LEAST_NEAR) -> DataFrame:
     """The rows and columns of ``docs``, and __dropped: the lines that go, each with what stays for it (null: none)."""
     ship_code(docs.sparkSession)
     gone = dropped_lines(docs, tau, least, crowd, near).withColumnRenamed("__key", "__gone")
