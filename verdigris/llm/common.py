@@ -110,6 +110,26 @@ def _arrow_schema(schema):
     return to_arrow_schema(schema)
 
 
+#: A key that holds more than one in so many rows, and more than ``LEAST_HUB`` of them, is a hub.
+HUB, LEAST_HUB = 1000, 200
+
+
+def hub_join(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``values`` on ``key``, where a few keys may hold much of ``rows``.
+
+    ``values`` has each key once, with n, the number of its rows (left out of the result); ``total`` is their sum.
+    A key with more than one row in ``HUB`` is dealt out in pieces of that size, its value being repeated for each. Fewer
+    than ``HUB`` keys can have so many, which bounds what is broadcast.
+    """
+    pieces = F.ceil(F.col("n") / F.lit(max(total / HUB, LEAST_HUB))).cast("int")
+    hubs = values.where(pieces > 1).select(key, pieces.alias("__pieces"))
+    dealt = rows.withColumn("__salt", F.xxhash64(*rows.columns)).join(F.broadcast(hubs), key, "left")
+    dealt = dealt.withColumn("__salt", F.pmod("__salt", F.coalesce("__pieces", F.lit(1)))).drop("__pieces")
+    salts = F.sequence(F.lit(0).cast("long"), F.greatest(pieces, F.lit(1)).cast("long") - 1)
+    copies = values.withColumn("__salt", F.explode(salts)).drop("n")
+    return dealt.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Components of an undirected graph given as links (a, b): rows (node, root), root the smallest.
 
@@ -121,11 +141,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     mark = _mark(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = hub_join(both, least, "a", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         small = (
-            large.join(least, "a")
+            hub_join(large, least, "a", 2 * mark[0])
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")

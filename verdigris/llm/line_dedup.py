@@ -1,4 +1,4 @@
-"""Line dedup by an edit join on winnowed substrings.
+"""Line dedup by a segment-partition edit join.
 
 Every line with a word (a letter or digit) takes part: equal lines are one class. Lines of at least ``LEAST_NEAR``
 code points are also linked to those within a few edits (``edits``: one for every ``SHARE`` code points of the
@@ -6,13 +6,13 @@ shorter line, one at least and ``MOST`` at most; in lines under ``LEAST_NEAR`` o
 components of the links are classes; of every class the first line (smallest doc_id, then place) stays and all
 other occurrences go, in the same document too.
 
-Lines of m code points and one within t edits have (m - t) / (t + 1) code points in a row in common, rounded up.
-Of every stretch so long a line gives the smallest hash of its substrings of k code points (winnowing), so both
-give the same one for the common stretch. Lengths are cut in classes with a stretch and a k each; a line takes
-part in its own class and those of shorter lines that may be near. Rows meet by the hash; those that meet are
-candidates if lengths and counts of characters allow it, and a banded bit-parallel edit distance verifies them.
+A line is split into one segment more than the edits it allows, so a near line has one of them whole. Lengths are
+cut in classes with one layout of segments each. A line gives its segments in its own class, and in those of shorter
+lines that may be near, at every place to which the edits can have moved them; of places next to each other the
+smallest substring stands for both, which keeps the keys few and loses no pair. Rows meet by these keys; those that
+meet are candidates if lengths and counts of characters allow it, and a banded bit-parallel edit distance verifies them.
 
-A hash whose rows make more than ``CROWD`` candidates each brings its texts together instead: each is held against
+A key whose rows make more than ``CROWD`` candidates each brings its texts together instead: each is held against
 pivots, and against the rows around a pivot only where these may link two groups. No link is lost.
 
 Null and empty texts have no lines to drop. Documents alike in doc_id and text are one document: each row of it
@@ -21,34 +21,26 @@ gets the same result. A null doc_id sorts before all others. An empty table give
 
 from __future__ import annotations
 
-import hashlib
-import re
-from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.session import cut, ship_code
-from verdigris.llm.common import connected_components, document_key, let, sliced, texts_of
+from verdigris.llm.common import connected_components, document_key, hub_join, let, sliced, texts_of
 
 #: ``TAU`` may be a fixed number of edits; None lets it grow with the line.
 TAU, SHARE, MOST, LEAST_LINE, LEAST_NEAR, CROWD = None, 40, 8, 1, 20, 8
-#: Code points of a winnowed substring at most, and kinds of characters that a line's signature counts, four bits each.
-LONGEST_GRAM, KINDS = 14, 8
-#: As many wanted lines are sent to every task; more are joined by shuffle.
+#: Kinds of characters that a line's signature counts, four bits each.
+KINDS = 8
+#: As many lines are sent to every task; more are joined by shuffle.
 FEW_LINES = 300_000
 #: A letter or digit of any script.
-_WORD = re.compile(r"[^\W_]")
-
-
-def line_id(line: str) -> bytes:
-    """The 16 bytes that stand for a line's text."""
-    return hashlib.md5(line.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+WORD = r"[\p{L}\p{N}]"
 
 
 def edits(length: int, tau: int | None = TAU) -> int:
@@ -56,16 +48,18 @@ def edits(length: int, tau: int | None = TAU) -> int:
     return min(MOST, max(1, length // SHARE)) if tau is None else tau
 
 
-def length_classes(longest: int, least: int, tau: int | None) -> list[tuple[int, int, int]]:
-    """(least length, k, window) of the classes of lengths; all lengths of a class have the same number of edits."""
+def most_edits(lengths: np.ndarray, tau: int | None = TAU) -> np.ndarray:
+    """``edits`` of an array of lengths."""
+    return np.minimum(MOST, np.maximum(1, lengths // SHARE)) if tau is None else np.full(len(lengths), tau)
+
+
+def length_classes(longest: int, least: int, tau: int | None) -> list[int]:
+    """The least length of each class of lengths; all lengths of a class have the same number of edits."""
     out, low = [], max(least, edits(least, tau) + 1)
     while low <= longest:
-        t = edits(low, tau)
-        stretch = -(-(low - t) // (t + 1))
-        k = min(LONGEST_GRAM, -(-7 * stretch // 10))
-        out.append((low, k, stretch - k + 1))
+        out.append(low)
         high = low + max(1, low // 3)
-        low = next((n for n in range(low + 1, high) if edits(n, tau) != t), high)
+        low = next((n for n in range(low + 1, high) if edits(n, tau) != edits(low, tau)), high)
     return out
 
 
@@ -118,16 +112,20 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return next((e for e in range(most + 1) if reach[e] & end), most + 1)
 
 
-def eligible(text: str, least: int) -> list[tuple[int, str]]:
-    """(number, line) of the lines that take part: with a word, and of ``least`` code points."""
-    return [(i, line) for i, line in enumerate(text.split("\n")) if len(line) >= least and _WORD.search(line)] if text else []
+def lines_of(docs: DataFrame, least: int) -> DataFrame:
+    """(__key, doc_id, number, line) of the lines that take part: with a letter or digit, and of ``least`` code points."""
+    lines = texts_of(docs).select(document_key().alias("__key"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
+    return lines.where((F.length("line") >= least) & F.col("line").rlike(WORD))
 
 
-def _distinct_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[dict[bytes, str]]:
-    """Lines by id, each once in a slice of a batch."""
-    for batch in batches:
-        for part in sliced(batch):
-            yield {line_id(line): line for text in part.column("text").to_pylist() for _, line in eligible(text, least)}
+def name_of(line: str) -> Column:
+    """64 bits for a line while candidates are looked for; verification is on the texts."""
+    return F.xxhash64(line)
+
+
+def id_of(line: str) -> Column:
+    """The 16 bytes that stand for a line's text."""
+    return F.unhex(F.md5(line))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -136,13 +134,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def winnowed(codes: np.ndarray, owner: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, owners): the smallest hash of k codes in every ``window`` of them, where all have one owner."""
-    stretch = k + window - 1
-    if len(codes) < stretch:
-        return np.zeros(0, dtype=np.uint64), owner[:0]
-    n = len(codes)
-    base = 0x9E3779B97F4A7C15
+def smallest_hashes(codes: np.ndarray, k: int, window: int) -> np.ndarray:
+    """For every place the smallest hash of the ``window`` substrings of k codes that begin there or next."""
+    n, base = len(codes), 0x9E3779B97F4A7C15
     up = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, base, dtype=np.uint64))))
     down = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, pow(base, -1, 2**64), dtype=np.uint64))))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[:n])))
@@ -151,51 +145,62 @@ def winnowed(codes: np.ndarray, owner: np.ndarray, k: int, window: int) -> tuple
     while 2 * span <= window:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
-    if span < window:
-        least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
-    own = owner[: len(least)]
-    same = own == owner[stretch - 1 :]
-    least, own = least[same], own[same]
-    new = np.concatenate((np.ones(min(1, len(own)), dtype=bool), (least[1:] != least[:-1]) | (own[1:] != own[:-1])))
-    return least[new], own[new]
-
+    return np.minimum(least[: len(least) - (window - span)], least[window - span :]) if span < window else least
 
-def line_hash(line: str) -> int:
-    """64 bits for a line while candidates are looked for, signed; verification is on the texts."""
-    x = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-    return x - (x >> 63 << 64)
 
+def segment_keys(codes: np.ndarray, sizes: np.ndarray, low: int, t: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, lines): the segments of a class of lines, given one after another as codes, where the edits may have moved them.
 
-def gram_rows(docs: DataFrame, tau: int | None, least: int) -> DataFrame:
-    """(key, about, line): a row for every winnowed hash of every line; ``about`` has its length and signature.
+    The segments are t + 1 of width low // (t + 1), the first half counted from a line's beginning, the rest from its end.
+    Of two lines within t edits some segment i is whole in both, with i edits before it and at most t - i after it, and so
+    moved by at most i from the one end and t - i from the other. Neighbouring places share their smallest substrings.
+    """
+    width = low // (t + 1)
+    window = max(1, width // 3) if t > 1 else 1
+    least = smallest_hashes(codes, width - window + 1, window)
+    segment = np.repeat(np.arange(t + 1), [2 * min(i, t - i) + 1 for i in range(t + 1)])
+    shift = np.concatenate([np.arange(-min(i, t - i), min(i, t - i) + 1) for i in range(t + 1)])
+    fixed = np.where(segment <= t // 2, segment, segment - t - 1) * width + shift
+    place = fixed[None, :] + np.where(segment <= t // 2, 0, 1)[None, :] * sizes[:, None]
+    inside = (place >= 0) & (place + width <= sizes[:, None])
+    begin = np.cumsum(sizes) - sizes
+    found = np.where(inside, least[np.clip(place + begin[:, None], 0, len(least) - 1)], np.uint64(0))
+    found = found ^ _mixed((segment + 64 * (salt + 1)).astype(np.uint64))[None, :]
+    new = inside.copy()
+    new[:, 1:] &= (found[:, 1:] != found[:, :-1]) | ~inside[:, :-1]
+    line, at = np.nonzero(new)
+    return found[line, at], line
+
+
+def segment_rows(docs: DataFrame, tau: int | None, least: int) -> DataFrame:
+    """(key, about, line): a row for every key of every line, repeats in a slice once; ``about`` has length and signature.
 
     The signature has the counts of ``KINDS`` kinds of characters, modulo 16: an edit changes at most two, by one.
+    A line takes part in its own class of lengths and in those of shorter lines that may be near.
     """
     schema = pa.schema([("key", pa.int64()), ("about", pa.int64()), ("line", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _distinct_lines(batches, least):
-            lines = list(found.values())
-            if not lines:
-                continue
-            names = np.array([line_hash(line) for line in lines], dtype=np.int64)
-            sizes = np.array([len(line) for line in lines], dtype=np.int64)
-            classes = length_classes(int(sizes.max()), least, tau)
-            lows = [low for low, _, _ in classes]
-            codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            owner = np.repeat(np.arange(len(lines)), sizes)
-            counts = np.bincount(owner * KINDS + codes % KINDS, minlength=len(lines) * KINDS).reshape(-1, KINDS) & 15
-            about = (sizes << 32) | (counts << 4 * np.arange(KINDS)).sum(axis=1)
-            of = [range(max(0, bisect_right(lows, n - edits(n, tau)) - 1), bisect_right(lows, n)) for n in sizes.tolist()]
-            for c, (_, k, window) in enumerate(classes):
-                chosen = np.array([c in x for x in of])
-                if chosen.any():
-                    mine = chosen[owner]
-                    keys, own = winnowed(codes[mine], owner[mine], k, window)
-                    keys = keys ^ _mixed(np.array([c + 1], dtype=np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(about[own]), pa.array(names[own])], schema=schema)
-
-    return texts_of(docs).mapInArrow(run, "key long, about long, line long")
+        for batch in batches:
+            for part in sliced(batch, "line"):
+                names, first = np.unique(part.column("name").to_numpy(), return_index=True)
+                texts = part.column("line").take(pa.array(first))
+                sizes = pc.utf8_length(texts).to_numpy().astype(np.int64)
+                codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                counts = np.bincount(owner * KINDS + codes % KINDS, minlength=len(sizes) * KINDS).reshape(-1, KINDS) & 15
+                about = (sizes << 32) | (counts << 4 * np.arange(KINDS)).sum(axis=1)
+                classes = length_classes(int(sizes.max()), least, tau)
+                lows = np.array(classes)
+                own = np.searchsorted(lows, sizes, side="right") - 1
+                shortest = np.searchsorted(lows, sizes - most_edits(sizes, tau), side="right") - 1
+                for c, low in enumerate(classes):
+                    chosen = (np.maximum(shortest, 0) <= c) & (c <= own)
+                    if chosen.any():
+                        keys, line = segment_keys(codes[chosen[owner]], sizes[chosen], low, edits(low, tau), c)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(about[chosen][line]), pa.array(names[chosen][line])], schema=schema)
+
+    return lines_of(docs, least).select(name_of("line").alias("name"), "line").mapInArrow(run, "key long, about long, line long")
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -217,7 +222,7 @@ def candidates_of_keys(batches: Iterator[pa.RecordBatch], tau: int | None, crowd
         members = np.bincount(run)
         hits, full = np.zeros(len(members), dtype=np.int64), np.zeros(len(members), dtype=bool)
         size = about >> 32
-        most = np.minimum(MOST, np.maximum(1, size // SHARE)) if tau is None else np.full(len(size), tau)
+        most = most_edits(size, tau)
         left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         at, step = np.arange(len(key)), 1
         while len(at):  # every row and the step-th after it, as long as that has the key and is not too long
@@ -328,14 +333,11 @@ def crowd_links(crowded: DataFrame, tau: int | None) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """(line, id, text) of the wanted lines, each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines in _distinct_lines(batches, least):
-            yield pa.RecordBatch.from_arrays([pa.array([line_hash(x) for x in lines.values()], pa.int64()), pa.array(lines.keys(), pa.binary()), pa.array(lines.values(), pa.string())], ["line", "id", "text"])
-
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW_LINES else wanted
-    return texts_of(docs).mapInArrow(run, "line long, id binary, text string").join(wanted, "line", "left_semi").dropDuplicates(["id"])
+    """(line, id, text) of the wanted lines, each once. Few are sent to every task; else repeats are combined first."""
+    every = lines_of(docs, least).select(name_of("line").alias("line"), id_of("line").alias("id"), F.col("line").alias("text"))
+    if wanted.count() <= FEW_LINES:
+        return every.join(F.broadcast(wanted), "line", "left_semi").distinct()
+    return every.distinct().join(wanted, "line", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, tau: int | None) -> DataFrame:
@@ -353,7 +355,7 @@ def verified(pairs: DataFrame, texts: DataFrame, tau: int | None) -> DataFrame:
 
 def line_links(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_NEAR, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) of line ids that connect all distinct lines within the edits they allow."""
-    rows = gram_rows(docs, tau, least).repartition("key").sortWithinPartitions("key", "about", "line")
+    rows = segment_rows(docs, tau, least).repartition("key").sortWithinPartitions("key", "about", "line")
     found = cut(rows.mapInArrow(lambda x: candidates_of_keys(x, tau, crowd), "a long, b long, key long").distinct())
     wanted = found.select(F.explode(F.array("a", "b")).alias("line")).where("line is not null").distinct()
     texts = cut(line_texts(docs, wanted, least))
@@ -361,36 +363,25 @@ def line_links(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_NEAR,
     return verified(found.where("b is not null").select("a", "b"), texts, tau).unionByName(crowd_links(crowded, tau))
 
 
-def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """(__key, doc_id, number, line) of every line that takes part."""
-    texts = texts_of(docs).select(document_key().alias("__key"), "doc_id", "text")
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch):
-                rows, numbers, lines = [], [], []
-                for k, text in enumerate(part.column("text").to_pylist()):
-                    for number, line in eligible(text, least):
-                        rows.append(k)
-                        numbers.append(number)
-                        lines.append(line_id(line))
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("__key").take(at), part.column("doc_id").take(at), pa.array(numbers, pa.int32()), pa.array(lines, pa.binary())], ["__key", "doc_id", "number", "line"])
-
-    return texts.mapInArrow(run, f"__key binary, doc_id {kind}, number int, line binary")
+def repeated_lines(docs: DataFrame, tau: int | None, least: int, crowd: int, near: int) -> DataFrame:
+    """(id, root, n) of the lines that occur more than once or are linked: their class and occurrences."""
+    linked = cut(connected_components(line_links(docs, tau, max(least, near), crowd)))
+    members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    counts = lines_of(docs, least).groupBy(id_of("line").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.join(members, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null")
+    return cut(found.select("id", F.coalesce("root", "id").alias("root"), "n"))
 
 
 def dropped_lines(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_LINE, crowd: int = CROWD, near: int = LEAST_NEAR) -> DataFrame:
     """(__key, __dropped): by document key the lines that go, as (number, doc_id and number of the line that stays)."""
-    classes = cut(connected_components(line_links(docs, tau, max(least, near), crowd)))
-    rows = occurrences(docs, least)
-    place = F.struct(F.col("doc_id"), F.col("__key"), F.col("number"))
-    lines = rows.groupBy("line").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    rooted = lines.join(classes, F.col("line") == F.col("node"), "left").select("line", "first", "n", F.coalesce("root", "line").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    repeated = rooted.select("line", "root").join(groups, "root").select("line", "first")
-    gone = rows.join(repeated, "line").where(~place.eqNullSafe(F.col("first")))
+    repeated = repeated_lines(docs, tau, least, crowd, near)
+    number, total = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    every = lines_of(docs, least).withColumn("id", id_of("line")).drop("line")
+    rows = every.join(F.broadcast(repeated.drop("n")), "id") if number <= FEW_LINES else hub_join(every, repeated, "id", total)
+    rows = cut(rows.select("root", "__key", "doc_id", "number"))
+    place = F.struct("doc_id", "__key", "number")
+    firsts = cut(rows.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    gone = hub_join(rows, firsts, "root", total).where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("number", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("first")))).alias("__dropped"))
 
 
