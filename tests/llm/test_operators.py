@@ -148,12 +148,18 @@ def plain_distance(a, b):
     return row[-1]
 
 
-def test_banded_edit_distance():
+def test_banded_edit_distances():
     rng = random.Random(4)
-    for _ in range(4000):
-        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(2))
-        for most in (1, 2, 3):
-            assert line_dedup.edit_distance(a, b, most) == min(plain_distance(a, b), most + 1)
+    left, right = (["".join(rng.choices("abc", k=rng.randint(0, 90 if i % 50 == 0 else 9))) for i in range(4000)] for _ in range(2))
+    for i in range(0, 4000, 3):  # near pairs of many lengths
+        text = list(left[i])
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(text))
+            text[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
+        right[i] = "".join(text)
+    want = [plain_distance(a, b) for a, b in zip(left, right)]
+    for most in (np.full(4000, 1), np.full(4000, 3), np.array(rng.choices(range(1, 9), k=4000))):
+        assert line_dedup.edit_distances(left, right, most).tolist() == [min(x, m + 1) for x, m in zip(want, most.tolist())]
 
 
 @pytest.mark.parametrize("tau,crowd", [(1, 32), (1, 2), (2, 32)])
@@ -195,9 +201,11 @@ def test_edits_grow_with_the_line(spark, crowd):
             line[i : i + rng.randint(0, 4)] = rng.choice(["", "z", "zz", "zzzz"])
         lines.add("".join(line))
     lines = sorted(lines)
-    near = lambda a, b: line_dedup.edit_distance(a, b, t := min(8, max(1, min(len(a), len(b)) // 40))) <= t
-    pairs = [(a, b) for i, a in enumerate(lines) for b in lines[:i] if near(a, b)]
-    assert any(plain_distance(a, b) > 5 for a, b in pairs)
+    every = [(a, b) for i, a in enumerate(lines) for b in lines[:i]]
+    most = np.array([min(8, max(1, min(len(a), len(b)) // 40)) for a, b in every])
+    found = line_dedup.edit_distances([a for a, _ in every], [b for _, b in every], most)
+    pairs = [p for p, d, m in zip(every, found, most) if d <= m]
+    assert (found[found <= most] > 5).any()
     texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]
     ids = {hashlib.md5(line.encode()).digest(): line for line in lines}
     root = components([(ids[bytes(r.a)], ids[bytes(r.b)]) for r in line_dedup.line_links(frame(spark, texts), crowd=crowd).collect()], lines)

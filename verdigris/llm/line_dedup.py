@@ -21,7 +21,6 @@ gets the same result. A null doc_id sorts before all others. An empty table give
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from verdigris.functions.session import cut, ship_code
 from verdigris.llm.common import connected_components, document_key, hub_join, let, sliced, texts_of
 
 #: ``TAU`` may be a fixed number of edits; None lets it grow with the line.
-TAU, SHARE, MOST, LEAST_LINE, LEAST_NEAR, CROWD = None, 40, 8, 1, 20, 8
+TAU, SHARE, MOST, LEAST_LINE, LEAST_NEAR, CROWD = None, 40, 8, 1, 20, 64
 #: Kinds of characters that a line's signature counts, four bits each.
 KINDS = 8
 #: As many lines are sent to every task; more are joined by shuffle.
@@ -63,53 +62,80 @@ def length_classes(longest: int, least: int, tau: int | None) -> list[int]:
     return out
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Edits between two texts, or most + 1 if there are more: bit-parallel, in a band of 2 * most + 1 diagonals.
-
-    Common ends are cut off first. Bit k of a vector stands for the k-th diagonal of the band; a column of
-    the table follows from the one before by a few operations on the vectors.
-    """
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    n = min(len(a), len(b))
-    low, high = 0, n
-    while low < high:  # the length of the common prefix, by halves
+def differing(a: str, b: str) -> tuple[str, str]:
+    """Two texts, the longer first, without their common beginning and end (found by halves)."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    low, high = 0, len(b)
+    while low < high:
         middle = (low + high + 1) // 2
         low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
     a, b = a[low:], b[low:]
-    low, high = 0, min(len(a), len(b))
+    low, high = 0, len(b)
     while low < high:
         middle = (low + high + 1) // 2
         low, high = (middle, high) if a[len(a) - middle :] == b[len(b) - middle :] else (low, middle - 1)
-    a, b = a[: len(a) - low], b[: len(b) - low]
-    if not a or not b:
-        return min(max(len(a), len(b)), most + 1)
-    if len(a) < len(b):
-        a, b = b, a
-    width = 2 * most + 1
-    mask = (1 << width) - 1
-    # Row i of the band has columns i - most .. i + most. Errors are kept as sets of reachable diagonals:
-    # reach[e] has a bit for each diagonal on which row i can be reached with at most e edits.
-    where: dict[str, int] = defaultdict(int)
-    for j, c in enumerate(b):
-        where[c] |= 1 << (j + most)
-    inside = ((1 << (len(b) + 1)) - 1) << most  # columns 0 .. len(b), shifted by most
-    reach = [((1 << (e + 1)) - 1) << most & mask & inside for e in range(most + 1)]
-    for i, c in enumerate(a):
-        same = where.get(c, 0) >> i & mask
-        valid = inside >> (i + 1) & mask
-        before = None
-        for e in range(most + 1):
-            old = reach[e]
-            now = old & same
-            if e:
-                now |= before | (before >> 1)  # a substitution stays on the diagonal, a deletion moves it down
-                now |= reach[e - 1] << 1  # an insertion moves it up within the row
-            reach[e], before = now & valid, old
-        if not reach[most]:
-            return most + 1
-    end = 1 << (len(b) - len(a) + most)
-    return next((e for e in range(most + 1) if reach[e] & end), most + 1)
+    return a[: len(a) - low], b[: len(b) - low]
+
+
+def codes_of(texts: list[str], before: int, length: int) -> np.ndarray:
+    """Code points by place and text, from ``before`` places ahead of the texts on; 0 where there is none (a text's are one more)."""
+    out = np.zeros((before + length, len(texts)), dtype=np.uint32)
+    for i, text in enumerate(texts):
+        out[before : before + len(text), i] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) + 1
+    return out
+
+
+def edit_distances(left: list[str], right: list[str], most: np.ndarray) -> np.ndarray:
+    """Edits between the texts of each pair, or most + 1 if there are more: bit-parallel in a band, all pairs at once.
+
+    Bits of a word are the diagonals of the band, from the lowest down; vertical differences go from column to column
+    of the shorter text, and the diagonal that ends in the last cell is summed. Pairs beyond their most leave early.
+    """
+    pairs = [differing(a, b) for a, b in zip(left, right)]
+    out = np.array([len(a) if not b else len(a) - len(b) for a, b in pairs], dtype=np.int64)
+    todo = np.array([i for i, (_, b) in enumerate(pairs) if b and out[i] <= most[i]], dtype=np.int64)
+    todo = todo[np.argsort([-len(pairs[i][1]) for i in todo], kind="stable")] if len(todo) else todo
+    while len(todo):  # long pairs first; as many at a time as have a few million code points
+        longest = len(pairs[todo[0]][1])
+        some, todo = np.split(todo, [max(1, 2_000_000 // (longest + 64))])
+        out[some] = _distances([pairs[i][0] for i in some], [pairs[i][1] for i in some], most[some])
+    return np.minimum(out, most + 1)
+
+
+def _distances(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """``edit_distances`` of pairs sorted by falling length of b, which is no longer than a."""
+    band, one = int(most.max()), np.uint64(1)
+    n = np.array([len(x) for x in b])
+    over = np.array([len(x) for x in a]) - n
+    rows, columns = codes_of(a, band, int(n[0]) + 2 * band + 1), codes_of(b, 0, int(n[0]))
+    result = over.copy()
+    live = np.arange(len(a))
+    score, diagonal = over.copy(), (63 - band + over).astype(np.uint64)
+    up = np.full(len(a), ((1 << (band + 1)) - 1) << (63 - band), dtype=np.uint64)
+    down = np.zeros(len(a), dtype=np.uint64)
+    weights = (np.uint64(1) << (63 - 2 * band + np.arange(2 * band + 1)).astype(np.uint64))[:, None]
+    for j in range(int(n[0])):
+        ends = int(np.searchsorted(-n, -j))  # those before it have more than j columns
+        if ends < len(live) or j % 32 == 31:
+            result[live] = score
+            stay = (np.arange(len(live)) < ends) & (score <= most)
+            rows, columns, live, score, diagonal, up, down, n, most = rows[:, stay], columns[:, stay], live[stay], score[stay], diagonal[stay], up[stay], down[stay], n[stay], most[stay]
+            if not len(live):
+                return result
+        same = np.bitwise_or.reduce((rows[j : j + 2 * band + 1] == columns[j]) * weights, axis=0)
+        zero = (((same & up) + up) ^ up) | same | down
+        right, left = down | ~(zero | up), zero & up
+        score = score + 1 - ((zero >> diagonal) & one).astype(np.int64)
+        moved = zero >> one
+        up, down = left | ~(moved | right), moved & right
+    result[live] = score
+    return result
+
+
+def near(left: list[str], right: list[str], tau: int | None) -> np.ndarray:
+    """Whether the two lines of each pair are within the edits they allow."""
+    most = most_edits(np.minimum([len(x) for x in left], [len(x) for x in right]).astype(np.int64), tau)
+    return edit_distances(left, right, most) <= most
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
@@ -228,10 +254,10 @@ def candidates_of_keys(batches: Iterator[pa.RecordBatch], tau: int | None, crowd
         while len(at):  # every row and the step-th after it, as long as that has the key and is not too long
             at = at[at + step < len(key)]
             at = at[(run[at] == run[at + step]) & (size[at + step] - size[at] <= most[at]) & ~full[run[at]]]
-            near = at[_far(about[at], about[at + step]) <= 2 * most[at]]
-            left.append(near)
-            right.append(near + step)
-            hits += np.bincount(run[near], minlength=len(hits))
+            met = at[_far(about[at], about[at + step]) <= 2 * most[at]]
+            left.append(met)
+            right.append(met + step)
+            hits += np.bincount(run[met], minlength=len(hits))
             full |= hits > crowd * members
             step += 1
         i, j = np.concatenate(left), np.concatenate(right)
@@ -265,50 +291,36 @@ def pair_counts(text: str) -> np.ndarray:
     return np.bincount((codes[:-1] * np.uint32(31) + codes[1:]) % 128, minlength=128).astype(np.int32)
 
 
-def links_of_crowd(lines: list[tuple[bytes, str]], tau: int | None) -> list[tuple[bytes, bytes]]:
+def links_of_crowd(lines: list[tuple[bytes, str]], tau: int | None, block: int = 64) -> list[tuple[bytes, bytes]]:
     """Links that connect all of the lines (id, text) within the edits they allow.
 
-    Each line joins the first pivot that is near, or becomes one. It can be near a row of another pivot only within
-    twice the edits of that pivot; such rows are tried until one links the two groups, unless they are one already.
-    Counts of pairs of characters tell most that are too far.
+    Lines come in blocks. Each is held against the pivots so far; where none is near it becomes one. Then it is held
+    against earlier lines of groups other than its own. Counts of pairs of characters tell most that are too far.
     """
-    most = max((edits(len(text), tau) for _, text in lines), default=0)
     counts = np.array([pair_counts(text) for _, text in lines]).reshape(-1, 128)
-    pivots = np.zeros_like(counts)
-    balls: list[list[int]] = []
-    above: list[int] = []
-    links = []
+    most = most_edits(np.array([len(text) for _, text in lines], dtype=np.int64), tau)
+    above, pivots, links = np.arange(len(lines)), [], []
 
     def top(x: int) -> int:
         while above[x] != x:
             x = above[x]
         return x
 
-    def near(x: int, y: int) -> bool:
-        a, b = lines[x][1], lines[y][1]
-        t = edits(min(len(a), len(b)), tau)
-        return edit_distance(a, b, t) <= t
-
-    def within(rows: np.ndarray, i: int, most: int) -> list[int]:
-        return np.flatnonzero(np.abs(rows - counts[i]).sum(axis=1) <= 4 * most).tolist()
-
-    for i in range(len(lines)):
-        ring = within(pivots[: len(balls)], i, 2 * most)
-        home = next((k for k in ring if near(i, balls[k][0])), None)
-        if home is None:
-            home = len(balls)
-            pivots[home] = counts[i]
-            balls.append([])
-            above.append(home)
-        else:
-            links.append((lines[i][0], lines[balls[home][0]][0]))
-        for k in ring:
-            if top(k) != top(home):
-                other = next((j for j in (balls[k][x] for x in within(counts[balls[k]], i, most)) if near(i, j)), None)
-                if other is not None:
-                    links.append((lines[i][0], lines[other][0]))
-                    above[top(k)] = top(home)
-        balls[home].append(i)
+    def maybe(i: int, others: np.ndarray) -> np.ndarray:
+        return others[np.abs(counts[others] - counts[i]).sum(axis=1) <= 4 * np.minimum(most[others], most[i])]
+
+    def join(pairs: list[tuple[int, int]]) -> None:
+        for i, j in np.array(pairs, dtype=np.int64).reshape(-1, 2)[near([lines[i][1] for i, _ in pairs], [lines[j][1] for _, j in pairs], tau)] if pairs else []:
+            if top(i) != top(j):
+                above[top(i)] = top(j)
+                links.append((lines[i][0], lines[j][0]))
+
+    for begin in range(0, len(lines), block):
+        some = range(begin, min(begin + block, len(lines)))
+        join([(i, j) for i in some for j in maybe(i, np.array(pivots, dtype=np.int64))])
+        pivots += [i for i in some if top(i) == i]
+        groups = np.array([top(i) for i in range(some.stop)])
+        join([(i, j) for i in some for j in maybe(i, np.flatnonzero(groups[:i] != groups[i]))])
     return links
 
 
@@ -345,8 +357,8 @@ def verified(pairs: DataFrame, texts: DataFrame, tau: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [edit_distance(x, y, t := edits(min(len(x), len(y)), tau)) <= t for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+            for part in sliced(batch, "left"):
+                yield part.select([0, 1]).filter(pa.array(near(part.column(2).to_pylist(), part.column(3).to_pylist(), tau)))
 
     left = texts.select(F.col("line").alias("a"), F.col("id").alias("x"), F.col("text").alias("left"))
     right = texts.select(F.col("line").alias("b"), F.col("id").alias("y"), F.col("text").alias("right"))
