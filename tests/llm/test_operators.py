@@ -188,8 +188,8 @@ def test_line_dedup_equals_brute_force(spark, tau, crowd):
         assert r.kept == "\n".join(line for i, line in enumerate(r.text.split("\n")) if (r.doc_id, i) not in gone)
 
 
-@pytest.mark.parametrize("crowd", [0, 8])
-def test_edits_grow_with_the_line(spark, crowd):
+@pytest.mark.parametrize("crowd,block", [(0, 4096), (0, 16), (8, 4096)])
+def test_edits_grow_with_the_line(spark, crowd, block):
     rng = random.Random(crowd)
     words = ["".join(rng.choices("abcdefghij é", k=rng.randint(2, 8))) for _ in range(300)]
     base = [" ".join(rng.choices(words, k=k)) for k in (5, 15, 25, 40, 60, 90) for _ in range(2)]
@@ -208,10 +208,20 @@ def test_edits_grow_with_the_line(spark, crowd):
     assert (found[found <= most] > 5).any()
     texts = ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]
     ids = {hashlib.md5(line.encode()).digest(): line for line in lines}
-    root = components([(ids[bytes(r.a)], ids[bytes(r.b)]) for r in line_dedup.line_links(frame(spark, texts), crowd=crowd).collect()], lines)
+    root = components([(ids[bytes(r.a)], ids[bytes(r.b)]) for r in line_dedup.line_links(frame(spark, texts), crowd=crowd, block=block).collect()], lines)
     assert root == components(pairs, lines)
 
 
+def test_keys_with_too_many_rows_to_hold_are_crowded():
+    import pyarrow as pa
+
+    rows = [(1, 5, 1), (2, 5, 2), *((3, 5, i) for i in range(20)), (4, 5, 3), (4, 5, 4)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + 6])], ["key", "about", "line"]) for i in range(0, len(rows), 6)]
+    found = [r for b in line_dedup.candidates_of_keys(iter(batches), 1, 8, 5) for r in b.to_pylist()]
+    assert {r["a"] for r in found if r["key"] == 3} == set(range(20))
+    assert [(r["a"], r["b"]) for r in found if r["key"] is None] == [(4, 3)]
+
+
 def test_short_repeated_lines_go(spark):
     texts = ["Of, edti oner.\n--\n\nok", "ok\n--\nOf, edti oner.\nOf, edti onar.", "été\nété\n--"]
     found = line_dedup.deduplicate_lines(frame(spark, texts)).withColumn("kept", line_dedup.kept_text())

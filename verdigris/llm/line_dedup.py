@@ -12,8 +12,8 @@ lines that may be near, at every place to which the edits can have moved them; o
 smallest substring stands for both, which keeps the keys few and loses no pair. Rows meet by these keys; those that
 meet are candidates if lengths and counts of characters allow it, and a banded bit-parallel edit distance verifies them.
 
-A key whose rows make more than ``CROWD`` candidates each brings its texts together instead: each is held against
-pivots, and against the rows around a pivot only where these may link two groups. No link is lost.
+A key whose rows make more than ``CROWD`` candidates each brings its texts together instead, in blocks: each is held
+against pivots, and against other lines only where these may link two groups. No link is lost.
 
 Null and empty texts have no lines to drop. Documents alike in doc_id and text are one document: each row of it
 gets the same result. A null doc_id sorts before all others. An empty table gives an empty result.
@@ -34,6 +34,8 @@ from verdigris.llm.common import connected_components, document_key, hub_join, l
 
 #: ``TAU`` may be a fixed number of edits; None lets it grow with the line.
 TAU, SHARE, MOST, LEAST_LINE, LEAST_NEAR, CROWD = None, 40, 8, 1, 20, 64
+#: Rows of a crowded key that are held against each other in one task, and rows of a key beyond which it is crowded.
+BLOCK, HELD = 4096, 1_000_000
 #: Kinds of characters that a line's signature counts, four bits each.
 KINDS = 8
 #: As many lines are sent to every task; more are joined by shuffle.
@@ -238,7 +240,7 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def candidates_of_keys(batches: Iterator[pa.RecordBatch], tau: int | None, crowd: int) -> Iterator[pa.RecordBatch]:
+def candidates_of_keys(batches: Iterator[pa.RecordBatch], tau: int | None, crowd: int, limit: int = HELD) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (a, b, null) of rows sorted by key, about and line; (a, null, key) for all lines of crowded keys."""
 
     def pairs(key: np.ndarray, about: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
@@ -269,11 +271,24 @@ def candidates_of_keys(batches: Iterator[pa.RecordBatch], tau: int | None, crowd
             [pa.array(np.concatenate((two[:, 0], line[many]))), pa.concat_arrays([pa.array(two[:, 1]), pa.nulls(len(many), pa.int64())]), pa.concat_arrays([pa.nulls(len(two), pa.int64()), pa.array(key[many])])], ["a", "b", "key"]
         )
 
+    def all_crowded(key: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
+        line = np.unique(line)
+        return pa.RecordBatch.from_arrays([pa.array(line), pa.nulls(len(line), pa.int64()), pa.array(np.full(len(line), key[0]))], ["a", "b", "key"])
+
     held: list[list[np.ndarray]] = []
+    flowing = None  # a key that has had too many rows to hold
     for batch in batches:
         rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
         if not len(rows[0]):
             continue
+        if flowing is not None:
+            same = int(np.searchsorted(rows[0], flowing, side="right"))
+            if same:
+                yield all_crowded(rows[0][:same], rows[2][:same])
+            rows = [x[same:] for x in rows]
+            if not len(rows[0]):
+                continue
+            flowing = None
         edge = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on in the next batch
         if held and (edge or held[-1][0][-1] != rows[0][0]):
             yield pairs(*(np.concatenate(x) for x in zip(*held, [x[:edge] for x in rows])))
@@ -281,6 +296,10 @@ def candidates_of_keys(batches: Iterator[pa.RecordBatch], tau: int | None, crowd
         elif edge:
             yield pairs(*(x[:edge] for x in rows))
         held.append([x[edge:] for x in rows])
+        if sum(len(x[0]) for x in held) > limit:
+            flowing = held[0][0][0]
+            yield all_crowded(held[0][0], np.concatenate([x[2] for x in held]))
+            held = []
     if held:
         yield pairs(*(np.concatenate(x) for x in zip(*held)))
 
@@ -291,14 +310,23 @@ def pair_counts(text: str) -> np.ndarray:
     return np.bincount((codes[:-1] * np.uint32(31) + codes[1:]) % 128, minlength=128).astype(np.int32)
 
 
-def links_of_crowd(lines: list[tuple[bytes, str]], tau: int | None, block: int = 64) -> list[tuple[bytes, bytes]]:
-    """Links that connect all of the lines (id, text) within the edits they allow.
+def links_of_crowd(lines: list[tuple[bytes, str, list[int], int]], tau: int | None, step: int = 64) -> list[tuple[bytes, bytes]]:
+    """Links that connect all of the lines (id, text, keys, block) within the edits they allow.
 
-    Lines come in blocks. Each is held against the pivots so far; where none is near it becomes one. Then it is held
+    Pairs with a key in common, or of one block where there are two, are left to another task. Lines come in steps, the
+    most typical first. Each is held against the pivots so far; where none is near it becomes one. Then it is held
     against earlier lines of groups other than its own. Counts of pairs of characters tell most that are too far.
     """
-    counts = np.array([pair_counts(text) for _, text in lines]).reshape(-1, 128)
-    most = most_edits(np.array([len(text) for _, text in lines], dtype=np.int64), tau)
+    counts = np.array([pair_counts(text) for _, text, _, _ in lines]).reshape(-1, 128)
+    order = np.argsort(np.abs(counts - np.median(counts, axis=0)).sum(axis=1), kind="stable") if lines else []
+    lines, counts = [lines[i] for i in order], counts[order]
+    most = most_edits(np.array([len(text) for _, text, _, _ in lines], dtype=np.int64), tau)
+    number = {k: n for n, k in enumerate(sorted({k for *_, keys, _ in lines for k in keys}))}
+    keys = np.zeros((len(lines), len(number)), dtype=bool)
+    for row, (*_, mine, _) in zip(keys, lines):
+        row[[number[k] for k in mine]] = True
+    block = np.array([b for *_, b in lines])
+    two = len(set(block.tolist())) > 1
     above, pivots, links = np.arange(len(lines)), [], []
 
     def top(x: int) -> int:
@@ -307,16 +335,18 @@ def links_of_crowd(lines: list[tuple[bytes, str]], tau: int | None, block: int =
         return x
 
     def maybe(i: int, others: np.ndarray) -> np.ndarray:
+        others = others[~(keys[others] & keys[i]).any(axis=1) & (not two or (block[others] != block[i]))]
         return others[np.abs(counts[others] - counts[i]).sum(axis=1) <= 4 * np.minimum(most[others], most[i])]
 
     def join(pairs: list[tuple[int, int]]) -> None:
-        for i, j in np.array(pairs, dtype=np.int64).reshape(-1, 2)[near([lines[i][1] for i, _ in pairs], [lines[j][1] for _, j in pairs], tau)] if pairs else []:
+        found = near([lines[i][1] for i, _ in pairs], [lines[j][1] for _, j in pairs], tau) if pairs else []
+        for i, j in np.array(pairs, dtype=np.int64).reshape(-1, 2)[found]:
             if top(i) != top(j):
                 above[top(i)] = top(j)
                 links.append((lines[i][0], lines[j][0]))
 
-    for begin in range(0, len(lines), block):
-        some = range(begin, min(begin + block, len(lines)))
+    for begin in range(0, len(lines), step):
+        some = range(begin, min(begin + step, len(lines)))
         join([(i, j) for i in some for j in maybe(i, np.array(pivots, dtype=np.int64))])
         pivots += [i for i in some if top(i) == i]
         groups = np.array([top(i) for i in range(some.stop)])
@@ -324,8 +354,12 @@ def links_of_crowd(lines: list[tuple[bytes, str]], tau: int | None, block: int =
     return links
 
 
-def crowd_links(crowded: DataFrame, tau: int | None) -> DataFrame:
-    """Links (a, b) of line ids among the rows (key, id, text) of each key."""
+def crowd_links(crowded: DataFrame, texts: DataFrame, tau: int | None, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of line ids among the rows (line, key) of each key.
+
+    A key of more than ``block`` rows is cut in blocks, and every two blocks are a task of their own. Each row
+    carries the smaller crowded keys of its line, so that two lines meet in the first of their keys alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def linked() -> pa.RecordBatch:
@@ -334,14 +368,20 @@ def crowd_links(crowded: DataFrame, tau: int | None) -> DataFrame:
 
         last, rows = None, []
         for batch in batches:
-            for key, name, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != last:
+            for key, x, y, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, x, y) != last:
                     yield linked()
-                    last, rows = key, []
-                rows.append((name, text))
+                    last, rows = (key, x, y), []
+                rows.append(row)
         yield linked()
 
-    return crowded.select("key", "id", "text").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a binary, b binary")
+    sizes = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    cut_up = hub_join(crowded, sizes, "key", crowded.count())
+    keyed = cut_up.groupBy("line").agg(F.array_sort(F.collect_set(F.struct("key", "blocks"))).alias("keys")).join(texts, "line")
+    rows = keyed.select("id", "text", "keys", F.posexplode("keys").alias("at", "k")).select("id", "text", "k.*", F.slice("keys.key", 1, F.col("at")).alias("lower"), F.pmod(F.xxhash64("id"), F.col("k.blocks")).cast("int").alias("block"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "text", "lower", "block")
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id").mapInArrow(run, "a binary, b binary")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -365,14 +405,14 @@ def verified(pairs: DataFrame, texts: DataFrame, tau: int | None) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "left", "right").mapInArrow(run, "a binary, b binary")
 
 
-def line_links(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_NEAR, crowd: int = CROWD) -> DataFrame:
+def line_links(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_NEAR, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """Links (a, b) of line ids that connect all distinct lines within the edits they allow."""
     rows = segment_rows(docs, tau, least).repartition("key").sortWithinPartitions("key", "about", "line")
     found = cut(rows.mapInArrow(lambda x: candidates_of_keys(x, tau, crowd), "a long, b long, key long").distinct())
     wanted = found.select(F.explode(F.array("a", "b")).alias("line")).where("line is not null").distinct()
     texts = cut(line_texts(docs, wanted, least))
-    crowded = found.where("b is null").select(F.col("a").alias("line"), "key").join(texts, "line")
-    return verified(found.where("b is not null").select("a", "b"), texts, tau).unionByName(crowd_links(crowded, tau))
+    crowded = found.where("b is null").select(F.col("a").alias("line"), "key")
+    return verified(found.where("b is not null").select("a", "b"), texts, tau).unionByName(crowd_links(crowded, texts, tau, block))
 
 
 def repeated_lines(docs: DataFrame, tau: int | None, least: int, crowd: int, near: int) -> DataFrame:
