@@ -70,11 +70,46 @@ def test_secret_spans(spark):
     assert [(found[i].n_assign, found[i].n_access, found[i].n_hex, found[i].n_entropy) for i in range(9)] == [(1, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
     assert secret_scan.redact(texts[5], found[5].spans) == "see [SECRET] ok"
     scanner = secret_scan.Scanner()
+    added = lambda text: [text[a:b].lstrip("/") for a, b in scanner.added(text, scanner.base(text))]
+    assert added(f"AKIA{'A1B2' * 4}/{key}{key}") == [key + key]
+    assert added(f"docs/example/{key}{key} 123e4567-e89b-12d3-a456-426614174000") == [key + key]
+    assert added("data iVBORw0KGgo" + "A" * 24 + "Nz9 end") == [] and added("a" + "-" * 5000 + "1 " + "-" * 60 + " a1" + "=" * 21) == []
+
+
+def entropy(window):
+    return -sum(window.count(c) / len(window) * np.log2(window.count(c) / len(window)) for c in set(window))
+
+
+def test_secrets_equal_brute_force(spark):
+    """Base spans by the patterns alone, and windows' entropies and classes by counting each anew."""
     rng = random.Random(2)
-    for _ in range(50):
-        text = "".join(rng.choices("abcdef0123", k=rng.randint(20, 60)))
-        entropy = lambda w: -sum(w.count(c) / len(w) * np.log2(w.count(c) / len(w)) for c in set(w))
-        assert abs(scanner.peak_entropy(text) - max(entropy(text[i : i + 20]) for i in range(len(text) - 19))) < 1e-9
+    scanner = secret_scan.Scanner()
+    bits = ["password", "TOKEN", "api_key", "=", ": ", '"', "AKIA", "A1", "0" * 24, "f" * 9, "-" * 21, "A" * 30, "a/b", "/", "é", "\n", " ", "example", "x1"]
+    random_bit = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", k=rng.randint(3, 30)))
+    texts = ["".join(rng.choice(bits) if rng.random() < 0.6 else random_bit() for _ in range(14)) for _ in range(300)]
+    for text, r in zip(texts, secret_scan.scan_secrets(frame(spark, texts)).orderBy("doc_id").collect()):
+        spans = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        told = [f"{['assign', 'access', 'hex'][k]}:{a}:{b}" for a, k, b in sorted(spans)]
+        assert r.base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and not x.startswith("entropy")] == told
+        inside = {p for a, _, b in spans for p in range(a, b)}
+        added = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("entropy")]
+        hot = set()
+        for i in range(len(text) - 19):
+            window = text[i : i + 20]
+            if not re.fullmatch(r"[A-Za-z0-9+/_=-]{20}", window) or inside.intersection(range(i, i + 20)) or not (re.search("[0-9]", window) and re.search("[A-Za-z]", window)):
+                continue
+            least = next(bits for _, chars, bits in secret_scan.CLASSES if set(window) <= set(chars))
+            if entropy(window) >= least - 1e-9:
+                hot.update(range(i, i + 20))
+        covered = {p for a, b in added for p in range(a, b)}
+        assert not covered & inside and r.n_entropy == len(added)
+        stops = {p for p in range(len(text)) for m in re.finditer("(?i)example|placeholder|changeme|xxxx|0123456789|abcdefgh", text) if m.start() <= p < m.end() and not inside.intersection(range(*m.span()))}
+        if not stops:
+            assert hot <= covered and all(hot.intersection(range(a, b)) for a, b in added)
+        else:
+            assert not covered & stops
 
 
 def components(links, nodes):
@@ -129,11 +164,12 @@ def test_prefix_counts_and_codec_equal_the_library(spark):
     counter = token_counts.PrefixCounter(model_path())
     for text, counts in zip(texts, counter.counts(texts)):
         assert counts.tolist() == [len(library.encode(text[:i])) for i in range(len(text) + 1)]
-    assert [n for n, _ in counter.measure(texts, 3)] == [len(library.encode(t)) for t in texts]
-    assert [k for _, k in counter.measure(texts, 3)] == [max(i for i in range(len(t) + 1) if len(library.encode(t[:i])) <= 3) for t in texts]
+    assert [n for n, *_ in counter.measure(texts, 3)] == [len(library.encode(t)) for t in texts]
+    assert [k for _, k, _ in counter.measure(texts, 3)] == [max(i for i in range(len(t) + 1) if len(library.encode(t[:i])) <= 3) for t in texts]
     made = piece_codec.encode_pieces(frame(spark, texts), model_path())
     rows = {r.doc_id: r for r in made.collect()}
     assert [rows[i].ids for i in range(len(texts))] == [library.encode(t) for t in texts]
+    assert sum(r.n_repaired for r in rows.values()) == 0
     assert [rows[i].round_trip for i in range(len(texts))] == ["▁" not in t for t in texts]
     back = {r.doc_id: r.text for r in piece_codec.decode_pieces(made, model_path()).collect()}
     assert [back[i] for i in range(len(texts))] == [library.decode(library.encode(t)) for t in texts]

@@ -21,8 +21,8 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def document_key() -> Column:
-    """A digest of id and text. Rows alike in both are one document, and share every result."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))))
+    """A digest of id and text (null: empty). Rows alike in both are one document, and share every result."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit("")))))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -22,6 +22,7 @@ gets the same result. A null doc_id sorts before all others. An empty table give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from verdigris.llm.common import connected_components, document_key, hub_join, l
 #: ``TAU`` may be a fixed number of edits; None lets it grow with the line.
 TAU, SHARE, MOST, LEAST_LINE, LEAST_NEAR, CROWD = None, 40, 8, 1, 20, 64
 #: Rows of a crowded key that are held against each other in one task, and rows of a key beyond which it is crowded.
-BLOCK, HELD = 4096, 1_000_000
+BLOCK, HELD = 1024, 1_000_000
 #: Kinds of characters that a line's signature counts, four bits each.
 KINDS = 8
 #: As many lines are sent to every task; more are joined by shuffle.
@@ -54,6 +55,7 @@ def most_edits(lengths: np.ndarray, tau: int | None = TAU) -> np.ndarray:
     return np.minimum(MOST, np.maximum(1, lengths // SHARE)) if tau is None else np.full(len(lengths), tau)
 
 
+@lru_cache(maxsize=64)
 def length_classes(longest: int, least: int, tau: int | None) -> list[int]:
     """The least length of each class of lengths; all lengths of a class have the same number of edits."""
     out, low = [], max(least, edits(least, tau) + 1)
@@ -143,7 +145,8 @@ def near(left: list[str], right: list[str], tau: int | None) -> np.ndarray:
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """(__key, doc_id, number, line) of the lines that take part: with a letter or digit, and of ``least`` code points."""
     lines = texts_of(docs).select(document_key().alias("__key"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
-    return lines.where((F.length("line") >= least) & F.col("line").rlike(WORD))
+    begins = F.substring("line", 1, 64).rlike(WORD)  # most lines show it early
+    return lines.where((F.length("line") >= least) & (begins | F.col("line").rlike(WORD)))
 
 
 def name_of(line: str) -> Column:
@@ -162,13 +165,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@lru_cache(maxsize=4)
+def powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the hash's base and of its inverse, modulo 2 ** 64."""
+    base = 0x9E3779B97F4A7C15
+    return tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(length, x, dtype=np.uint64)))) for x in (base, pow(base, -1, 2**64)))
+
+
 def smallest_hashes(codes: np.ndarray, k: int, window: int) -> np.ndarray:
     """For every place the smallest hash of the ``window`` substrings of k codes that begin there or next."""
-    n, base = len(codes), 0x9E3779B97F4A7C15
-    up = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, base, dtype=np.uint64))))
-    down = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, pow(base, -1, 2**64), dtype=np.uint64))))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(codes.astype(np.uint64) + np.uint64(1)) * up[:n])))
-    least = _mixed((sums[k:] - sums[:-k]) * down[: n - k + 1])
+    n = len(codes)
+    up, down = powers(1 << max(16, n.bit_length()))
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(codes * up[:n], out=sums[1:])
+    least = sums[k:] - sums[:-k]
+    least *= down[: n - k + 1]
+    least ^= least >> np.uint64(32)
+    least *= np.uint64(0xFF51AFD7ED558CCD)
     span = 1
     while 2 * span <= window:
         least = np.minimum(least[:-span], least[span:])
@@ -212,21 +225,22 @@ def segment_rows(docs: DataFrame, tau: int | None, least: int) -> DataFrame:
         for batch in batches:
             for part in sliced(batch, "line"):
                 names, first = np.unique(part.column("name").to_numpy(), return_index=True)
-                texts = part.column("line").take(pa.array(first))
-                sizes = pc.utf8_length(texts).to_numpy().astype(np.int64)
+                sizes = pc.utf8_length(part.column("line")).to_numpy().astype(np.int64)[first]
+                order = np.argsort(sizes, kind="stable")  # lines of a class follow each other
+                names, sizes = names[order], sizes[order]
+                texts = part.column("line").take(pa.array(first[order]))
                 codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                counts = np.bincount(owner * KINDS + codes % KINDS, minlength=len(sizes) * KINDS).reshape(-1, KINDS) & 15
+                ends = np.cumsum(sizes)
+                kinds = np.repeat(np.arange(len(sizes)) * KINDS, sizes) + codes % np.uint32(KINDS)
+                counts = np.bincount(kinds, minlength=len(sizes) * KINDS).reshape(-1, KINDS) & 15
                 about = (sizes << 32) | (counts << 4 * np.arange(KINDS)).sum(axis=1)
-                classes = length_classes(int(sizes.max()), least, tau)
-                lows = np.array(classes)
-                own = np.searchsorted(lows, sizes, side="right") - 1
-                shortest = np.searchsorted(lows, sizes - most_edits(sizes, tau), side="right") - 1
-                for c, low in enumerate(classes):
-                    chosen = (np.maximum(shortest, 0) <= c) & (c <= own)
-                    if chosen.any():
-                        keys, line = segment_keys(codes[chosen[owner]], sizes[chosen], low, edits(low, tau), c)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(about[chosen][line]), pa.array(names[chosen][line])], schema=schema)
+                lows = np.array(length_classes(1 << int(sizes[-1]).bit_length(), least, tau))
+                shortest = np.maximum(np.searchsorted(lows, sizes - most_edits(sizes, tau), side="right") - 1, 0)
+                for c, low in enumerate(lows.tolist()):
+                    a, b = np.searchsorted(sizes, low), np.searchsorted(shortest, c, side="right")
+                    if a < b:
+                        keys, line = segment_keys(codes[ends[a] - sizes[a] : ends[b - 1]], sizes[a:b], low, edits(low, tau), c)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(about[a:b][line]), pa.array(names[a:b][line])], schema=schema)
 
     return lines_of(docs, least).select(name_of("line").alias("name"), "line").mapInArrow(run, "key long, about long, line long")
 
@@ -386,10 +400,10 @@ def crowd_links(crowded: DataFrame, texts: DataFrame, tau: int | None, block: in
 
 def line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """(line, id, text) of the wanted lines, each once. Few are sent to every task; else repeats are combined first."""
-    every = lines_of(docs, least).select(name_of("line").alias("line"), id_of("line").alias("id"), F.col("line").alias("text"))
-    if wanted.count() <= FEW_LINES:
-        return every.join(F.broadcast(wanted), "line", "left_semi").distinct()
-    return every.distinct().join(wanted, "line", "left_semi")
+    every = lines_of(docs, least).select(name_of("line").alias("line"), F.col("line").alias("text"))
+    few = wanted.count() <= FEW_LINES
+    found = every.join(F.broadcast(wanted), "line", "left_semi").distinct() if few else every.distinct().join(wanted, "line", "left_semi")
+    return found.select("line", id_of("text").alias("id"), "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, tau: int | None) -> DataFrame:
@@ -441,7 +455,7 @@ def deduplicate_lines(docs: DataFrame, tau: int | None = TAU, least: int = LEAST
     """The rows and columns of ``docs``, and __dropped: the lines that go, each with what stays for it (null: none)."""
     ship_code(docs.sparkSession)
     gone = dropped_lines(docs, tau, least, crowd, near).withColumnRenamed("__key", "__gone")
-    keyed = docs.withColumn("__key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))))))
+    keyed = docs.withColumn("__key", document_key())
     return keyed.join(gone, F.col("__key") == F.col("__gone"), "left").select(*docs.columns, "__dropped")
 
 
