@@ -1,9 +1,11 @@
 """Secret scans: patterns of known forms, and sliding-window entropy over candidate strings.
 
-Base spans come from three fixed patterns. The entropy pass adds spans: every maximal string of token
-characters that is long enough is put in a character class, a window slides over it with incremental
-counts, and the string is a finding if some window reaches the class's entropy. Strings of allow-listed
-shapes (dashed words, paths, version numbers, well-known hashes and placeholders) are let go.
+Base spans come from three fixed patterns. The entropy pass adds spans: what base spans leave of every maximal string of
+token characters is a candidate. A window slides over it, and incremental counts of its characters and of their kinds
+give its entropy and its character class; it is hot if it reaches the entropy of its class. Windows that touch an
+allow-listed stretch (placeholders, UUIDs, digests of nothing, runs of the alphabet) are let go, and so are windows
+without a digit or without a letter, which are words, paths, dates and numbers. Hot windows in a row are one span, which
+reaches on to the next mark, allowed stretch or end of the candidate.
 
 Null and empty texts have no spans. Repeated rows are scanned alike; an empty table gives an empty result.
 """
@@ -13,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -25,26 +29,25 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]+")
 _LONG_HEX = re.compile("[0-9a-f]{24}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_DIGIT = re.compile("[0-9]")
 
+MARKS = "+/_=-"
+#: The kinds of characters that a window's counts tell apart.
+PARTS = ["0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", MARKS]
 #: Name, characters and least entropy in bits of the window, from the narrowest class to the widest.
 CLASSES = [
-    ("digits", frozenset("0123456789"), 9.9),
-    ("hex", frozenset("0123456789abcdef"), 3.0),
-    ("upper", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 3.6),
-    ("lower", frozenset("abcdefghijklmnopqrstuvwxyz0123456789"), 3.6),
-    ("alnum", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 3.7),
-    ("token", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 3.9),
+    ("hex", "0123456789abcdef", 3.0),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.6),
+    ("lower", "abcdefghijklmnopqrstuvwxyz0123456789", 3.6),
+    ("alnum", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 3.7),
+    ("token", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + MARKS, 3.9),
 ]
 WINDOW = 20
-#: Shapes that are not secrets however mixed they look.
+#: Stretches that are no secrets however mixed they look.
 ALLOWED = [
-    r"[A-Za-z]+",  # a word, however long
-    r"[A-Za-z]{1,30}([_/=+-]+[A-Za-z]{0,30})*",  # words joined by marks
-    r"[0-9]+([_/=+-]+[0-9]+)*",  # numbers, dates
-    r"(.)\1*",  # one character repeated
-    r"(?i).*(example|placeholder|changeme|xxxx|0123456789|abcdefgh).*",  # placeholders
+    r"(?i:example|placeholder|changeme|xxxx|0123456789|abcdefgh)",
     r"d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709",  # digests of nothing
-    r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUIDs are names
+    r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])",  # UUIDs are names
 ]
 
 
@@ -57,35 +60,68 @@ class Scanner:
     allowed: list = field(default_factory=lambda: ALLOWED)
 
     def __post_init__(self) -> None:
-        self._allow = re.compile("|".join(f"(?:{x})" for x in _renumbered(self.allowed)))
+        self._allow = re.compile("|".join(f"(?:{x})" for x in self.allowed))
         #: k log2 k, so that a window of n has entropy log2 n - sum(k log2 k) / n.
         self._part = [0.0, *(k * math.log2(k) for k in range(1, self.window + 1))]
+        self._kind = {c: i for i, chars in enumerate(PARTS) for c in chars}
+        #: Least entropy by the set of kinds in a window, as bits.
+        self._least = [self._least_of({c for i, chars in enumerate(PARTS) if kinds >> i & 1 for c in chars}, kinds) for kinds in range(1 << len(PARTS))]
 
-    def peak_entropy(self, text: str) -> float:
-        """Largest entropy of a window in ``text``; each step updates two counts."""
-        part, n = self._part, self.window
+    def _least_of(self, chars: set[str], kinds: int) -> float:
+        mixed = kinds & 1 and kinds & 0b1110  # a digit and a letter
+        return next((bits for _, own, bits in self.classes if chars <= set(own)), math.inf) if mixed else math.inf
+
+    def windows(self, text: str) -> Iterator[tuple[float, float]]:
+        """(entropy, least entropy of the class) of every window of ``text``; a step updates two counts."""
+        part, n, kind_of, bits = self._part, self.window, self._kind, math.log2(self.window)
         counts: dict[str, int] = {}
-        total = best = 0.0
+        kinds, present, total = [0] * len(PARTS), 0, 0.0
         for i, c in enumerate(text):
-            k = counts.get(c, 0)
-            counts[c] = k + 1
-            total += part[k + 1] - part[k]
             if i >= n:
                 old = text[i - n]
                 k = counts[old]
                 counts[old] = k - 1
                 total += part[k - 1] - part[k]
+                kind = kind_of[old]
+                kinds[kind] -= 1
+                if not kinds[kind]:
+                    present ^= 1 << kind
+            k = counts.get(c, 0)
+            counts[c] = k + 1
+            total += part[k + 1] - part[k]
+            kind = kind_of[c]
+            kinds[kind] += 1
+            present |= 1 << kind
             if i >= n - 1:
-                best = max(best, math.log2(n) - total / n)
-        return best
-
-    def is_random(self, text: str) -> bool:
-        """Whether a candidate string reaches the entropy of its character class and is not allowed."""
-        if len(text) < self.window or self._allow.fullmatch(text):
-            return False
-        seen = set(text)
-        least = next((bits for _, chars, bits in self.classes if seen <= chars), None)
-        return least is not None and self.peak_entropy(text) >= least
+                yield bits - total / n, self._least[present]
+
+    def random_parts(self, text: str) -> list[tuple[int, int]]:
+        """Spans of a candidate string that its hot windows cover, each carried on to the next mark or allowed stretch."""
+        if len(text) < self.window or not _DIGIT.search(text):
+            return []
+        stops = [m.span() for m in self._allow.finditer(text)]
+        spans: list[list[int]] = []
+        at = 0
+        for i, (entropy, least) in enumerate(self.windows(text)):
+            while at < len(stops) and stops[at][1] <= i:
+                at += 1
+            if entropy < least - 1e-9 or (at < len(stops) and stops[at][0] < i + self.window):
+                continue
+            if spans and i <= spans[-1][1]:
+                spans[-1][1] = i + self.window
+            else:
+                spans.append([i, i + self.window])
+        if not spans:
+            return []
+        marks = [i for i, c in enumerate(text) if c in MARKS]
+        starts, ends = sorted({0, *(i + 1 for i in marks), *(b for _, b in stops)}), sorted({len(text), *marks, *(a for a, _ in stops)})
+        out: list[tuple[int, int]] = []
+        for a, b in spans:
+            a, b = starts[bisect_right(starts, a) - 1], ends[bisect_left(ends, b)]
+            if out and a < out[-1][1]:
+                a = out.pop()[0]
+            out.append((a, b))
+        return out
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """Base spans (start, kind's number, end), sorted."""
@@ -99,19 +135,22 @@ class Scanner:
         return sorted(spans)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-        """Spans (start, end) of random strings that no base span touches."""
-        found = [(m.start(), m.end()) for m in _CANDIDATE.finditer(text) if self.is_random(m[0])]
-        return [(a, b) for a, b in found if not any(x < b and a < y for x, _, y in base)] if found else []
-
-
-def _renumbered(patterns: list[str]) -> list[str]:
-    """Patterns made safe to join: back-references count the groups before them."""
-    out, groups = [], 0
-    for p in patterns:
-        out.append(re.sub(r"\\(\d+)", lambda m: f"\\{int(m[1]) + groups}", p).replace("(?i)", ""))
-        out[-1] = f"(?i:{out[-1]})" if "(?i)" in p else out[-1]
-        groups += re.compile(p).groups
-    return out
+        """Spans (start, end) of random strings in what the base spans leave of the candidates."""
+        found, at = [], 0
+        for m in _CANDIDATE.finditer(text):
+            here = m.start()
+            while at < len(base) and base[at][2] <= here:
+                at += 1
+            k = at
+            while here < m.end():
+                stop = min(base[k][0], m.end()) if k < len(base) else m.end()
+                if stop > here:
+                    found += [(here + a, here + b) for a, b in self.random_parts(text[here:stop])]
+                if stop == m.end():
+                    break
+                here = max(here, base[k][2])
+                k += 1
+        return found
 
 
 def scan_secrets(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
