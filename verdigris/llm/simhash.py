@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.session import cut, ship_code
-from verdigris.llm.common import connected_components, per_text
+from verdigris.llm.common import connected_components, document_key, hub_join, per_text, texts_of
 
 SHINGLE, RADIUS, SEED, CROWD = 4, 4, 42, 32
 #: The bits of every octet, lowest first.
@@ -162,12 +162,12 @@ def links_of_run(fp: np.ndarray, radius: int, crowd: int) -> np.ndarray | None:
     return None if (apart & (distances(pivot, pivot) <= 3 * radius)).any() else np.concatenate(links)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[list[np.ndarray]]:
-    """For each batch the fingerprints of keys with several rows, of rows (key, fp) sorted by key, run by run.
+def whole_runs(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[list[tuple[np.ndarray, bool]]]:
+    """For each batch the runs of keys with several rows, of rows (key, fp) sorted by key: fingerprints, and whether that is all.
 
-    A run that reaches ``most`` rows is given in pieces of that size.
+    A run that reaches ``most`` rows is given in pieces of that size, none of which is all of it.
     """
-    held, key = [np.zeros(0, dtype=np.int64)], None
+    held, key, split = [np.zeros(0, dtype=np.int64)], None, False
     for batch in batches:
         keys, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(keys):
@@ -175,21 +175,21 @@ def whole_runs(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iter
         edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
         runs = []
         if keys[0] != key:
-            runs.append(np.concatenate(held))
-            held = []
+            runs.append((np.concatenate(held), not split))
+            held, split = [np.zeros(0, dtype=np.int64)], False
         sizes = np.diff(edges)
         if len(sizes) > 1:
-            runs.append(np.concatenate([*held, fp[: edges[1]]]))
-            held = []
+            runs.append((np.concatenate([*held, fp[: edges[1]]]), not split))
+            held, split = [], False
             inner = np.flatnonzero(sizes[1:-1] > 1) + 1
-            runs += [fp[edges[k] : edges[k + 1]] for k in inner]
+            runs += [(fp[edges[k] : edges[k + 1]], True) for k in inner]
         held.append(fp[edges[-2] :])
         key = keys[-1]
         if sum(map(len, held)) >= most:
-            runs.append(np.concatenate(held))
-            held = [np.zeros(0, dtype=np.int64)]
-        yield [np.unique(r) for r in runs if len(r) > 1]
-    yield [np.unique(np.concatenate(held))]
+            runs.append((np.concatenate(held), False))
+            held, split = [np.zeros(0, dtype=np.int64)], True
+        yield [(np.unique(r), whole) for r, whole in runs if len(r) > whole]
+    yield [(np.unique(np.concatenate(held)), not split)]
 
 
 def pairs_of_runs(batches: Iterator[pa.RecordBatch], radius: int, crowd: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -197,8 +197,8 @@ def pairs_of_runs(batches: Iterator[pa.RecordBatch], radius: int, crowd: int, mo
     spanning = SpanningLinks()
     for runs in whole_runs(batches, most):
         links, unsettled = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for fp in runs:
-            found = links_of_run(fp, radius, crowd) if len(fp) < most else None
+        for fp, whole in runs:
+            found = links_of_run(fp, radius, crowd) if whole else None
             if found is None:
                 unsettled.append(fp)
             elif len(found):
@@ -232,37 +232,49 @@ def _links(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all within ``radius`` bits of each other."""
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows that become many
 
     def by_key(rows: DataFrame) -> DataFrame:
         return rows.repartition("key").sortWithinPartitions("key")
 
-    found = cut(by_key(variants(distinct, radius, whole=False)).mapInArrow(lambda x: pairs_of_runs(x, radius, crowd), "a long, b long").distinct())
+    rows = variants(distinct.select("fp").repartition(spread, "fp"), radius, whole=False)
+    found = cut(by_key(rows).mapInArrow(lambda x: pairs_of_runs(x, radius, crowd), "a long, b long").distinct())
     crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()
-    stars = by_key(variants(crowded, radius, whole=True)).mapInArrow(lambda x: stars_of_runs(x, radius), "a long, b long")
+    stars = by_key(variants(crowded.repartition(spread, "fp"), radius, whole=True)).mapInArrow(lambda x: stars_of_runs(x, radius), "a long, b long")
     return found.where("b is not null").unionByName(stars)
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
+def classes_of(docs: DataFrame, size: int, radius: int) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, __key, fp) of every row, then (fp, root, component_id, n) of every fingerprint, and the number of rows."""
     ship_code(docs.sparkSession)
-    made = cut(fingerprints(docs, size))
-    distinct = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    texts = texts_of(docs).select(F.struct("doc_id", document_key().alias("__key")).alias("doc_id"), "text")
+    made = cut(fingerprints(texts, size).select("doc_id.*", "fp"))
+    distinct = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     linked = connected_components(near_links(distinct, radius))
-    rooted = distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return made.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = cut(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    fingers, rows = rooted.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    return made, cut(hub_join(rooted, named, "root", fingers).select("fp", "root", "component_id", F.col("rows").alias("n"))), rows
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
+    made, classes, rows = classes_of(docs, size, radius)
+    return hub_join(made, classes, "fp", rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, with the columns of ``docs``: that with the smallest doc_id.
+    """One document of each component, with the columns of ``docs``: that with the smallest doc_id (null last), then digest of id and text.
 
-    Of repeated rows with that doc_id one stays; components of null ids alone stay whole.
+    Rows alike in id and text are one document, of which the row that comes first as JSON stays. Texts that share an id
+    but are not near each other both stay.
     """
-    found = near_duplicates(docs, size, radius)
-    stay = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg((F.count(F.lit(1)) > 1).alias("__again"))
-    kept = docs.join(stay, F.col("doc_id") == F.col("__id"))
-    single = kept.where("not __again").select(*docs.columns)
-    again = kept.where("__again").dropDuplicates(["__id"]).select(*docs.columns)
-    nameless = docs.where("doc_id is null")
-    return single.unionByName(again).unionByName(nameless)
+    made, classes, rows = classes_of(docs, size, radius)
+    named = hub_join(made, classes.drop("component_id"), "fp", rows).groupBy("root", "doc_id", "__key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key", "n")).alias("first")
+    stay = cut(named.groupBy("root").agg(first).select(F.col("first.__key").alias("__stays"), (F.col("first.n") > 1).alias("__again")))
+    keyed = docs.withColumn("__key", document_key())
+    single = keyed.join(stay.where("not __again"), F.col("__key") == F.col("__stays")).select(*docs.columns)
+    row = F.struct(*docs.columns)
+    again = keyed.join(stay.where("__again"), F.col("__key") == F.col("__stays")).groupBy("__key").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return single.unionByName(again)
