@@ -6,9 +6,10 @@ merges that the scores of a byte-pair model imply, byte fallback, and the decode
 the library's threads.
 
 Where texts may be cut without changing tokens (see ``PieceModel.words_are_independent``), each distinct part
-of a batch is encoded once and kept in a bounded cache. Every newly encoded part is held against the
-sentencepiece library: where they differ its ids are used and the document counts the part in n_repaired.
-Every part is also decoded again. Without such cuts whole texts are encoded, compared and decoded.
+of a batch is encoded once and kept in a bounded cache. The ids are the rebuilt pipeline's. Every newly encoded part is
+held against the sentencepiece library: only where they differ are the library's ids used instead, and the document
+counts the part in n_repaired. Every part is also decoded again. Without such cuts whole texts are encoded, compared
+and decoded. Models other than unigram and byte-pair ones are refused.
 
 Null and empty texts have no ids and decode to the empty text. A text holding the space marker itself
 decodes to a space there, as with the original library, and round_trip is then false. Repeated rows get
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.session import ship_code
 from verdigris.llm.common import per_text, sliced
-from verdigris.llm.piece_model import NORMAL, SPACE, UNIGRAM, UNUSED, USER_DEFINED, PieceModel, chunks
+from verdigris.llm.piece_model import BPE, NORMAL, SPACE, UNIGRAM, UNUSED, USER_DEFINED, PieceModel, chunks
 
 #: Threads of the library in a task, the number of parts after which a worker's cache starts afresh, and the
 #: number of parts that the library encodes at once.
@@ -54,6 +55,8 @@ def rebuild(model: PieceModel, whole_texts: bool = True):
     from tokenizers import Tokenizer, decoders, models, normalizers
 
     unk = model.pieces[model.unk_id][0]
+    if model.kind not in (UNIGRAM, BPE):
+        raise ValueError("only unigram and byte-pair models can be rebuilt")
     if model.kind == UNIGRAM:
         backend = models.Unigram([(p, score) for p, score, _ in model.pieces], model.unk_id, model.byte_fallback)
     else:
@@ -82,7 +85,7 @@ def _regex(pattern: str):
 class Codec:
     """Encoder and decoder of one model; made once in each Python worker."""
 
-    _made: dict[str, Codec] = {}
+    _made: dict[tuple[str, int], Codec] = {}
 
     def __init__(self, path: str, threads: int = THREADS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -101,9 +104,9 @@ class Codec:
 
     @classmethod
     def of(cls, path: str, threads: int = THREADS) -> Codec:
-        if path not in cls._made:
-            cls._made[path] = cls(path, threads)
-        return cls._made[path]
+        if (path, threads) not in cls._made:
+            cls._made[path, threads] = cls(path, threads)
+        return cls._made[path, threads]
 
     def learn(self, parts: list[str]) -> None:
         """Encode new parts, hold them against the library, decode them again."""
@@ -111,14 +114,15 @@ class Codec:
             some = parts[i : i + AT_ONCE]
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
             theirs = self.library.encode(some)
-            back = self.tokenizer.decode_batch(theirs, skip_special_tokens=False)
-            want = [p.replace(SPACE, " ") for p in some] if self.cuts else some
             if ours != theirs:
                 self.repaired.update(p for p, mine, ids in zip(some, ours, theirs) if mine != ids)
+                ours = [ids if p in self.repaired else mine for p, mine, ids in zip(some, ours, theirs)]
+            back = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
+            want = [p.replace(SPACE, " ") for p in some] if self.cuts else some
             if back != want:
                 self.inexact.update(p for p, text, x in zip(some, back, want) if text != x)
-            flat = array("I", chain.from_iterable(theirs)).tobytes()
-            ends = [*accumulate(map(len, theirs), lambda at, n: at + WIDTH * n, initial=0)]
+            flat = array("I", chain.from_iterable(ours)).tobytes()
+            ends = [*accumulate(map(len, ours), lambda at, n: at + WIDTH * n, initial=0)]
             self.known.update(zip(some, [flat[a:b] for a, b in pairwise(ends)]))
 
     def forget(self, parts: list[str]) -> None:

@@ -8,8 +8,9 @@ count of a prefix is one more than the count of the prefix that its last token l
 how many tokens any prefix has and how much of a text fits a budget, without encoding again.
 
 Texts are cut where no merge can cross (before runs of spaces); tables of the parts are kept in a bounded
-cache, and each part's total is checked against the library. Where that differs (or the model allows no
-such cuts), the library encodes every prefix of the part instead.
+cache. The number of tokens is the last entry of the tables, summed. Each part's total is checked against the
+library; where that differs (or the model allows no such cuts), the library encodes every prefix of the part instead,
+and the document counts it in n_repaired.
 
 Null and empty texts have 0 tokens. Repeated rows get equal counts; an empty table gives an empty result.
 """
@@ -54,6 +55,7 @@ class PrefixCounter:
         self.single: dict[str, int] = {}
         self.tables: dict[str, bytes] = {}
         self.totals: dict[str, int] = {}
+        self.repaired: set[str] = set()
 
     @classmethod
     def of(cls, path: str) -> PrefixCounter:
@@ -111,10 +113,11 @@ class PrefixCounter:
             made.append(array("I", counts[1:]).tobytes() if len(counts) == len(part) + 1 else b"")
             before = part
         for part, table, tokens in zip(parts, made, self.bare.encode(parts)):
-            if not table or int.from_bytes(table[-4:], sys.byteorder) != len(tokens):
-                table = array("I", [len(x) for x in self.bare.encode([part[: i + 1] for i in range(len(part))])]).tobytes()
-            self.tables[part] = table
-            self.totals[part] = len(tokens)
+            total = int.from_bytes(table[-4:], sys.byteorder)
+            if total != len(tokens):
+                table, total = array("I", [len(x) for x in self.bare.encode([part[: i + 1] for i in range(len(part))])]).tobytes(), len(tokens)
+                self.repaired.add(part)
+            self.tables[part], self.totals[part] = table, total
 
     def prepare(self, texts: list[str]) -> list[list[str]]:
         """The parts of each text, their tables made."""
@@ -122,6 +125,7 @@ class PrefixCounter:
         if len(self.totals) > CACHE:
             self.tables.clear()
             self.totals.clear()
+            self.repaired.clear()
         self.tabulate(sorted(set().union(*parted).difference(self.totals)))
         return parted
 
@@ -129,6 +133,7 @@ class PrefixCounter:
         """Drop what seldom recurs: the tables of long parts."""
         for part in [p for p in self.totals if len(p) > longest]:
             del self.tables[part], self.totals[part]
+            self.repaired.discard(part)
 
     def expand(self, text: str, parts: list[str]) -> np.ndarray:
         """Tokens of text[:i], i = 0, 1, ... len(text): the count before a part and the part's own table."""
@@ -147,14 +152,15 @@ class PrefixCounter:
         self.trim()
         return out
 
-    def measure(self, texts: list[str], limit: int) -> list[tuple[int, int]]:
-        """(tokens, longest prefix of at most ``limit`` tokens) of each text; only texts beyond it are expanded."""
+    def measure(self, texts: list[str], limit: int) -> list[tuple[int, int, int]]:
+        """(tokens, longest prefix of at most ``limit`` tokens, repaired parts) of each text; only texts beyond it are expanded."""
         if not self.cuts:
-            return [(int(c[-1]), truncate(c, limit)) for c in self.counts(texts)]
+            return [(int(c[-1]), truncate(c, limit), 1) for c in self.counts(texts)]
         out, total = [], self.totals.__getitem__
         for text, parts in zip(texts, self.prepare(texts)):
             n = sum(map(total, parts))
-            out.append((n, len(text) if n <= limit else truncate(self.expand(text, parts), limit)))
+            repaired = sum(map(self.repaired.__contains__, parts)) if self.repaired else 0
+            out.append((n, len(text) if n <= limit else truncate(self.expand(text, parts), limit), repaired))
         self.trim()
         return out
 
@@ -165,7 +171,7 @@ def truncate(counts: np.ndarray, limit: int) -> int:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, with_prefixes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and fit_chars (code points within ``limit``) of every document.
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars (code points within ``limit``) and n_repaired of every document.
 
     ``with_prefixes`` adds prefix_counts, the table itself: tokens of the first 0, 1, 2 ... code points.
     """
@@ -173,7 +179,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, with_prefixes:
     def helper(texts: list[str]) -> list:
         counter = PrefixCounter.of(path)
         measured = counter.measure(texts, limit)
-        made = [[len(t.encode("utf-8", "surrogatepass")) for t in texts], [n for n, _ in measured], [n > limit for n, _ in measured], [k for _, k in measured]]
+        made = [[len(t.encode("utf-8", "surrogatepass")) for t in texts], *map(list, zip(*((n, n > limit, fit, repaired) for n, fit, repaired in measured)))]
         return [*made, counter.counts(texts)] if with_prefixes else made
 
-    return per_text(docs, helper, "n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_counts array<long>" * with_prefixes)
+    return per_text(docs, helper, "n_bytes long, n_tokens long, over_limit boolean, fit_chars long, n_repaired long" + ", prefix_counts array<long>" * with_prefixes)
