@@ -63,6 +63,61 @@ def test_pii_base_spans_and_telling_terms(spark):
             assert r.n_term == 0 and r.text == texts[r.doc_id]
 
 
+def test_pii_terms_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdé", k=rng.randint(3, 7))) for _ in range(60)]
+    people = {f"user{i}@corp{i}.org": rng.sample(words, 4) for i in range(5)}
+    texts = []
+    for _ in range(150):
+        text = rng.choices(words[:40], k=rng.randint(2, 9))
+        for mail, own in people.items():
+            if rng.random() < 0.15:
+                text += [rng.choice(own), mail, *rng.sample(own, 3), "." * rng.randint(0, 60)]
+        texts.append(rng.choice([" ", "-", " \n"]).join(text))
+    texts += texts[:20] + ["telling " + words[3] + "+4915112345678" + words[4] + " 1.2.3.4" + words[5], None]
+    ids = [*range(170), 170, 171]
+    ids[-3] = ids[19]  # a repeated row
+    term = re.compile(r"[^\W\d_][^\W_]{2,}")
+    terms = [set(term.findall((t or "").lower())) for t in texts]
+    def entities(text):
+        """By entity the text on either side of its mention, up to the next match of its kind."""
+        out = {}
+        for kind, pattern in PATTERNS.items():
+            found = list(re.finditer(pattern, text))
+            edges = [0, *(x for m in found for x in m.span()), len(text)]
+            out |= {f"{kind}:{m[0].lower()}": (text[edges[2 * i] : m.start()][-60:].lower(), text[m.end() : edges[2 * i + 3]][:60].lower()) for i, m in enumerate(found) if VALID[kind](m[0])}
+        return out
+
+    held = [entities(t or "") for t in texts]
+    n, shares = len(texts), {}
+    for mail in set().union(*held):
+        with_entity = [i for i in range(n) if mail in held[i]]
+        for t in set().union(*terms):
+            both = [i for i in with_entity if t in terms[i]]
+            if len({held[i][mail] for i in both}) >= 3:
+                pmi = np.log2(n * len(both) / (sum(t in x for x in terms) * len(with_entity)))
+                shares[mail, t] = pmi / np.log2(n / len(with_entity))
+    found = pii.base_spans(frame(spark, texts, ids))
+    counts = spark.createDataFrame([(t, sum(t in x for x in terms)) for t in set().union(*terms)], "term string, n long")
+    told = {(r.entity, r.term): r.share for r in pii.disclosing_terms(found, counts).collect()}
+    assert told.keys() == {k for k, x in shares.items() if x >= 0.6} and told and all(abs(shares[k] - x) < 1e-9 and x <= 1 for k, x in told.items())
+    mark = {t: "" if max(x for (_, u), x in told.items() if u == t) >= 0.9 else "[TERM]" for _, t in told}
+    want = {}
+    for i, text in zip(ids, texts):
+        text = text or ""
+        base = sorted((m.start(), m.end(), f"[{k.upper()}]") for k, p in PATTERNS.items() for m in re.finditer(p, text) if VALID[k](m[0]))
+        spans = base + [(m.start(), m.end(), mark[m[0].lower()]) for m in term.finditer(text) if m[0].lower() in mark and not any(a <= m.end() and m.start() <= b for a, b, _ in base)]
+        new, at = "", 0
+        for a, b, m in sorted(spans):
+            if a >= at:
+                new += text[at:a] + m
+            at = max(at, b)
+        want[i] = new + text[at:]
+    rows = pii.sanitise(frame(spark, texts, ids)).collect()
+    assert len(rows) == n and all(r.text == want[r.doc_id] for r in rows)
+    assert sum(r.n_generalised for r in rows) + sum(r.n_removed for r in rows) == sum(r.n_term for r in rows) > 0
+
+
 def test_secret_spans(spark):
     key = "q7Rf2LmX9vBt4KcZ8sWd1HyP"
     texts = [f"token: '{key}' x", "password=abc", "password: token: abcdefghij", "AKIA" + "A1B2" * 4, "0123456789abcdef01234567 z", f"see {key}{key[::-1]} ok", "plainwordsonlythatarelongbutnotsecret", "ſecret=abcdefgh", None]

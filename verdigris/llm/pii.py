@@ -1,12 +1,12 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the words around them.
 
 Built-in column functions only. Base spans (e-mail, IP address, payment card, telephone) come from patterns.
-The entities they find are protected: corpus co-occurrence tells how strongly a term gives one away. With N
-documents, an entity seen in n_e different contexts, a term in n_t documents and both together in n_te
-contexts, the term discloses PMI = log2(N n_te / (n_t n_e)) of the entity's information log2(N / n_e). Terms
-that disclose at least ``GENERALISE`` of it, in ``SUPPORT`` or more contexts, are generalised to their kind,
-and from ``REMOVE`` on removed. A context is the ``REACH`` code points on either side of a mention; copies of
-one context count once, documents of n_t count each, so copied texts never make a term look more telling.
+The entities they find are protected: corpus co-occurrence tells how strongly a term gives one away. Of N documents, n_e
+hold an entity, n_t a term and n_te both; the term discloses PMI = log2(N n_te / (n_t n_e)) of the entity's information
+log2(N / n_e), a share of one at most. Counts are of documents, over their whole texts. A term must share documents with
+the entity in ``SUPPORT`` or more different contexts (the ``REACH`` code points on either side of the entity's mention),
+so that copies of one text never make a term telling. Wherever a term that discloses at least ``GENERALISE`` of some
+entity stands, in any document, it is generalised; from ``REMOVE`` on it is removed. Words that touch a base span stay.
 
 Null and empty texts have no spans. Rows alike in doc_id and text are one document and each get its result;
 a null doc_id is like any other value. An empty table gives an empty result.
@@ -19,7 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import document_key, let, running_sums, texts_of
+from verdigris.functions.session import cut
+from verdigris.llm.common import document_key, hub_join, let, running_sums, texts_of
 
 KINDS = ["email", "ip", "card", "phone"]
 #: A match may begin where a run begins or the last match ended: other starts of a run fare no better than its
@@ -33,11 +34,13 @@ PATTERNS = {
 #: A quick look tells most texts that cannot match.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Code points of context on either side, the least contexts of a term with an entity, the shares of an
-#: entity's information from which a term is generalised or removed, and the shortest term.
+#: entity's information from which a term is generalised or removed, and what a term is.
 REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.6, 0.9
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
+#: Code points of the pieces in which long texts are cut up, and groups in which a document's telling terms are looked up.
+PIECE, GROUPS = 256, 64
 
-_SPAN = "array<struct<start:bigint,end:bigint,value:string,left:string,right:string>>"
+_SPAN = "array<struct<start:bigint,end:bigint,entity:string,context:bigint>>"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -77,60 +80,60 @@ def valid(kind: str) -> Callable[[Column], Column]:
     return lambda m: F.lit(True)
 
 
-def base_matches(docs: DataFrame) -> DataFrame:
-    """doc_id, __key, text and for each kind an array of its matches."""
+def base_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """doc_id, __key, for each kind an array of spans (start, end, entity, context), and the distinct terms of the text.
+
+    An entity is a match in lower case after its kind; a context is a hash.
+    """
     texts = texts_of(docs).select("doc_id", document_key().alias("__key"), "text")
     text = F.col("text")
+
+    def span(kind: str) -> Callable[[Column], Column]:
+        around = lambda m: F.xxhash64(F.lower(F.right(m["left"], F.lit(reach))), F.lit("|"), F.lower(F.left(m["right"], F.lit(reach))))
+        return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.concat(F.lit(kind + ":"), F.lower(m["value"])).alias("entity"), around(m).alias("context"))
+
     found = {}
     for kind in KINDS:
-        matches = F.filter(located(text, PATTERNS[kind]), valid(kind))
+        matches = F.transform(F.filter(located(text, PATTERNS[kind]), valid(kind)), span(kind))
         hint = text.rlike("[0-9][ -]?[0-9]") if kind == "card" else text.contains(HINTS[kind])
         found[kind] = F.when(hint, matches).otherwise(F.array().cast(_SPAN))
-    return texts.select("doc_id", "__key", "text", *(e.alias(k) for k, e in found.items()))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), 0))
+    return texts.select("doc_id", "__key", *(e.alias(k) for k, e in found.items()), terms.alias("terms"))
 
 
-def mentions(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """__key, entity, context (a hash) and terms (term, start, end) of every base match of ``base_matches``."""
+def entity_documents(found: DataFrame, support: int) -> DataFrame:
+    """(__key, entity, context, times, n_e) of entities with enough contexts: by document one context, its rows, and the entity's documents."""
+    rows = found.select("__key", F.monotonically_increasing_id().alias("row"), F.explode(F.concat(*KINDS)).alias("m"))
+    once = rows.groupBy("row", "__key", "m.entity").agg(F.min("m.context").alias("context"))
+    mentions = cut(once.groupBy("__key", "entity").agg(F.min("context").alias("context"), F.count(F.lit(1)).alias("times")))
+    contexts = mentions.groupBy("entity", "context").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n"))
+    entities = contexts.groupBy("entity").agg(F.sum("times").alias("n_e"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
+    return hub_join(mentions, entities.where(F.col("contexts") >= support).drop("contexts"), "entity", mentions.count())
 
-    def named(kind: str) -> Column:
-        return F.transform(kind, lambda m: F.struct(F.concat(F.lit(kind + ":"), F.lower(m["value"])).alias("entity"), m["start"].alias("start"), m["end"].alias("end"), m["left"].alias("left"), m["right"].alias("right")))
-
-    spans = F.concat(*map(named, KINDS))
-    rows = found.select("__key", F.explode(spans).alias("m")).select("__key", "m.*")
-    before, after = F.right(F.col("left"), F.lit(reach)), F.left(F.col("right"), F.lit(reach))
-    rows = rows.select("__key", "entity", "start", "end", before.alias("before"), after.alias("after"), (F.length("left") > reach).alias("cut_before"), (F.length("right") > reach).alias("cut_after"))
-    shift = F.col("start") - F.length("before")
-
-    def terms(part: str, offset: Column, cut: Callable[[Column], Column]) -> Column:
-        whole = F.filter(located(F.col(part), TERM), lambda m: ~cut(m))  # a word cut by the reach is no term
-        return F.transform(whole, lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + offset).alias("start"), (m["end"] + offset).alias("end")))
-
-    near = F.concat(
-        terms("before", shift, lambda m: F.col("cut_before") & (m["start"] == 0)),
-        terms("after", F.col("end"), lambda m: F.col("cut_after") & (m["end"] == reach)),
-    )
-    context = F.xxhash64(F.lower("before"), F.lit("|"), F.lower("after"))
-    return rows.select("__key", "entity", context.alias("context"), near.alias("terms"))
 
+def disclosing_terms(found: DataFrame, terms: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """(entity, term, share): how much of the entity's information the term discloses, from ``generalise`` on.
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """entity, term and share: how much of the entity's information the term discloses, from ``generalise`` on."""
-    total = texts_of(docs).agg(F.count(F.lit(1)).alias("n"))
-    entities = near.groupBy("entity", "context").agg(F.lit(1)).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
+    ``found`` is of ``base_spans``; ``terms`` has each term and n, its documents. A term in too many documents to disclose
+    so much, whatever it shares with the entity, is left out before pairs are made.
+    """
+    near = cut(entity_documents(found, support))
+    documents, rows = found.count(), terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = found.join(near.select("__key").distinct(), "__key", "left_semi").select("__key", F.explode("terms").alias("term")).distinct()
+    n = F.lit(float(documents))
+    counted = hub_join(held, terms.withColumn("n_t", F.col("n")), "term", rows)
+    largest = near.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
+    rare = counted.where((F.col("n_t") >= support) & (F.log2("n_t") <= F.log2(n) + generalise * F.log2(F.lit(max(largest, 1)) / n) + 1e-9))
     pairs = (
-        near.select("entity", "context", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-        .groupBy("entity", "term", "context")
-        .agg(F.lit(1))
-        .groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_te"))
-        .where(F.col("n_te") >= support)
+        rare.join(near, "__key")
+        .groupBy("entity", "term", "n_t", "n_e", "context")
+        .agg(F.sum("times").alias("times"))
+        .groupBy("entity", "term", "n_t", "n_e")
+        .agg(F.sum("times").alias("n_te"), F.count(F.lit(1)).alias("contexts"))
+        .where(F.col("contexts") >= support)
     )
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(TERM), 0), F.lower))
-    terms = texts_of(docs).select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = F.col("n").cast("double")
     share = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
-    joined = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))  # one row
-    return joined.where("n > n_e").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    return pairs.where(F.col("n_e") < documents).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
 
 
 def digest(spans: dict[str, str]) -> Column:
@@ -143,47 +146,107 @@ def digest(spans: dict[str, str]) -> Column:
     return F.array_join(F.concat(*(told(kind, column) for kind, column in spans.items())), ",")
 
 
+def marks_of_documents(found: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """(__key, __marks): by document its telling terms, each with the mark that replaces it."""
+    terms = cut(found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    telling = disclosing_terms(found, terms, support, generalise).groupBy("term").agg(F.max("share").alias("share"))
+    marked = telling.select("term", F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("mark"))
+    rows = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = found.select("__key", F.explode("terms").alias("term"))
+    hits = hub_join(held, terms.join(marked, "term", "left"), "term", rows).where("mark is not null")
+    return hits.groupBy("__key").agg(F.collect_set(F.struct("term", "mark")).alias("__marks"))
+
+
 def sanitise(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """doc_id, n_<kind>, base_sha256, n_term, spans and the sanitised text of every document.
+    """doc_id, n_<kind>, base_sha256, n_term, n_generalised, n_removed, spans and the sanitised text of every document.
 
     In the sanitised text base spans become [EMAIL], [IP], [CARD] or [PHONE], generalised terms [TERM], and
     removed terms nothing; overlapping base spans merge under the mark of the first.
     """
-    found = base_matches(docs)
-    near = mentions(found, reach)
-    telling = disclosing_terms(docs, near, support, generalise)
-    hits = near.select("__key", "entity", F.explode("terms").alias("t")).select("__key", "entity", "t.*").join(telling, ["entity", "term"])
-    added = hits.groupBy("__key").agg(F.collect_set(F.struct("start", "end", F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("mark"))).alias("__terms"))
-    slim = found.select("doc_id", "__key", "text", *(F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k) for k in KINDS))
-    rows = slim.join(added, "__key", "left")
-    base = F.concat(*(F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for k in KINDS))
-    # A term that several entities share keeps its strictest mark: "" sorts first.
-    terms = F.filter(F.coalesce("__terms", F.array()), lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (t["end"] > b["start"])))
-    strict = F.transform(F.array_distinct(F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.array_min(F.transform(F.filter(terms, lambda t: t["start"] == s["start"]), lambda t: t["mark"])).alias("mark")))
-    rows = rows.select("doc_id", "text", *KINDS, strict.alias("term"))
+    found = cut(base_spans(docs, reach))
+    marks = marks_of_documents(found, support, generalise, remove)
+    places = (F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k) for k in KINDS)
+    spans = found.select(F.col("__key").alias("__found"), *places).dropDuplicates(["__found"]).join(marks.withColumnRenamed("__key", "__marked"), F.col("__found") == F.col("__marked"), "left").drop("__marked")
+    texts = texts_of(docs).select("doc_id", document_key().alias("__key"), "text")
+    rows = texts.join(spans, F.col("__key") == F.col("__found"))
+    rows = rows.select("doc_id", *KINDS, rewritten().alias("new"))
+    rows = rows.select("doc_id", *KINDS, F.col("new.terms").alias("term"), F.col("new.text").alias("text"))
+    removed = F.size(F.filter("term", lambda t: t["mark"] == "")).cast("long")
     return rows.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(digest({k: k for k in KINDS}), 256).alias("base_sha256"),
         F.size("term").cast("long").alias("n_term"),
+        (F.size("term").cast("long") - removed).alias("n_generalised"),
+        removed.alias("n_removed"),
         digest({k: k for k in [*KINDS, "term"]}).alias("spans"),
-        rewritten().alias("text"),
+        "text",
     )
 
 
-def rewritten() -> Column:
-    """The text with every base span and term replaced by its mark."""
+def merged_spans() -> Column:
+    """Base spans as (start, end, mark) by place, those that overlap joined under the mark of the first."""
 
     def marked(kind: str) -> Column:
         return F.transform(kind, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark")))
 
-    spans = F.array_sort(F.concat(*map(marked, KINDS), F.col("term")))
-    text = F.col("text")
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
     def step(acc: Column, m: Column) -> Column:
-        new = m["start"] >= acc["at"]
-        gap = F.when(new, F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (m["start"] - acc["at"]).cast("int")), m["mark"])).otherwise("")
-        return F.struct(F.greatest(acc["at"], m["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], m["end"]).alias("end"), last["mark"].alias("mark"))
+        apart = (F.size(acc) == 0) | (m["start"] >= F.try_element_at(acc, F.lit(-1))["end"])
+        return F.when(apart, F.concat(acc, F.array(m))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)))
+
+    return F.aggregate(F.array_sort(F.concat(*map(marked, KINDS))), F.array().cast("array<struct<start:bigint,end:bigint,mark:string>>"), step)
+
+
+def rewritten() -> Column:
+    """struct<terms: array<struct<start, end, mark>>, text>: where marked terms stand, and the text with all marks in place.
+
+    The text is cut up at its base spans; what lies between is searched for terms and put together again, so the work
+    is in proportion to the text and its spans.
+    """
+    text, size = F.col("text"), F.length("text").cast("bigint")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,mark:string>>")
+
+    def part(pieces: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE).cast("int")
+        few = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(few, (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    def group(term: Column) -> Column:
+        return F.pmod(F.hash(term), F.lit(GROUPS))
+
+    def between(pieces: Column, spans: Column, groups: Column) -> Column:
+        """For the stretch before each span, and the last: its terms, its new text, and the mark that follows."""
+
+        def stretch(a: Column, b: Column, mark: Column) -> Column:
+            def mark_of(m: Column) -> Column:
+                touches = ((m["start"] == 0) & (a > 0)) | ((m["end"] == b - a) & (b < size))
+                term = F.lower(m["value"])
+                return F.when(~touches, F.get(F.filter(F.get(groups, group(term)), lambda x: x["term"] == term), F.lit(0))["mark"])
+
+            def built(gap: Column) -> Column:
+                def joined(found: Column) -> Column:
+                    terms = F.filter(F.transform(found, lambda m: F.struct((m["m"]["start"] + a).alias("start"), (m["m"]["end"] + a).alias("end"), m["mark"].alias("mark"))), lambda m: m["mark"].isNotNull())
+                    body = F.array_join(F.transform(found, lambda m: F.concat(m["m"]["left"], F.coalesce(m["mark"], m["m"]["value"]))), "")
+                    rest = F.when(F.size(found) == 0, gap).otherwise(F.get(found, F.size(found) - 1)["m"]["right"])
+                    return F.struct(terms.alias("terms"), F.concat(body, rest, mark).alias("text"))
+
+                return let(F.transform(located(gap, TERM), lambda m: F.struct(m.alias("m"), mark_of(m).alias("mark"))), joined)
+
+            plain = lambda gap: F.struct(none.alias("terms"), F.concat(gap, mark).alias("text"))
+            return let(part(pieces, a, b), lambda gap: F.when(F.size(F.col("__marks")) > 0, built(gap)).otherwise(plain(gap)))
+
+        def ends(i: Column) -> Column:
+            return stretch(F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0).cast("bigint")), F.coalesce(F.get(spans, i)["start"], size), F.coalesce(F.get(spans, i)["mark"], F.lit("")))
+
+        return F.transform(F.sequence(F.lit(0), F.size(spans)), ends)
+
+    def whole(stretches: Column) -> Column:
+        return F.struct(F.flatten(F.transform(stretches, lambda s: s["terms"])).alias("terms"), F.array_join(F.transform(stretches, lambda s: s["text"]), "").alias("text"))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter(F.coalesce("__marks", F.array()), lambda x: group(x["term"]) == g))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+    new = let(pieces, lambda pieces: let(merged_spans(), lambda spans: let(groups, lambda groups: let(between(pieces, spans, groups), whole))))
+    untouched = (F.col("__marks").isNull()) & (F.size(F.concat(*KINDS)) == 0)
+    return F.when(untouched, F.struct(none.alias("terms"), text.alias("text"))).otherwise(new)

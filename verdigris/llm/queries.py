@@ -22,7 +22,7 @@ def model_path(name: str = MODEL) -> str:
 
 
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.sanitise(read(spark, folder, "documents")).drop("text")
+    return pii.sanitise(read(spark, folder, "documents"))
 
 
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
