@@ -361,6 +361,37 @@ def test_quality_counts_and_forest(spark, data):
     assert good.where("not kept").count() <= 0.01 * good.count() and bad.where("kept").count() <= 0.2 * bad.count()
 
 
+def test_simhash_runs_too_long_to_hold_settle_nothing():
+    import pyarrow as pa
+
+    rows = [(1, 2**50), (1, 7), (1, 9), (1, 2**51), (2, 5), (2, 4)]
+    for size in (1, 2, 4):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size])], ["key", "fp"]) for i in range(0, 6, size)]
+        found = [(r["a"], r["b"]) for b in simhash.pairs_of_runs(iter(batches), 4, 32, 3) for r in b.to_pylist()]
+        assert {a for a, b in found if b is None} == {2**50, 7, 9, 2**51} and (5, 4) in found
+
+
+def test_near_duplicates_and_winners_equal_brute_force(spark):
+    rng = random.Random(10)
+    base = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "ee", "ff"], k=60)) for _ in range(5)]
+    texts = [t for t in base for _ in range(4)] + [" ".join(w if rng.random() > 0.01 else "zz" for w in rng.choice(base).split()) for _ in range(20)] + [None, "", " "]
+    ids = [None if rng.random() < 0.15 else rng.randint(0, 25) for _ in texts]  # ids clash, and some are missing
+    docs = frame(spark, texts, ids)
+    fps = [simhash.fingerprint(t or "") for t in texts]
+    root = components([(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4], range(len(fps)))
+    groups = {}
+    for i in range(len(fps)):
+        groups.setdefault(root[i], []).append(i)
+    least = {g: min((ids[i] for i in members if ids[i] is not None), default=None) for g, members in groups.items()}
+    found = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert found == sorted(((ids[i], f"{fps[i] % 2**64:016x}", least[root[i]]) for i in range(len(fps))), key=str)
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    digest = lambda i: hashlib.md5(f"{'' if ids[i] is None else ids[i]}:{texts[i] or ''}".encode()).digest()
+    first = [min(members, key=lambda i: (ids[i] is None, ids[i] or 0, digest(i))) for members in groups.values()]
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == sorted(((ids[i], texts[i] or "") for i in first), key=str)
+
+
 def test_toxicity_held_out_and_automaton(spark):
     terms = ["stupid", "moron", "scum"]
     automaton = toxicity.LexiconAutomaton(terms)
@@ -374,7 +405,7 @@ def test_toxicity_held_out_and_automaton(spark):
         near = [t for t in terms if plain_distance(word, t) <= (1 if len(t) >= 5 else 0)]
         assert (automaton.match(word) is not None) == bool(near)
     abuse = 'you are scum and more'
-    assert toxicity.quotation('he wrote "scum" there', 10, ["wrote"]) > 0.5 > toxicity.quotation(abuse, 8, abuse.split())
+    assert toxicity.Quotes('he wrote "scum" there').likelihood(10, ["wrote"]) > 0.5 > toxicity.Quotes(abuse).likelihood(8, abuse.split())
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = toxicity.toxicity(docs, labels).where("held_out").join(labels, "doc_id")
     wrong = held.where("predicted <> toxic").count()
@@ -393,6 +424,61 @@ def test_reply_order(spark):
     assert chat_quotes.reply_ordered(messages.limit(0)).count() == 0
 
 
+def linked_replies(turns):
+    """By turn thread_turn, reply_to, quote_depth, n_quoted_turns, n_quoted_lines and text of one conversation's texts."""
+    tidy = lambda x: " ".join(x.split()).lower()
+    parsed = []
+    for text in turns:
+        passages = []
+        for line in text.split("\n"):
+            mark = re.match(r"(?: {0,3}>)+ ?", line)
+            level = mark[0].count(">") if mark else 0
+            if not passages or passages[-1][0] != level:
+                passages.append((level, []))
+            passages[-1][1].append(line[len(mark[0]) :] if mark else line)
+        own = []
+        for (level, lines), after in zip(passages, [*passages[1:], (0, [])]):
+            if level == 0:
+                own += lines[:-1] if after[0] and re.search(r"(?i)\bwrote\s*:\s*$", lines[-1]) else lines
+        parsed.append((passages, own))
+    origin = {}
+    for turn, (passages, own) in enumerate(parsed):
+        for unit in [" ".join(own), *(" ".join(lines) for level, lines in passages if not level), *own]:
+            origin.setdefault(tidy(unit), turn)
+    out, reply = [], {}
+    for turn, (passages, own) in enumerate(parsed):
+        sizes = {}
+        for level, lines in passages:
+            found = {}
+            if level:
+                whole = tidy(" ".join(lines))
+                for unit in {tidy(x) for x in lines} - {""}:
+                    if origin.get(unit, turn) < turn:
+                        found[origin[unit]] = found.get(origin[unit], 0) + len(unit)
+                if whole and origin.get(whole, turn) < turn:
+                    found[origin[whole]] = max(found.get(origin[whole], 0), len(whole))
+            for source, n in found.items():
+                sizes[level, source] = sizes.get((level, source), 0) + n
+        if sizes:
+            outer = min(level for level, _ in sizes)
+            reply[turn] = max((n, source) for (level, source), n in sizes.items() if level == outer)[1]
+        root = turn
+        while root in reply:
+            root = reply[root]
+        out.append((root, reply.get(turn), max((k for k, _ in sizes), default=0), len({x for _, x in sizes}), sum(len(x) for k, x in passages if k), "\n".join(own).strip(" ")))
+    return out
+
+
+def test_reply_order_equals_brute_force(spark):
+    rng = random.Random(9)
+    said = ["Hello there", "fine  thanks", "ok", "And YOU", "see below", "Ann wrote:", "no", ""]
+    rows = {conv: ["\n".join(rng.choice(["", "", "> ", ">", ">> ", "> > ", ">>>"]) + rng.choice(said) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 9))] for conv in range(40)}
+    messages = spark.createDataFrame([(c, t, "user", x) for c, turns in rows.items() for t, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    want = {(c, t): x for c, turns in rows.items() for t, x in enumerate(linked_replies(turns))}
+    found = {(r.conv_id, r.turn): (r.thread_turn, r.reply_to, r.quote_depth, r.n_quoted_turns, r.n_quoted_lines, r.text) for r in chat_quotes.reply_ordered(messages).collect()}
+    assert found == want and sum(x[1] is not None for x in want.values()) > 60 and any(x[2] > 2 for x in want.values())
+
+
 def test_queries_with_sql_equal_it(spark, data):
     import duckdb
 

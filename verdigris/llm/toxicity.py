@@ -14,19 +14,22 @@ is then 0. Rows with a null doc_id are not held out and never learned from.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import ship_code
+from verdigris.functions.session import cut, ship_code
 from verdigris.llm.common import per_text, texts_of
 
 #: Bounds of the labelled sample by label (smallest hashes of doc_id), and the fewest rows of each to learn from.
 SAMPLE_TOXIC, SAMPLE_CLEAN, LEAST_ROWS = 6000, 12000, 20
-#: Lexicon: fewest toxic documents, least log-odds, most terms and most clean look-alikes.
-LEAST_SUPPORT, LEAST_ODDS, LEXICON, LOOKALIKES = 4, 2.5, 4000, 20000
+#: Lexicon: fewest toxic documents and least log-odds. The bounded sample bounds its terms and their clean look-alikes.
+LEAST_SUPPORT, LEAST_ODDS = 4, 2.5
 #: Edits allowed, the shortest term that may be misspelled, words of the context window, and the decision.
 EDITS, LEAST_FUZZY, WINDOW, DECISION = 1, 5, 12, 0.7
 #: So many words or states a worker keeps before it starts afresh.
@@ -35,6 +38,7 @@ CACHE = 300_000
 WORD = r"[^\W_]+"
 _WORD = re.compile(WORD)
 _QUOTES = re.compile("[\"“”„«»]")
+_MARKED = re.compile(r"\s*>")
 REPORTING = frozenset("said says wrote called quote quoted quotes term word phrase reported according dijo palabra mot dit wort sagte".split())
 
 
@@ -159,8 +163,9 @@ class ToxicityModel:
             return [0.0] * N_FEATURES
         words = [m.span() for m in _WORD.finditer(text)]
         starts = [a for a, _ in words]
+        quotes = Quotes(text)
         place = np.searchsorted(starts, [a for a, *_ in hits])
-        quoted = np.array([quotation(text, a, [text[x:y].lower() for x, y in words[max(0, i - WINDOW // 2) : i + WINDOW // 2 + 1]]) for (a, *_), i in zip(hits, place.tolist())])
+        quoted = np.array([quotes.likelihood(a, [text[x:y].lower() for x, y in words[max(0, i - WINDOW // 2) : i + WINDOW // 2 + 1]]) for (a, *_), i in zip(hits, place.tolist())])
         odds, edits = np.array([h[2] for h in hits]), np.array([h[3] for h in hits])
         weight = odds * (1 - quoted) * np.where(edits == 0, 1.0, 0.5)
         total = np.concatenate(([0.0], np.cumsum(weight)))
@@ -185,19 +190,28 @@ class ToxicityModel:
 N_FEATURES = 6
 
 
-def quotation(text: str, at: int, window: list[str]) -> float:
-    """How likely the word at ``at`` is quoted, from 0 to 1."""
-    line = text.rfind("\n", 0, at) + 1
-    score = 0.0
-    if text[line:at].lstrip().startswith(">"):
-        score += 0.7
-    end = text.find("\n", at)
-    ahead = text[line:at]
-    if len(_QUOTES.findall(ahead)) % 2 and _QUOTES.search(text[at : end if end >= 0 else len(text)]):
-        score += 0.7
-    if REPORTING.intersection(window):
-        score += 0.3
-    return min(score, 1.0)
+class Quotes:
+    """The lines and quotation marks of a text, found once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.breaks = [i for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
+        self.marks = [m.start() for m in _QUOTES.finditer(text)]
+
+    def likelihood(self, at: int, window: list[str]) -> float:
+        """How likely the word at ``at`` is quoted, from 0 to 1; ``window`` has the words around it."""
+        k = bisect_left(self.breaks, at)
+        line = self.breaks[k - 1] + 1 if k else 0
+        end = self.breaks[k] if k < len(self.breaks) else len(self.text)
+        score = 0.0
+        if (m := _MARKED.match(self.text, line, end)) and m.end() <= at:
+            score += 0.7
+        before, here, after = (bisect_left(self.marks, x) for x in (line, at, end))
+        if (here - before) % 2 and after > here:
+            score += 0.7
+        if REPORTING.intersection(window):
+            score += 0.3
+        return min(score, 1.0)
 
 
 def held_out():
@@ -216,24 +230,31 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     if min(sizes.get(0, 0), sizes.get(1, 0)) < LEAST_ROWS:
         return None
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))).alias("word")
-    counts = rows.select("toxic", words).where(F.length("word") >= 4).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    counts = rows.select("toxic", words).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("c") + 0.5) / (sizes[0] + 1.0))
-    counts = counts.withColumn("odds", odds)
-    terms = counts.where((F.col("t") >= LEAST_SUPPORT) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("odds"), "word").limit(LEXICON).collect()
-    lexicon = {r["word"]: float(r["odds"]) for r in terms}
+    counts = cut(counts.withColumn("odds", odds))
+    lexicon = {r["word"]: float(r["odds"]) for r in counts.where((F.col("t") >= LEAST_SUPPORT) & (F.col("odds") >= LEAST_ODDS)).collect()}
     model = ToxicityModel(lexicon, frozenset(), np.zeros(N_FEATURES + 1))
     if not lexicon:
         return model
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    near = F.udf(lambda w: bool(shared.value.lookup(w)), "boolean")
-    clean = counts.where((F.col("c") >= 1) & (F.col("odds") < LEAST_ODDS)).where(near("word")).orderBy(F.desc("c"), "word").limit(LOOKALIKES).collect()
-    model.lookalikes = frozenset(r["word"] for r in clean)
-    sample = document_features(rows, model).join(F.broadcast(chosen), "doc_id").limit(4 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).collect()
-    sample.sort(key=lambda r: (r["doc_id"], r["features"]))
+    model.lookalikes = frozenset(r["word"] for r in near_words(counts.where((F.col("c") >= 1) & (F.col("odds") < LEAST_ODDS)), model).collect())
+    sample = document_features(rows, model).groupBy("doc_id").agg(F.min("features").alias("features")).join(F.broadcast(chosen), "doc_id").collect()
+    sample.sort(key=lambda r: r["doc_id"])
     model.weights = logistic(np.array([r["features"] for r in sample]), np.array([r["toxic"] for r in sample], dtype=float))
     return model
 
 
+def near_words(words: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The words that are within the edits of a lexicon term."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value.lookup(w) is not None for w in batch.column(0).to_pylist()], pa.bool_()))
+
+    return words.select("word").mapInArrow(run, "word string")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights (the constant first) of a penalised logistic regression, by Newton steps."""
     x = np.hstack((np.ones((len(x), 1)), x))
@@ -251,7 +272,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 3
 
 def document_features(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id and the features of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON + LOOKALIKES words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of the bounded sample
     return per_text(docs, lambda texts: [[shared.value.features(t) for t in texts]], "features array<double>")
 
 
