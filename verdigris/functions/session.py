@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +31,41 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where none is set (tests), a folder of our own."""
+    """Use the cluster's ``spark.checkpoint.dir``; only where none is set in local mode (tests), a folder of our own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="verdigris-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once into the shared checkpoint folder; its lineage ends there."""
+    """``df``, computed once into the shared checkpoint folder; its lineage ends there. For few rows (see ``written``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, which is far cheaper than ``cut`` for many rows.
+
+    It is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/verdigris_{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _files(spark, folder)[0].deleteOnExit(_files(spark, folder)[1])
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def delete_shared(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that Spark wrote, in whatever store it is."""
+    files, path = _files(spark, folder)
+    files.delete(path, True)
+
+
+def _files(spark: SparkSession, folder: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
