@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import cut, ship_code
+from verdigris.functions.session import cut, ship_code, written
 from verdigris.llm.common import connected_components, document_key, hub_join, let, sliced, texts_of
 
 #: ``TAU`` may be a fixed number of edits; None lets it grow with the line.
@@ -395,7 +395,8 @@ def crowd_links(crowded: DataFrame, texts: DataFrame, tau: int | None, block: in
     rows = keyed.select("id", "text", "keys", F.posexplode("keys").alias("at", "k")).select("id", "text", "k.*", F.slice("keys.key", 1, F.col("at")).alias("lower"), F.pmod(F.xxhash64("id"), F.col("k.blocks")).cast("int").alias("block"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "text", "lower", "block")
-    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id").mapInArrow(run, "a binary, b binary")
+    spread = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each
+    return rows.repartition(spread, "key", "x", "y").sortWithinPartitions("key", "x", "y", "id").mapInArrow(run, "a binary, b binary")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -422,9 +423,9 @@ def verified(pairs: DataFrame, texts: DataFrame, tau: int | None) -> DataFrame:
 def line_links(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_NEAR, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """Links (a, b) of line ids that connect all distinct lines within the edits they allow."""
     rows = segment_rows(docs, tau, least).repartition("key").sortWithinPartitions("key", "about", "line")
-    found = cut(rows.mapInArrow(lambda x: candidates_of_keys(x, tau, crowd), "a long, b long, key long").distinct())
+    found = written(rows.mapInArrow(lambda x: candidates_of_keys(x, tau, crowd), "a long, b long, key long").distinct())
     wanted = found.select(F.explode(F.array("a", "b")).alias("line")).where("line is not null").distinct()
-    texts = cut(line_texts(docs, wanted, least))
+    texts = written(line_texts(docs, wanted, least))
     crowded = found.where("b is null").select(F.col("a").alias("line"), "key")
     return verified(found.where("b is not null").select("a", "b"), texts, tau).unionByName(crowd_links(crowded, texts, tau, block))
 
@@ -435,7 +436,7 @@ def repeated_lines(docs: DataFrame, tau: int | None, least: int, crowd: int, nea
     members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     counts = lines_of(docs, least).groupBy(id_of("line").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     found = counts.join(members, F.col("id") == F.col("node"), "left").where("n > 1 or root is not null")
-    return cut(found.select("id", F.coalesce("root", "id").alias("root"), "n"))
+    return written(found.select("id", F.coalesce("root", "id").alias("root"), "n"))
 
 
 def dropped_lines(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_LINE, crowd: int = CROWD, near: int = LEAST_NEAR) -> DataFrame:
@@ -444,9 +445,9 @@ def dropped_lines(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_LIN
     number, total = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     every = lines_of(docs, least).withColumn("id", id_of("line")).drop("line")
     rows = every.join(F.broadcast(repeated.drop("n")), "id") if number <= FEW_LINES else hub_join(every, repeated, "id", total)
-    rows = cut(rows.select("root", "__key", "doc_id", "number"))
+    rows = written(rows.select("root", "__key", "doc_id", "number"))
     place = F.struct("doc_id", "__key", "number")
-    firsts = cut(rows.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    firsts = written(rows.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
     gone = hub_join(rows, firsts, "root", total).where(~place.eqNullSafe(F.col("first")))
     return gone.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("number", F.col("first.doc_id").alias("doc_id"), F.col("first.number").alias("first")))).alias("__dropped"))
 
