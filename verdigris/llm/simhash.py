@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import cut, ship_code
+from verdigris.functions.session import cut, ship_code, written
 from verdigris.llm.common import connected_components, document_key, hub_join, per_text, texts_of
 
 SHINGLE, RADIUS, SEED, CROWD = 4, 4, 42, 32
@@ -238,7 +238,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) ->
         return rows.repartition("key").sortWithinPartitions("key")
 
     rows = variants(distinct.select("fp").repartition(spread, "fp"), radius, whole=False)
-    found = cut(by_key(rows).mapInArrow(lambda x: pairs_of_runs(x, radius, crowd), "a long, b long").distinct())
+    found = written(by_key(rows).mapInArrow(lambda x: pairs_of_runs(x, radius, crowd), "a long, b long").distinct())
     crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     stars = by_key(variants(crowded.repartition(spread, "fp"), radius, whole=True)).mapInArrow(lambda x: stars_of_runs(x, radius), "a long, b long")
     return found.where("b is not null").unionByName(stars)
@@ -248,13 +248,13 @@ def classes_of(docs: DataFrame, size: int, radius: int) -> tuple[DataFrame, Data
     """(doc_id, __key, fp) of every row, then (fp, root, component_id, n) of every fingerprint, and the number of rows."""
     ship_code(docs.sparkSession)
     texts = texts_of(docs).select(F.struct("doc_id", document_key().alias("__key")).alias("doc_id"), "text")
-    made = cut(fingerprints(texts, size).select("doc_id.*", "fp"))
-    distinct = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    made = written(fingerprints(texts, size).select("doc_id.*", "fp"))
+    distinct = written(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     linked = connected_components(near_links(distinct, radius))
-    rooted = cut(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
-    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    rooted = written(distinct.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.col("n").alias("rows"), F.coalesce("root", "fp").alias("root")))
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")))
     fingers, rows = rooted.agg(F.count(F.lit(1)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-    return made, cut(hub_join(rooted, named, "root", fingers).select("fp", "root", "component_id", F.col("rows").alias("n"))), rows
+    return made, written(hub_join(rooted, named, "root", fingers).select("fp", "root", "component_id", F.col("rows").alias("n"))), rows
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -272,7 +272,7 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> D
     made, classes, rows = classes_of(docs, size, radius)
     named = hub_join(made, classes.drop("component_id"), "fp", rows).groupBy("root", "doc_id", "__key").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key", "n")).alias("first")
-    stay = cut(named.groupBy("root").agg(first).select(F.col("first.__key").alias("__stays"), (F.col("first.n") > 1).alias("__again")))
+    stay = written(named.groupBy("root").agg(first).select(F.col("first.__key").alias("__stays"), (F.col("first.n") > 1).alias("__again")))
     keyed = docs.withColumn("__key", document_key())
     single = keyed.join(stay.where("not __again"), F.col("__key") == F.col("__stays")).select(*docs.columns)
     row = F.struct(*docs.columns)
