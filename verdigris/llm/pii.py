@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import cut
+from verdigris.functions.session import written
 from verdigris.llm.common import document_key, hub_join, let, running_sums, texts_of
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -105,7 +105,7 @@ def entity_documents(found: DataFrame, support: int) -> DataFrame:
     """(__key, entity, context, times, n_e) of entities with enough contexts: by document one context, its rows, and the entity's documents."""
     rows = found.select("__key", F.monotonically_increasing_id().alias("row"), F.explode(F.concat(*KINDS)).alias("m"))
     once = rows.groupBy("row", "__key", "m.entity").agg(F.min("m.context").alias("context"))
-    mentions = cut(once.groupBy("__key", "entity").agg(F.min("context").alias("context"), F.count(F.lit(1)).alias("times")))
+    mentions = written(once.groupBy("__key", "entity").agg(F.min("context").alias("context"), F.count(F.lit(1)).alias("times")))
     contexts = mentions.groupBy("entity", "context").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n"))
     entities = contexts.groupBy("entity").agg(F.sum("times").alias("n_e"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("contexts"))
     return hub_join(mentions, entities.where(F.col("contexts") >= support).drop("contexts"), "entity", mentions.count())
@@ -117,7 +117,7 @@ def disclosing_terms(found: DataFrame, terms: DataFrame, support: int = SUPPORT,
     ``found`` is of ``base_spans``; ``terms`` has each term and n, its documents. A term in too many documents to disclose
     so much, whatever it shares with the entity, is left out before pairs are made.
     """
-    near = cut(entity_documents(found, support))
+    near = written(entity_documents(found, support))
     documents, rows = found.count(), terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     held = found.join(near.select("__key").distinct(), "__key", "left_semi").select("__key", F.explode("terms").alias("term")).distinct()
     n = F.lit(float(documents))
@@ -148,7 +148,7 @@ def digest(spans: dict[str, str]) -> Column:
 
 def marks_of_documents(found: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
     """(__key, __marks): by document its telling terms, each with the mark that replaces it."""
-    terms = cut(found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    terms = written(found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     telling = disclosing_terms(found, terms, support, generalise).groupBy("term").agg(F.max("share").alias("share"))
     marked = telling.select("term", F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("mark"))
     rows = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -163,7 +163,7 @@ def sanitise(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, genera
     In the sanitised text base spans become [EMAIL], [IP], [CARD] or [PHONE], generalised terms [TERM], and
     removed terms nothing; overlapping base spans merge under the mark of the first.
     """
-    found = cut(base_spans(docs, reach))
+    found = written(base_spans(docs, reach))
     marks = marks_of_documents(found, support, generalise, remove)
     places = (F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k) for k in KINDS)
     spans = found.select(F.col("__key").alias("__found"), *places).dropDuplicates(["__found"]).join(marks.withColumnRenamed("__key", "__marked"), F.col("__found") == F.col("__marked"), "left").drop("__marked")
