@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import cut, ship_code
+from verdigris.functions.session import ship_code, written
 from verdigris.llm.common import per_text, texts_of
 
 #: Bounds of the labelled sample by label (smallest hashes of doc_id), and the fewest rows of each to learn from.
@@ -232,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))).alias("word")
     counts = rows.select("toxic", words).groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("c") + 0.5) / (sizes[0] + 1.0))
-    counts = cut(counts.withColumn("odds", odds))
+    counts = written(counts.withColumn("odds", odds))
     lexicon = {r["word"]: float(r["odds"]) for r in counts.where((F.col("t") >= LEAST_SUPPORT) & (F.col("odds") >= LEAST_ODDS)).collect()}
     model = ToxicityModel(lexicon, frozenset(), np.zeros(N_FEATURES + 1))
     if not lexicon:
