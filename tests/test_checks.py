@@ -4,6 +4,8 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from verdigris.functions.values import approx_equal
 from verdigris.operators import compare, inspect
@@ -23,6 +25,48 @@ def test_null_keys_match_and_nulls_differ_from_values(spark):
     assert rows(compare.column_diff(a, b, ["k"], ["v"])) == [("v", 2, 1)]
 
 
+def test_duplicate_keys_are_told_and_not_compared(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (None, "p"), (None, "q")], "k int, v string")
+    assert rows(compare.key_diff(a, a, ["k"], ["v"])) == [("duplicate", 2), ("match", 1)]
+    assert rows(compare.column_diff(a, a, ["k"], ["v"])) == [("v", 1, 0)]
+    assert rows(compare.key_diff_rows(a, a, ["k"], ["v"])) == [(1, "duplicate", ""), (None, "duplicate", "")]
+    found = {r["check_name"]: r["status"] for r in compare_tables("t", a, a, ["k"], ["v"]).collect()}
+    assert found["duplicate_keys"] == "fail" and found["row_count"] == "pass"
+
+
+def test_nested_values_and_maps(spark):
+    kind = "k int, l array<string>, m map<string,array<int>>, s struct<a:string,b:string>"
+    a = spark.createDataFrame([(1, ["a, b"], {"x": [1], "y": None}, ("p", None)), (2, [], {}, (None, "p")), (3, None, None, None)], kind)
+    b = spark.createDataFrame([(1, ["a", "b"], {"y": None, "x": [1]}, ("p", None)), (2, [None], {"x": [1]}, (None, "p")), (3, [], None, (None, None))], kind)
+    cols = ["l", "m", "s"]
+    assert rows(compare.key_diff_rows(a, b, ["k"], cols)) == [(1, "changed", "l"), (2, "changed", "l,m"), (3, "changed", "l,s")]
+    for c, same in (("l", 0), ("m", 2), ("s", 2)):
+        one, two = (dict(rows(compare.fingerprint(x, ["k"], [c]))) for x in (a, b))
+        assert sum(one[k] == two[k] for k in one) == same and len(set(one.values())) == 3
+    assert {(r["column"], r["n_null"], r["n_distinct"]) for r in inspect.profile(a, cols).collect()} == {("l", 1, 2), ("m", 1, 2), ("s", 1, 2)}
+    assert rows(compare.key_diff(a, a, ["m"], ["k"])) == [("match", 3)]
+
+
+def test_values_that_round_alike_stay_apart(spark):
+    df = spark.createDataFrame([(1, 1.001), (2, 1.002), (3, -0.0), (4, 0.0), (5, float("nan")), (6, 1e300)], "k int, v double")
+    assert [r["n_distinct"] for r in inspect.profile(df, ["v"]).collect()] == [5]
+    assert len({r[1] for r in compare.fingerprint(df, ["k"], ["v"]).collect()}) == 5
+    assert len({r[1] for r in compare.fingerprint(df, ["k"], ["v"], 2).collect()}) == 4
+
+
+def test_sums_beyond_decimals_do_not_agree(spark):
+    a = spark.createDataFrame([("g", 1e17), ("g", 2.0), ("h", 1e40), ("h", 1.0), ("i", 9e35), ("i", 9e35), ("n", None)], "g string, v double")
+    found = {r["g"]: (r["v_source"] and float(r["v_source"]), r["v_overflow"], r["agrees"]) for r in compare.group_reconcile(a, a, ["g"], ["v"]).collect()}
+    assert found == {"g": (1e17, 0, True), "h": (1.0, 2, False), "i": (None, 0, False), "n": (None, 0, True)}
+
+
+def test_rules_and_nullability(spark):
+    a, b = (spark.createDataFrame([(1, x)], "k int, v string") for x in ("x ", "x"))
+    assert rows(compare.key_diff(a, b, ["k"], ["v"])) == [("changed", 1)] and rows(compare.key_diff(a, b, ["k"], ["v"], {"v": F.rtrim})) == [("match", 1)]
+    c = spark.createDataFrame([(1, "x")], StructType([StructField("k", IntegerType(), False), StructField("v", StringType())]))
+    assert rows(compare.schema_diff(a, c)) == [] and rows(compare.schema_diff(a, c, True)) == [("k", "int", "int not null", "retyped")]
+
+
 def test_bag_diff_counts_repeats(spark):
     a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "v int")
     b = spark.createDataFrame([(1,), (2,), (3,), (None,)], "v int")

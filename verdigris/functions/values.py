@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, MapType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, DataType, DecimalType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
 
 
 def approx_equal(a: Column, b: Column, tol: float) -> Column:
@@ -12,26 +12,42 @@ def approx_equal(a: Column, b: Column, tol: float) -> Column:
     return a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= F.lit(tol), F.lit(False))
 
 
-def canonical(column: Column, kind: DataType, scale: int = 2) -> Column:
-    """A value as text that other engines can produce too; null stays null.
+def canonical(column: Column, kind: DataType, scale: int | None = None) -> Column:
+    """A value as text, different values as different text; null stays null.
 
-    Floating-point numbers are rendered as decimals of ``scale`` places, timestamps with microseconds, and
-    maps as arrays sorted by key. NaN and infinities keep their names.
+    Floating-point numbers are exact, or decimals of ``scale`` places that other engines can produce too; NaN and
+    infinities keep their names. Timestamps have microseconds. Of arrays, structs and maps (sorted by key) every
+    element has a null flag and its length.
     """
     if isinstance(kind, (DoubleType, FloatType)):
-        plain = F.isnan(column) | (F.abs(column) == float("inf"))
-        return F.when(plain, column.cast("string")).otherwise(column.cast(DecimalType(38, scale)).cast("string"))
+        column = column + F.lit(0).cast(kind)  # no negative zero
+        if scale is None:
+            return column.cast("string")
+        rounded = column.try_cast(DecimalType(38, scale)).cast("string")
+        return F.coalesce(rounded, column.cast("string"))
     if isinstance(kind, (TimestampType, TimestampNTZType)):
         return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if isinstance(kind, StructType):
+        return F.when(column.isNotNull(), F.concat(F.lit("("), *(flagged(column[f.name], f.dataType, scale) for f in kind.fields), F.lit(")")))
+    if isinstance(kind, ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: flagged(x, kind.elementType, scale)), ""), F.lit("]"))
     if isinstance(kind, MapType):
-        return F.to_json(F.array_sort(F.map_entries(column)))
+        keys = F.array_sort(F.map_keys(column))
+        return F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(flagged(k, kind.keyType, scale), flagged(F.element_at(column, k), kind.valueType, scale))), ""), F.lit("}"))
     return column.cast("string")
 
 
-def row_digest(columns: list[tuple[str, DataType]], scale: int = 2) -> Column:
-    """md5 over the columns, each with a null flag and its length, so that no two rows read alike."""
-    parts = []
-    for name, kind in columns:
-        text = canonical(F.col(name), kind, scale)
-        parts.append(F.when(F.col(name).isNull(), F.lit("N;")).otherwise(F.concat(F.lit("V"), F.length(text).cast("string"), F.lit(":"), text, F.lit(";"))))
-    return F.md5(F.concat(*parts))
+def flagged(column: Column, kind: DataType, scale: int | None = None) -> Column:
+    """``canonical`` with a null flag and its length, so that such texts can be joined and no two rows read alike."""
+    text = canonical(column, kind, scale)
+    return F.when(column.isNull(), F.lit("N;")).otherwise(F.concat(F.lit("V"), F.length(text).cast("string"), F.lit(":"), text, F.lit(";")))
+
+
+def comparable(column: Column, kind: DataType) -> Column:
+    """The value itself where Spark can compare it for equality, else (maps, also inside others) its canonical text."""
+    return canonical(column, kind) if "map<" in kind.simpleString() else column
+
+
+def row_digest(columns: list[tuple[str, DataType]], scale: int | None = None) -> Column:
+    """md5 over the columns, each with a null flag and its length."""
+    return F.md5(F.concat(*(flagged(F.col(name), kind, scale) for name, kind in columns)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.values import row_digest
+from verdigris.functions.values import comparable, row_digest
 
 
 def row_count(src: DataFrame, tgt: DataFrame) -> DataFrame:
@@ -16,9 +18,15 @@ def row_count(src: DataFrame, tgt: DataFrame) -> DataFrame:
     return sides.agg(n.cast("long").alias("n_source"), m.cast("long").alias("n_target"), (m - n).cast("long").alias("difference"))
 
 
-def schema_diff(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """(column, source_type, target_type, status) of columns that are missing, extra or retyped. Reads schemas only."""
-    a, b = ({f.name: f.dataType.simpleString() for f in df.schema.fields} for df in (src, tgt))
+def schema_diff(src: DataFrame, tgt: DataFrame, nullability: bool = False) -> DataFrame:
+    """(column, source_type, target_type, status) of columns that are missing, extra or retyped. Reads schemas only.
+
+    With ``nullability`` a column that is required on one side alone is retyped too.
+    """
+    def told(df: DataFrame) -> dict[str, str]:
+        return {f.name: f.dataType.simpleString() + (" not null" if nullability and not f.nullable else "") for f in df.schema.fields}
+
+    a, b = told(src), told(tgt)
     rows = []
     for name in sorted({*a, *b}):
         status = "missing" if name not in b else "extra" if name not in a else "retyped" if a[name] != b[name] else None
@@ -27,45 +35,82 @@ def schema_diff(src: DataFrame, tgt: DataFrame) -> DataFrame:
     return src.sparkSession.createDataFrame(rows, "column string, source_type string, target_type string, status string")
 
 
-def _sides(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Full outer join on null-safe keys: k<i>, s<i>, t<i>, and in_source, in_target."""
-    a = src.select(*(F.col(k).alias(f"a{i}") for i, k in enumerate(keys)), *(F.col(c).alias(f"s{i}") for i, c in enumerate(cols)), F.lit(True).alias("in_source"))
-    b = tgt.select(*(F.col(k).alias(f"b{i}") for i, k in enumerate(keys)), *(F.col(c).alias(f"t{i}") for i, c in enumerate(cols)), F.lit(True).alias("in_target"))
+#: By column what is done to both sides before they are compared, such as F.rtrim.
+Rules = dict[str, Callable[[Column], Column]]
+
+
+def doubled_keys(src: DataFrame, tgt: DataFrame, keys: list[str]) -> DataFrame:
+    """k<i>: the keys that occur more than once on either side, null-safe. One shuffle of combined keys."""
+
+    def side(df: DataFrame, s: int, t: int) -> DataFrame:
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        return df.select(*(comparable(F.col(k), kinds[k]).alias(f"k{i}") for i, k in enumerate(keys)), F.lit(s).alias("s"), F.lit(t).alias("t"))
+
+    both = side(src, 1, 0).unionByName(side(tgt, 0, 1)).groupBy(*(f"k{i}" for i in range(len(keys)))).agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    return both.where("s > 1 or t > 1").drop("s", "t")
+
+
+def _sides(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str], doubled: DataFrame, rules: Rules | None) -> DataFrame:
+    """Full outer join on null-safe keys that are unique on both sides: a<i>, b<i>, s<i>, t<i>, and in_source, in_target."""
+
+    def side(df: DataFrame, key: str, value: str, flag: str) -> DataFrame:
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        values = (comparable((rules or {}).get(c, lambda x: x)(F.col(c)), kinds[c]).alias(f"{value}{i}") for i, c in enumerate(cols))
+        rows = df.select(*(comparable(F.col(k), kinds[k]).alias(f"{key}{i}") for i, k in enumerate(keys)), *values, F.lit(True).alias(flag))
+        return rows.join(doubled, [F.col(f"{key}{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(keys))], "left_anti")
+
     on = [F.col(f"a{i}").eqNullSafe(F.col(f"b{i}")) for i in range(len(keys))]
-    return a.join(b, on, "full_outer")
+    return side(src, "a", "s", "in_source").join(side(tgt, "b", "t", "in_target"), on, "full_outer")
 
 
 def _changed(i: int) -> Column:
     return ~F.col(f"s{i}").eqNullSafe(F.col(f"t{i}"))
 
 
-def key_diff_rows(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """The keys that differ, with status (changed, missing, extra) and the names of the changed columns.
+def key_diff_rows(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str], rules: Rules | None = None) -> DataFrame:
+    """The keys that differ, with status (changed, missing, extra, duplicate) and the names of the changed columns.
 
-    Keys must be unique on either side (see ``duplicate_keys``); a null key equals a null key. One shuffle
-    of each side, by the keys.
+    A key that occurs more than once on either side is a duplicate, and not compared; a null key equals a null key.
     """
+    doubled = doubled_keys(src, tgt, keys)
     both = F.col("in_source").isNotNull() & F.col("in_target").isNotNull()
     changed = F.concat_ws(",", *(F.when(both & _changed(i), F.lit(c)) for i, c in enumerate(cols)))
     status = F.when(F.col("in_target").isNull(), "missing").when(F.col("in_source").isNull(), "extra").when(F.col("changed") != "", "changed").otherwise("match")
-    rows = _sides(src, tgt, keys, cols).withColumn("changed", changed).withColumn("status", status)
-    return rows.select(*(F.coalesce(f"a{i}", f"b{i}").alias(k) for i, k in enumerate(keys)), "status", "changed").where("status <> 'match'")
+    rows = _sides(src, tgt, keys, cols, doubled, rules).withColumn("changed", changed).withColumn("status", status)
+    rows = rows.select(*(F.coalesce(f"a{i}", f"b{i}").alias(k) for i, k in enumerate(keys)), "status", "changed").where("status <> 'match'")
+    return rows.unionByName(doubled.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), F.lit("duplicate").alias("status"), F.lit("").alias("changed")))
+
 
+STATUSES = ["match", "changed", "missing", "extra", "duplicate"]
 
-def key_diff(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """(status, n): how many keys match, changed, are missing from the target or extra in it."""
+
+def comparison(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str], rules: Rules | None = None) -> DataFrame:
+    """One row: statuses (the number of keys of each of ``STATUSES``) and changed (by column the keys with another value)."""
+    doubled = doubled_keys(src, tgt, keys)
     any_changed = F.lit(False)
     for i in range(len(cols)):
         any_changed = any_changed | _changed(i)
-    status = F.when(F.col("in_target").isNull(), "missing").when(F.col("in_source").isNull(), "extra").when(any_changed, "changed").otherwise("match")
-    return _sides(src, tgt, keys, cols).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    both = F.col("in_source").isNotNull() & F.col("in_target").isNotNull()
+    tests = [both & ~any_changed, both & any_changed, F.col("in_target").isNull(), F.col("in_source").isNull()]
+    counts = [F.count(F.when(x, 1)) for x in tests]
+    changed = [F.count(F.when(both & _changed(i), 1)) for i in range(len(cols))]
+    totals = _sides(src, tgt, keys, cols, doubled, rules).agg(F.array(*counts).alias("statuses"), F.array(*changed).cast("array<bigint>").alias("changed"))
+    twice = doubled.agg(F.count(F.lit(1)).alias("twice"))
+    both_rows = totals.unionByName(twice, allowMissingColumns=True).agg(*(F.max(x).alias(x) for x in ("statuses", "changed", "twice")))
+    return both_rows.select(F.concat("statuses", F.array("twice")).alias("statuses"), "changed")
 
 
-def column_diff(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """(column, n_compared, n_changed) over the keys that both sides have."""
-    both = _sides(src, tgt, keys, cols).where("in_source and in_target")
-    totals = both.agg(F.count(F.lit(1)).alias("n_compared"), *(F.count(F.when(_changed(i), 1)).alias(c) for i, c in enumerate(cols)))
-    return totals.select("n_compared", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n_changed")) for c in cols))).alias("x")).select("x.column", "n_compared", "x.n_changed")
+def key_diff(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str], rules: Rules | None = None) -> DataFrame:
+    """(status, n): how many keys match, changed, are missing from the target, extra in it, or duplicate (not compared)."""
+    told = F.array(*(F.struct(F.lit(x).alias("status"), F.get("statuses", F.lit(i)).alias("n")) for i, x in enumerate(STATUSES)))
+    return comparison(src, tgt, keys, cols, rules).select(F.explode(told).alias("x")).select("x.*").where("n > 0")
+
+
+def column_diff(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str], rules: Rules | None = None) -> DataFrame:
+    """(column, n_compared, n_changed) over the keys that both sides have once."""
+    n = F.get("statuses", F.lit(0)) + F.get("statuses", F.lit(1))
+    told = F.array(*(F.struct(F.lit(c).alias("column"), n.alias("n_compared"), F.get("changed", F.lit(i)).alias("n_changed")) for i, c in enumerate(cols)))
+    return comparison(src, tgt, keys, cols, rules).select(F.explode(told).alias("x")).select("x.*")
 
 
 def bag_diff(src: DataFrame, tgt: DataFrame) -> DataFrame:
@@ -79,18 +124,28 @@ def bag_diff(src: DataFrame, tgt: DataFrame) -> DataFrame:
 
 
 def group_reconcile(src: DataFrame, tgt: DataFrame, by: list[str], measures: list[str], scale: int = 2) -> DataFrame:
-    """Row counts and decimal sums of each group on both sides, and whether all agree."""
+    """Row counts and decimal sums of each group on both sides, and whether all agree.
+
+    <measure>_overflow counts the values, of both sides, that no decimal(38, scale) holds; with any, or with a sum that
+    none holds (null), the group does not agree.
+    """
 
     def totals(df: DataFrame, side: str) -> DataFrame:
-        sums = (F.sum(F.col(m).cast(f"decimal(18,{scale})")).cast(f"decimal(38,{scale})").alias(f"{m}_{side}") for m in measures)
-        return df.groupBy(*(F.col(c).alias(f"{side}_{i}") for i, c in enumerate(by))).agg(F.count(F.lit(1)).alias(f"n_{side}"), *sums)
+        out = [F.count(F.lit(1)).alias(f"n_{side}")]
+        for m in measures:
+            exact = F.col(m).try_cast(f"decimal(38,{scale})")
+            out += [F.try_sum(exact).cast(f"decimal(38,{scale})").alias(f"{m}_{side}"), F.count(F.when(F.col(m).isNotNull() & exact.isNull(), 1)).alias(f"{m}_lost_{side}"), F.count(exact).alias(f"{m}_held_{side}")]
+        return df.groupBy(*(F.col(c).alias(f"{side}_{i}") for i, c in enumerate(by))).agg(*out)
 
     on = [F.col(f"source_{i}").eqNullSafe(F.col(f"target_{i}")) for i in range(len(by))]
     rows = totals(src, "source").join(totals(tgt, "target"), on, "full_outer")
     agrees = F.col("n_source").eqNullSafe(F.col("n_target"))
     for m in measures:
-        agrees = agrees & F.col(f"{m}_source").eqNullSafe(F.col(f"{m}_target"))
-    values = [x for m in ["n", *measures] for x in (f"{m}_source", f"{m}_target")]
+        lost = F.coalesce(f"{m}_lost_source", F.lit(0)) + F.coalesce(f"{m}_lost_target", F.lit(0))
+        rows = rows.withColumn(f"{m}_overflow", lost)
+        unsummed = F.coalesce((F.col(f"{m}_held_source") > 0) & F.col(f"{m}_source").isNull(), F.lit(False))
+        agrees = agrees & F.col(f"{m}_source").eqNullSafe(F.col(f"{m}_target")) & (F.col(f"{m}_overflow") == 0) & ~unsummed
+    values = ["n_source", "n_target", *(f"{m}_{x}" for m in measures for x in ("source", "target", "overflow"))]
     return rows.select(*(F.coalesce(f"source_{i}", f"target_{i}").alias(c) for i, c in enumerate(by)), *values, agrees.alias("agrees"))
 
 
@@ -100,13 +155,13 @@ def domain_diff(src: DataFrame, tgt: DataFrame, col: str) -> DataFrame:
     return sides.groupBy("value").agg(F.sum("s").alias("n_source"), F.sum(1 - F.col("s")).alias("n_target"))
 
 
-def fingerprint(df: DataFrame, keys: list[str], cols: list[str], scale: int = 2) -> DataFrame:
+def fingerprint(df: DataFrame, keys: list[str], cols: list[str], scale: int | None = None) -> DataFrame:
     """The keys and an md5 of the columns' canonical text, to compare sides that cannot be joined."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     return df.select(*keys, row_digest([(c, kinds[c]) for c in cols], scale).alias("fingerprint"))
 
 
-def table_checksum(df: DataFrame, cols: list[str], buckets: int = 64, scale: int = 2) -> DataFrame:
+def table_checksum(df: DataFrame, cols: list[str], buckets: int = 64, scale: int | None = None) -> DataFrame:
     """(bucket, n, checksum): sums of row digests in fixed buckets; two sides agree if all buckets do."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     digest = row_digest([(c, kinds[c]) for c in cols], scale)

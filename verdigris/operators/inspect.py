@@ -2,32 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from verdigris.functions.values import canonical
 
 
-def profile(df: DataFrame, cols: list[str], scale: int = 2) -> DataFrame:
+def profile(df: DataFrame, cols: list[str], scale: int | None = None) -> DataFrame:
     """(column, n_rows, n_null, n_distinct, least, most, total) of each column.
 
-    Values are counted per (column, value) first, so the exact distinct count of all columns takes one shuffle
-    of combined rows; least and most are found in the type's own order, total is a decimal sum (null for text).
+    Values are counted per (column, value) first, so the exact distinct count of all columns takes one shuffle of combined
+    rows; it is of the values themselves. least and most are found in the type's own order (null for maps) and rendered
+    with ``scale`` places, all if it is None; total is a decimal sum of ``scale`` (2) places, null for text and where no
+    decimal(38) holds it.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    text = {c: canonical(F.col(c), kinds[c], scale) for c in cols}
-    exact = df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *(e.alias(f"{what}_{i}") for i, c in enumerate(cols) for what, e in {
-            "null": F.count(F.when(F.col(c).isNull(), 1)),
-            "min": canonical(F.min(c), kinds[c], scale),
-            "max": canonical(F.max(c), kinds[c], scale),
-            "sum": (F.sum(F.col(c).cast(f"decimal(28,{scale})")) if isinstance(kinds[c], NumericType) else F.lit(None)).cast(f"decimal(38,{scale})"),
-        }.items()),
-    )
+    places = 2 if scale is None else scale
+
+    def edge(which, c: str) -> Column:
+        return F.lit(None).cast("string") if "map<" in kinds[c].simpleString() else canonical(which(c), kinds[c], scale)
+
+    def total(c: str) -> Column:
+        return F.try_sum(F.col(c).try_cast(f"decimal(38,{places})")).cast(f"decimal(38,{places})") if isinstance(kinds[c], NumericType) else F.lit(None).cast(f"decimal(38,{places})")
+
+    exact = df.agg(F.count(F.lit(1)).alias("n_rows"), *(e.alias(f"{what}_{i}") for i, c in enumerate(cols) for what, e in {"null": F.count(F.when(F.col(c).isNull(), 1)), "min": edge(F.min, c), "max": edge(F.max, c), "sum": total(c)}.items()))
     wide = exact.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), "n_rows", F.col(f"null_{i}").alias("n_null"), F.col(f"min_{i}").alias("least"), F.col(f"max_{i}").alias("most"), F.col(f"sum_{i}").alias("total")) for i, c in enumerate(cols)))).alias("x")).select("x.*")
-    values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), text[c].alias("value")) for c in cols))).alias("x")).select("x.*")
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), canonical(F.col(c), kinds[c]).alias("value")) for c in cols))).alias("x")).select("x.*")
     distinct = values.groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(F.count("value").alias("n_distinct"))
     return wide.join(distinct, "column", "left").select("column", "n_rows", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "least", "most", "total")
 
