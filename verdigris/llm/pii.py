@@ -37,13 +37,13 @@ HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: entity's information from which a term is generalised or removed, and what a term is.
 REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.6, 0.9
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
-#: Code points of the pieces in which long texts are cut up, and groups in which a document's telling terms are looked up.
-PIECE, GROUPS = 256, 64
+#: Code points of the pieces in which long texts are cut up, and how many telling terms are sent to every task.
+PIECE, FEW_TERMS = 256, 200_000
 
 _SPAN = "array<struct<start:bigint,end:bigint,entity:string,context:bigint>>"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Matches of a pattern, leftmost and apart: array of (start, end, value, left, right) in code points.
 
     left and right are the texts up to the matches before and after. Positions are sums of lengths.
@@ -64,7 +64,8 @@ def located(text: Column, pattern: str) -> Column:
             ),
         )
 
-    return let(F.split(text, pattern, -1), lambda pieces: let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda matches: build(pieces, matches)))
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return let(F.split(text, regex, -1), lambda pieces: let(F.regexp_extract_all(text, regex, F.lit(0)), lambda matches: build(pieces, matches)))
 
 
 def valid(kind: str) -> Callable[[Column], Column]:
@@ -150,10 +151,14 @@ def marks_of_documents(found: DataFrame, support: int, generalise: float, remove
     """(__key, __marks): by document its telling terms, each with the mark that replaces it."""
     terms = written(found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     telling = disclosing_terms(found, terms, support, generalise).groupBy("term").agg(F.max("share").alias("share"))
-    marked = telling.select("term", F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("mark"))
+    marked = written(telling.select("term", F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("mark")))
     rows = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     held = found.select("__key", F.explode("terms").alias("term"))
-    hits = hub_join(held, terms.join(marked, "term", "left"), "term", rows).where("mark is not null")
+    number, size = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    if number <= FEW_TERMS and size <= 20 * FEW_TERMS:  # a few megabytes
+        hits = held.join(F.broadcast(marked), "term")
+    else:
+        hits = hub_join(held, terms.join(marked, "term", "left"), "term", rows).where("mark is not null")
     return hits.groupBy("__key").agg(F.collect_set(F.struct("term", "mark")).alias("__marks"))
 
 
@@ -213,29 +218,30 @@ def rewritten() -> Column:
         few = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
         return F.when(b > a, F.substring(few, (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
 
-    def group(term: Column) -> Column:
-        return F.pmod(F.hash(term), F.lit(GROUPS))
-
-    def between(pieces: Column, spans: Column, groups: Column) -> Column:
+    def between(pieces: Column, spans: Column, pattern: Column) -> Column:
         """For the stretch before each span, and the last: its terms, its new text, and the mark that follows."""
 
         def stretch(a: Column, b: Column, mark: Column) -> Column:
-            def mark_of(m: Column) -> Column:
-                touches = ((m["start"] == 0) & (a > 0)) | ((m["end"] == b - a) & (b < size))
-                term = F.lower(m["value"])
-                return F.when(~touches, F.get(F.filter(F.get(groups, group(term)), lambda x: x["term"] == term), F.lit(0))["mark"])
+            def replaced(m: Column) -> Column:
+                """start and end of a match of the pattern, its digits ahead of the term, and the mark (null: stays)."""
+                ahead = F.regexp_extract(m["value"], r"^\p{N}*+", 0)
+                start = m["start"] + F.length(ahead)
+                touches = ((start == 0) & (a > 0)) | ((m["end"] == b - a) & (b < size))
+                term = F.lower(F.substr(m["value"], F.length(ahead) + 1))
+                own = F.get(F.filter("__marks", lambda x: x["term"] == term), F.lit(0))["mark"]
+                return F.struct(m.alias("m"), (start + a).alias("start"), (m["end"] + a).alias("end"), ahead.alias("ahead"), F.when(~touches, own).alias("mark"))
 
             def built(gap: Column) -> Column:
                 def joined(found: Column) -> Column:
-                    terms = F.filter(F.transform(found, lambda m: F.struct((m["m"]["start"] + a).alias("start"), (m["m"]["end"] + a).alias("end"), m["mark"].alias("mark"))), lambda m: m["mark"].isNotNull())
-                    body = F.array_join(F.transform(found, lambda m: F.concat(m["m"]["left"], F.coalesce(m["mark"], m["m"]["value"]))), "")
+                    terms = F.transform(F.filter(found, lambda m: m["mark"].isNotNull()), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["mark"].alias("mark")))
+                    body = F.array_join(F.transform(found, lambda m: F.concat(m["m"]["left"], F.coalesce(F.concat(m["ahead"], m["mark"]), m["m"]["value"]))), "")
                     rest = F.when(F.size(found) == 0, gap).otherwise(F.get(found, F.size(found) - 1)["m"]["right"])
                     return F.struct(terms.alias("terms"), F.concat(body, rest, mark).alias("text"))
 
-                return let(F.transform(located(gap, TERM), lambda m: F.struct(m.alias("m"), mark_of(m).alias("mark"))), joined)
+                return let(F.transform(located(gap, pattern), replaced), joined)
 
             plain = lambda gap: F.struct(none.alias("terms"), F.concat(gap, mark).alias("text"))
-            return let(part(pieces, a, b), lambda gap: F.when(F.size(F.col("__marks")) > 0, built(gap)).otherwise(plain(gap)))
+            return let(part(pieces, a, b), lambda gap: F.when(F.col("__marks").isNotNull(), built(gap)).otherwise(plain(gap)))
 
         def ends(i: Column) -> Column:
             return stretch(F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0).cast("bigint")), F.coalesce(F.get(spans, i)["start"], size), F.coalesce(F.get(spans, i)["mark"], F.lit("")))
@@ -245,8 +251,8 @@ def rewritten() -> Column:
     def whole(stretches: Column) -> Column:
         return F.struct(F.flatten(F.transform(stretches, lambda s: s["terms"])).alias("terms"), F.array_join(F.transform(stretches, lambda s: s["text"]), "").alias("text"))
 
-    groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter(F.coalesce("__marks", F.array()), lambda x: group(x["term"]) == g))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\p{N}*+(?:"), F.array_join(F.col("__marks.term"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
-    new = let(pieces, lambda pieces: let(merged_spans(), lambda spans: let(groups, lambda groups: let(between(pieces, spans, groups), whole))))
+    new = let(pieces, lambda pieces: let(merged_spans(), lambda spans: let(pattern, lambda pattern: let(between(pieces, spans, pattern), whole))))
     untouched = (F.col("__marks").isNull()) & (F.size(F.concat(*KINDS)) == 0)
     return F.when(untouched, F.struct(none.alias("terms"), text.alias("text"))).otherwise(new)
