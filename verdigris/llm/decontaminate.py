@@ -6,9 +6,10 @@ separator, and an FM-index is built of the rest: suffix array, Burrows-Wheeler t
 for ranks, and sampled suffix positions. All test phrases are searched backward at once, their occurrences
 located by walking to a sampled position, and the spans merged. Phrases compare words exactly.
 
-The benchmark is broadcast in blocks of at most ``BLOCK_BYTES``, one pass over the texts for each block, so
-its size is never assumed. Null and empty texts have no words and no hits; items without words are no
-phrases; a null item_id is ignored. Repeated rows get equal results; empty tables give no hits or no rows.
+The benchmark streams through the driver in blocks of at most ``BLOCK_WINDOWS`` phrases, long items in parts. Each block is
+broadcast for one pass over the texts and given up before the next, so its size is never assumed. Null and empty texts
+have no words and no hits; items without words are no phrases; a null item_id is ignored. Repeated rows get equal
+results; empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
@@ -23,12 +24,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import ship_code
+from verdigris.functions.session import ship_code, written
 from verdigris.llm.common import sliced
 
-#: Words of a window, UTF-8 bytes of text in a shard, bytes of benchmark text in a broadcast, and the
-#: distance of sampled suffix positions.
-WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4_000_000, 16_000_000, 8
+#: Words of a window, UTF-8 bytes of text in a shard, phrases in a broadcast, and the distance of sampled suffix positions.
+WINDOW, SHARD_BYTES, BLOCK_WINDOWS, SAMPLE = 10, 4_000_000, 200_000, 8
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Every byte that is in no word becomes a space; letters A-Z become lower case.
@@ -49,13 +49,13 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 
 class Phrases:
-    """Test phrases: the windows of a block of items over their vocabulary."""
+    """Test phrases: the windows of a block of items (id, words) over their vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
         self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)]
+        for item, words in items:
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(tuple(ids[i : i + window]), set()).add(item)
         self.items = [sorted(x) for x in found.values()]
@@ -192,25 +192,31 @@ def merged(spans: list) -> list[list[int]]:
     return out
 
 
-def benchmark_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Items (id, text) in blocks of at most ``most`` bytes, one item at least; rows stream to the driver."""
+def benchmark_blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items (id, words) in blocks of at most ``most`` windows, one block at least; rows stream to the driver."""
     block, size = [], 0
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
     for item, text in items.toLocalIterator():
-        if block and size + len(text.encode("utf-8", "surrogatepass")) > most:
-            yield block
-            block, size = [], 0
-        block.append((item, text))
-        size += len(text.encode("utf-8", "surrogatepass"))
+        words = words_of(text)
+        at, windows = 0, max(1, len(words) - window + 1) if words else 0
+        while at < windows:
+            if size == most:
+                yield block
+                block, size = [], 0
+            n = min(most - size, windows - at)
+            block.append((item, words[at : at + n + window - 1]))
+            at, size = at + n, size + n
     yield block
 
 
-def find_phrases(docs: DataFrame, blocks: list) -> DataFrame:
+def searched(docs: DataFrame, benchmark: DataFrame, window: int, most: int) -> tuple[DataFrame, object | None]:
     """``docs`` with __text (null: empty), __n_words, __hits (merged word spans) and __items (ids with occurring windows).
 
-    ``blocks`` are broadcast ``Phrases``; each takes one pass, which adds its hits to those before.
+    Each block of phrases takes one pass, which adds its hits to those before; with several, a pass is written before the
+    next. If there is but one block, its broadcast comes second.
     """
-    ship_code(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_code(spark)
     now = docs.withColumns(
         {
             "__text": F.coalesce(F.col("text").cast("string"), F.lit("")),
@@ -219,15 +225,15 @@ def find_phrases(docs: DataFrame, blocks: list) -> DataFrame:
             "__items": F.array().cast("array<string>"),
         }
     )
-    for shared in blocks:
+    shared, passes = None, 0
+    for block in benchmark_blocks(benchmark, window, most):
+        if shared:
+            now = written(now)
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(Phrases(block, window))
         now = now.mapInArrow(_searcher(shared), now.schema)
-    return now
-
-
-def broadcast_phrases(benchmark: DataFrame, window: int = WINDOW) -> list:
-    """The benchmark's phrases as broadcast blocks of bounded size."""
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(Phrases(block, window)) for block in benchmark_blocks(benchmark)]
+        passes += 1
+    return now, shared if passes == 1 else None
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -268,10 +274,10 @@ def _searcher(shared):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
     n_hit = F.aggregate("__hits", F.lit(0).cast("long"), lambda total, span: total + span[1] - span[0])
-    return find_phrases(docs.select("doc_id", "text"), broadcast_phrases(benchmark, window)).select(
+    return searched(docs.select("doc_id", "text"), benchmark, window, most)[0].select(
         "doc_id",
         F.col("__n_words").alias("n_words"),
         n_hit.alias("n_hit"),
@@ -291,28 +297,31 @@ def without_words(text: str, hits: list) -> str:
     return "".join(out) + text[at:]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows and columns of ``docs``; their texts without any words inside occurrences of test phrases.
 
     Removing a span can bring two halves of a phrase together, so changed texts are searched again until
     nothing is found. Texts without hits stay as they are; null texts stay null.
     """
-    blocks = broadcast_phrases(benchmark, window)
-    found = find_phrases(docs, blocks)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _shards(batches):
-            texts, todo = table["__text"].to_pylist(), dict(enumerate(table["__hits"].to_pylist()))
-            while todo := {i: hits for i, hits in todo.items() if hits}:
-                for i, hits in todo.items():
-                    texts[i] = without_words(texts[i], hits)
-                again: dict[int, list] = {i: [] for i in todo}
-                for shared in blocks:
-                    for k, spans in search_shard([texts[i] for i in todo], shared.value)[1].items():
-                        again[list(todo)[k]] += [[a, b] for a, b, _ in spans]
-                todo = {i: merged(spans) for i, spans in again.items()}
-            yield from _with(table, __text=texts)
-
-    cleaned = found.mapInArrow(clean, found.schema)
     kind = docs.schema["text"].dataType
-    return cleaned.withColumn("text", F.when(F.col("text").isNotNull(), F.col("__text").cast(kind))).select(*docs.columns)
+    while True:
+        found, shared = searched(docs, benchmark, window, most)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for table in _shards(batches):
+                texts, todo = table["__text"].to_pylist(), dict(enumerate(table["__hits"].to_pylist()))
+                while todo := {i: hits for i, hits in todo.items() if hits}:
+                    for i, hits in todo.items():
+                        texts[i] = without_words(texts[i], hits)
+                    again = search_shard([texts[i] for i in todo], shared.value)[1] if shared else {}
+                    todo = {i: merged([a, b] for a, b, _ in again.get(k, [])) for k, i in enumerate(todo)}
+                yield from _with(table, __text=texts)
+
+        cleaned = found.mapInArrow(clean, found.schema)
+        text = F.when(F.col("text").isNotNull(), F.col("__text").cast(kind))
+        if shared:
+            return cleaned.withColumn("text", text).select(*docs.columns)
+        cleaned = written(cleaned.withColumn("text", text))
+        docs = cleaned.select(*docs.columns)
+        if not cleaned.where(F.size("__hits") > 0).take(1):
+            return docs
