@@ -144,7 +144,8 @@ def near(left: list[str], right: list[str], tau: int | None) -> np.ndarray:
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """(__key, doc_id, number, line) of the lines that take part: with a letter or digit, and of ``least`` code points."""
-    lines = texts_of(docs).select(document_key().alias("__key"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
+    keyed = texts_of(docs).withColumn("__key", document_key())  # before the lines are told apart: once for each text
+    lines = keyed.select("__key", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
     begins = F.substring("line", 1, 64).rlike(WORD)  # most lines show it early
     return lines.where((F.length("line") >= least) & (begins | F.col("line").rlike(WORD)))
 
