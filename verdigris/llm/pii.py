@@ -34,8 +34,9 @@ PATTERNS = {
 #: A quick look tells most texts that cannot match.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: Code points of context on either side, the least contexts of a term with an entity, the shares of an
-#: entity's information from which a term is generalised or removed, and what a term is.
-REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.6, 0.9
+#: entity's information from which a term is generalised or removed, and what a term is. Of the documents with a term
+#: that discloses a share s, a part (n_e / N) ** (1 - s) holds the entity: with 8 documents of 50,000, 17 % at 0.8.
+REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.8, 0.95
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
 #: Code points of the pieces in which long texts are cut up, and how many telling terms are sent to every task.
 PIECE, FEW_TERMS = 256, 200_000
