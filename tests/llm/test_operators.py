@@ -230,6 +230,49 @@ def test_prefix_counts_and_codec_equal_the_library(spark):
     assert [back[i] for i in range(len(texts))] == [library.decode(library.encode(t)) for t in texts]
 
 
+def message(*fields):
+    """A protobuf message of (number, value) fields: ints, floats, bytes or texts."""
+    import struct
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_unigram_model_is_rebuilt(tmp_path, squeeze):
+    """A hand-made model (none is trained) with scores that make no ties."""
+    rng = random.Random(12)
+    pieces = ["▁", *"abcde", "ab", "abc", "bc", "cd", "▁a", "▁ab", "de", "▁c", "cde", "ea", "▁▁"]
+    proto = b"".join(message((1, message((1, p), (2, -rng.uniform(1, 9)), (3, kind)))) for p, kind in [("<unk>", 2), ("<s>", 3), ("</s>", 3), *((p, 1) for p in pieces)])
+    path = tmp_path / "hand.model"
+    path.write_bytes(proto + message((2, message((3, 1))), (3, message((3, 1), (4, squeeze), (5, 1)))))
+    codec = piece_codec.Codec(str(path))
+    texts = ["".join(rng.choices("abcde  xé", k=rng.randint(0, 30))) for _ in range(300)]
+    for text, (ids, _, repaired) in zip(texts, codec.encode(texts)):
+        assert ids.tolist() == codec.library.encode(text)
+        assert repaired == 0
+    path.write_bytes(proto + message((2, message((3, 3)))))
+    with pytest.raises(ValueError):
+        piece_codec.Codec(str(path))
+
+
+def test_threads_give_the_same_ids():
+    texts = [f"some words {i} and more of them" for i in range(50)]
+    one, two = (piece_codec.Codec.of(model_path(), n) for n in (1, 2))
+    assert one is not two and [x[0].tolist() for x in one.encode(texts)] == [x[0].tolist() for x in two.encode(texts)]
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -275,6 +318,8 @@ def test_line_dedup_equals_brute_force(spark, tau, crowd):
     gone = {(d, i) for d, i, line in places if first[root[line]] != (d, i)}
     found = line_dedup.deduplicate_lines(frame(spark, texts), tau, 20, crowd).withColumn("kept", line_dedup.kept_text()).collect()
     assert {(r.doc_id, x.number) for r in found for x in r["__dropped"] or []} == gone
+    line_at = {(d, i): line for d, i, line in places}
+    assert all((x.doc_id, x.first) == first[root[line_at[r.doc_id, x.number]]] for r in found for x in r["__dropped"] or [])
     for r in found:
         assert r.kept == "\n".join(line for i, line in enumerate(r.text.split("\n")) if (r.doc_id, i) not in gone)
 
@@ -356,6 +401,22 @@ def test_quality_counts_and_forest(spark, data):
         want = len({j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(i, i + 8)})
         assert quality_rules.statistics(" ".join(words))[4] == want
     assert quality_rules.statistics("a| b\n\na| b\nc")[:4] == (5, 7, 2, 1)
+    for _ in range(200):
+        text = "".join(rng.choices(["a", "é", "😀", "\x85", "\xa0", "#", "|", " ", "\t", "\n", "\n", "ab\n"], k=rng.randint(0, 40)))
+        found = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(found), sum(map(len, found)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)))
+        assert quality_rules.statistics(text)[:4] == want
+    x = np.random.default_rng(1).random((300, 6))
+    forest = quality_rules.Forest.fit(x, x.min(0), x.max(0) + 1, trees=20)
+    for row, score in zip(x[:40], forest.score(x[:40])):
+        total = 0.0
+        for feature, value, path in zip(forest.feature, forest.value, forest.path):
+            node = 1
+            while feature[node] >= 0:
+                node = 2 * node + (row[feature[node]] >= value[node])
+            total += path[node]
+        assert abs(score - 2 ** (-total / 20 / forest.norm)) < 1e-12
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     judged = quality_rules.quality_rules(docs, labels).join(labels, "doc_id").where("not base_failed")
     good, bad = judged.where("quality = 1"), judged.where("quality = 0")
@@ -413,6 +474,20 @@ def test_toxicity_held_out_and_automaton(spark):
     assert wrong <= 0.02 * held.count()
 
 
+def test_quotation_equals_looking_at_the_line(spark):
+    rng = random.Random(13)
+    for _ in range(300):
+        text = "".join(rng.choices(["a ", "b", '"', "\n", "> ", "»", " "], k=rng.randint(1, 40)))
+        quotes = toxicity.Quotes(text)
+        for at in range(len(text)):
+            if text[at] not in "ab":
+                continue
+            line, end = text.rfind("\n", 0, at) + 1, (text + "\n").find("\n", at)
+            marks = [c for c in text[line:at] if c in '"»']
+            want = 0.7 * text[line:at].lstrip().startswith(">") + 0.7 * (len(marks) % 2 == 1 and bool(set(text[at:end]) & set('"»')))
+            assert quotes.likelihood(at, []) == min(want, 1.0)
+
+
 def test_reply_order(spark):
     rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> Hello there\n> how  ARE you?\nFine thanks.\nAnd you?"), (1, 2, "user", "Bob wrote:\n>> Hello there\n> Fine thanks.\nok"), (1, 3, "user", "> nothing\nx"), (1, 4, "user", ">> Fine thanks.\n>> And you?\n> ok\nlast"), (2, 0, "user", None), (None, 1, "user", "> a"), (2, None, "user", "a")]
     messages = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, root int")
@@ -508,6 +583,64 @@ def test_pipeline_stages(spark, data):
     assert again.count() == len(rows)
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import sentencepiece
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(300)]
+    line = lambda: " ".join(rng.choices(words, k=rng.randint(4, 12)))
+    shared, items = [line() for _ in range(5)], [" ".join(rng.choices(words, k=14)) for _ in range(3)]
+    texts = []
+    for i in range(40):
+        lines = [line() for _ in range(rng.randint(1, 6))] + rng.sample(shared, 2)
+        if i % 4 == 0:
+            lines.append(f"{line()} {rng.choice(items).upper()}, {line()}")
+        if i % 5 == 0:
+            lines = lines[:1] * 6
+        texts.append("\n".join(lines) if i % 7 else texts[-1] if texts else "\n".join(lines))
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    docs = {}
+    for i, text in enumerate(texts):  # quality: too few labels for a forest, so the rules decide
+        w = text.split()
+        windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        repeated = {j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(k, k + 8)}
+        if len(w) >= 20 and 100 * len(repeated) <= 30 * len(w):
+            docs[i] = text
+    assert 10 < len(docs) < 40
+    places = [(i, k, x) for i, t in docs.items() for k, x in enumerate(t.split("\n")) if re.search(r"[^\W_]", x)]
+    lines = sorted({x for *_, x in places})
+    near = lambda a, b: min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 8 and plain_distance(a, b) <= max(1, min(len(a), len(b)) // 40)
+    root = components([(a, b) for k, a in enumerate(lines) for b in lines[:k] if near(a, b)], lines)
+    seen = set()
+    gone = {(i, k) for i, k, x in places if root[x] in seen or seen.add(root[x])}
+    docs = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in docs.items()}
+    fp = {i: simhash.fingerprint(t) for i, t in docs.items()}
+    root = components([(i, j) for i in docs for j in docs if i < j and (fp[i] ^ fp[j]).bit_count() <= 4], docs)
+    docs = {i: t for i, t in docs.items() if root[i] == i}
+    phrases = {tuple(x.split()[k : k + 10]) for x in items for k in range(5)}
+    found = 0
+    for i, text in docs.items():
+        while True:
+            spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())]
+            w = [text[a:b].lower() for a, b in spans]
+            hit = sorted({j for k in range(len(w) - 9) if tuple(w[k : k + 10]) in phrases for j in range(k, k + 10)})
+            if not hit:
+                break
+            runs = [(j, next(e for e in range(j, len(w) + 1) if e not in hit)) for j in hit if j - 1 not in hit]
+            for a, b in reversed(runs):
+                text = text[: spans[a][0]] + "\n" + text[spans[b - 1][1] :]
+            found += 1
+        docs[i] = text
+    assert found
+    library = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    made = {r.doc_id: (r.text, r.n_chars, r.ids, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert made == {i: (t, len(t), library.encode(t), len(library.encode(t))) for i, t in docs.items()}
+
+
 def test_pipeline_stages_take_odd_rows_and_clashing_columns(spark, data):
     import corpus_pipeline
 
