@@ -31,9 +31,9 @@ from verdigris.functions.session import ship_code
 from verdigris.llm.common import per_text, sliced
 from verdigris.llm.piece_model import BPE, NORMAL, SPACE, UNIGRAM, UNUSED, USER_DEFINED, PieceModel, chunks
 
-#: Threads of the library in a task, the number of parts after which a worker's cache starts afresh, and the
-#: number of parts that the library encodes at once.
-THREADS, CACHE, AT_ONCE = 1, 100_000, 8192
+#: Threads of the library in a task, the number of parts after which a worker's cache keeps only those that recur, and
+#: the number of parts that the library encodes at once.
+THREADS, CACHE, AT_ONCE = 1, 200_000, 8192
 #: Bytes of an id in the cache.
 WIDTH = array("I").itemsize
 
@@ -135,11 +135,12 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, int]]:
         """Ids, whether they decode to the text, and parts for which the library's ids were taken."""
         parted = [chunks(t, self.model.dummy_prefix) if self.cuts else [t] if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.inexact.clear()
-            self.repaired.clear()
-        new = sorted(set().union(*parted).difference(self.known))
+        here = set().union(*parted)
+        if len(self.known) > CACHE:  # what these texts have too is what recurs
+            self.known = {p: self.known[p] for p in here.intersection(self.known)}
+            self.inexact &= here
+            self.repaired &= here
+        new = sorted(here.difference(self.known))
         self.learn(new)
         out, get = [], self.known.__getitem__
         for text, parts in zip(texts, parted):
