@@ -27,7 +27,7 @@ from verdigris.llm.common import per_text
 from verdigris.llm.piece_model import NORMAL, UNUSED, USER_DEFINED, PieceModel, chunks
 
 LIMIT = 4096
-#: So many parts and pairs a worker keeps before it starts afresh.
+#: So many parts a worker keeps before it drops those that do not recur (pairs: all).
 CACHE = 500_000
 SHORT = (2, 1)
 
@@ -122,11 +122,12 @@ class PrefixCounter:
     def prepare(self, texts: list[str]) -> list[list[str]]:
         """The parts of each text, their tables made."""
         parted = [chunks(t, self.model.dummy_prefix) for t in texts]
-        if len(self.totals) > CACHE:
-            self.tables.clear()
-            self.totals.clear()
-            self.repaired.clear()
-        self.tabulate(sorted(set().union(*parted).difference(self.totals)))
+        here = set().union(*parted)
+        if len(self.totals) > CACHE:  # what these texts have too is what recurs
+            self.tables = {p: self.tables[p] for p in here.intersection(self.totals)}
+            self.totals = {p: self.totals[p] for p in self.tables}
+            self.repaired &= here
+        self.tabulate(sorted(here.difference(self.totals)))
         return parted
 
     def trim(self, longest: int = 64) -> None:
@@ -156,8 +157,9 @@ class PrefixCounter:
         """(tokens, longest prefix of at most ``limit`` tokens, repaired parts) of each text; only texts beyond it are expanded."""
         if not self.cuts:
             return [(int(c[-1]), truncate(c, limit), 1) for c in self.counts(texts)]
-        out, total = [], self.totals.__getitem__
-        for text, parts in zip(texts, self.prepare(texts)):
+        out, parted = [], self.prepare(texts)
+        total = self.totals.__getitem__
+        for text, parts in zip(texts, parted):
             n = sum(map(total, parts))
             repaired = sum(map(self.repaired.__contains__, parts)) if self.repaired else 0
             out.append((n, len(text) if n <= limit else truncate(self.expand(text, parts), limit), repaired))
