@@ -3,7 +3,7 @@
 The model's protobuf is parsed and its parts rebuilt as a tokenizers pipeline: the normaliser (the model's
 character map, space squeezing, the space marker before the text and for spaces), the unigram scores or the
 merges that the scores of a byte-pair model imply, byte fallback, and the decoder. Batches are encoded by
-the library's threads.
+the library's threads, as many as a task has cores (spark.task.cpus) unless told otherwise.
 
 Where texts may be cut without changing tokens (see ``PieceModel.words_are_independent``), each distinct part
 of a batch is encoded once and kept in a bounded cache. The ids are the rebuilt pipeline's. Every newly encoded part is
@@ -31,9 +31,8 @@ from verdigris.functions.session import ship_code
 from verdigris.llm.common import per_text, sliced
 from verdigris.llm.piece_model import BPE, NORMAL, SPACE, UNIGRAM, UNUSED, USER_DEFINED, PieceModel, chunks
 
-#: Threads of the library in a task, the number of parts after which a worker's cache keeps only those that recur, and
-#: the number of parts that the library encodes at once.
-THREADS, CACHE, AT_ONCE = 1, 200_000, 8192
+#: The number of parts after which a worker's cache keeps only those that recur, and that the library encodes at once.
+CACHE, AT_ONCE = 200_000, 8192
 #: Bytes of an id in the cache.
 WIDTH = array("I").itemsize
 
@@ -87,7 +86,7 @@ class Codec:
 
     _made: dict[tuple[str, int], Codec] = {}
 
-    def __init__(self, path: str, threads: int = THREADS) -> None:
+    def __init__(self, path: str, threads: int = 1) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         import sentencepiece
@@ -103,7 +102,7 @@ class Codec:
         self.repaired: set[str] = set()
 
     @classmethod
-    def of(cls, path: str, threads: int = THREADS) -> Codec:
+    def of(cls, path: str, threads: int = 1) -> Codec:
         if (path, threads) not in cls._made:
             cls._made[path, threads] = cls(path, threads)
         return cls._made[path, threads]
@@ -157,8 +156,14 @@ class Codec:
         return [t[1:] if cut and t.startswith(" ") else t for t in texts]
 
 
-def encode_pieces(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
+def cores_of_a_task(df: DataFrame) -> int:
+    """How many cores Spark gives each task."""
+    return int(df.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
+
+
+def encode_pieces(docs: DataFrame, path: str, threads: int | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256 (of 4-byte little-endian ids), round_trip and n_repaired of every document."""
+    threads = threads or cores_of_a_task(docs)
 
     def helper(texts: list[str]) -> list:
         rows = Codec.of(path, threads).encode(texts)
@@ -168,11 +173,12 @@ def encode_pieces(docs: DataFrame, path: str, threads: int = THREADS) -> DataFra
     return per_text(docs, helper, "ids array<int>, n_tokens long, ids_sha256 string, round_trip boolean, n_repaired long")
 
 
-def decode_pieces(encoded: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
+def decode_pieces(encoded: DataFrame, path: str, threads: int | None = None) -> DataFrame:
     """doc_id and text of rows with doc_id and ids; null ids give a null text."""
     import pyarrow as pa
 
     ship_code(encoded.sparkSession)
+    threads = threads or cores_of_a_task(encoded)
     rows = encoded.select("doc_id", "ids")
     schema = rows.select("doc_id", F.lit("").alias("text")).schema
     schema["text"].nullable = True
@@ -186,11 +192,12 @@ def decode_pieces(encoded: DataFrame, path: str, threads: int = THREADS) -> Data
     return rows.mapInArrow(run, schema)
 
 
-def with_ids(docs: DataFrame, path: str, threads: int = THREADS) -> DataFrame:
+def with_ids(docs: DataFrame, path: str, threads: int | None = None) -> DataFrame:
     """The rows and columns of ``docs`` with ids and n_tokens appended; no shuffle. Columns of those names are replaced."""
     import pyarrow as pa
 
     ship_code(docs.sparkSession)
+    threads = threads or cores_of_a_task(docs)
     docs = docs.drop("ids", "n_tokens", "__ids")
     rows = docs.withColumn("__ids", F.array().cast("array<int>"))
     at = len(docs.columns)
