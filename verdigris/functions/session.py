@@ -7,12 +7,36 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 import verdigris
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of texts, in each of which a text may be long.
+TEXT_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """At most ``TEXT_ROWS`` rows in an Arrow batch from now on, unless the session has fewer; memory follows from it."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= TEXT_ROWS:
+        spark.conf.set(_BATCH, TEXT_ROWS)
+
+
+@contextmanager
+def long_batches(spark: SparkSession, rows: int = 10_000) -> Iterator[None]:
+    """Arrow batches of so many rows, for numbers alone, in what is computed inside."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package, once for each Spark context (as ``--py-files`` would)."""
     sc = spark.sparkContext
