@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import ship_code, written
+from verdigris.functions.session import ship_code, short_batches, written
 from verdigris.llm.common import sliced
 
 #: Words of a window, UTF-8 bytes of text in a shard, phrases in a broadcast, and the distance of sampled suffix positions.
@@ -209,14 +209,16 @@ def benchmark_blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[l
     yield block
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, window: int, most: int) -> tuple[DataFrame, object | None]:
+def searched(docs: DataFrame, benchmark: DataFrame, window: int, most: int, remove: bool = False) -> tuple[DataFrame, bool]:
     """``docs`` with __text (null: empty), __n_words, __hits (merged word spans) and __items (ids with occurring windows).
 
     Each block of phrases takes one pass, which adds its hits to those before; with several, a pass is written before the
-    next. If there is but one block, its broadcast comes second.
+    next. With ``remove`` the last pass takes the hits out of __text, and searches changed texts again if it is the only
+    one, which comes second.
     """
     spark = docs.sparkSession
     ship_code(spark)
+    short_batches(spark)
     now = docs.withColumns(
         {
             "__text": F.coalesce(F.col("text").cast("string"), F.lit("")),
@@ -225,15 +227,17 @@ def searched(docs: DataFrame, benchmark: DataFrame, window: int, most: int) -> t
             "__items": F.array().cast("array<string>"),
         }
     )
-    shared, passes = None, 0
-    for block in benchmark_blocks(benchmark, window, most):
-        if shared:
-            now = written(now)
-            shared.destroy()
+    blocks, only = benchmark_blocks(benchmark, window, most), True
+    block = next(blocks)
+    while True:
+        following = next(blocks, None)
+        only = only and following is None
         shared = spark.sparkContext.broadcast(Phrases(block, window))
-        now = now.mapInArrow(_searcher(shared), now.schema)
-        passes += 1
-    return now, shared if passes == 1 else None
+        now = now.mapInArrow(_searcher(shared, remove and following is None, only), now.schema)
+        if following is None:
+            return now, only
+        now, block = written(now), following
+        shared.destroy()
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -258,18 +262,25 @@ def _with(table: pa.Table, **columns: list) -> Iterator[pa.RecordBatch]:
     return iter(table.combine_chunks().to_batches())
 
 
-def _searcher(shared):
-    """The task of one pass: the phrases of one block, searched in an index of each shard."""
+def _searcher(shared, remove: bool, only: bool):
+    """The task of one pass: the phrases of one block, searched in an index of each shard; ``remove`` as in ``searched``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
         for table in _shards(batches):
-            sizes, found = search_shard(table["__text"].to_pylist(), phrases)
+            texts = table["__text"].to_pylist()
+            sizes, found = search_shard(texts, phrases)
             hits, items = table["__hits"].to_pylist(), table["__items"].to_pylist()
             for i, spans in found.items():
                 hits[i] = merged([*hits[i], *([a, b] for a, b, _ in spans)])
                 items[i] = sorted({*items[i], *(x for *_, p in spans for x in phrases.items[p])})
-            yield from _with(table, __n_words=sizes, __hits=hits, __items=items)
+            todo = {i: spans for i, spans in enumerate(hits) if spans} if remove else {}
+            while todo:
+                for i, spans in todo.items():
+                    texts[i] = without_words(texts[i], spans)
+                again = search_shard([texts[i] for i in todo], phrases)[1] if only else {}
+                todo = {i: merged([a, b] for a, b, _ in again[k]) for k, i in enumerate(todo) if k in again}
+            yield from _with(table, __text=texts, __n_words=sizes, __hits=hits, __items=items)
 
     return run
 
@@ -303,25 +314,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     Removing a span can bring two halves of a phrase together, so changed texts are searched again until
     nothing is found. Texts without hits stay as they are; null texts stay null.
     """
-    kind = docs.schema["text"].dataType
+    text = F.when(F.col("text").isNotNull(), F.col("__text").cast(docs.schema["text"].dataType))
     while True:
-        found, shared = searched(docs, benchmark, window, most)
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for table in _shards(batches):
-                texts, todo = table["__text"].to_pylist(), dict(enumerate(table["__hits"].to_pylist()))
-                while todo := {i: hits for i, hits in todo.items() if hits}:
-                    for i, hits in todo.items():
-                        texts[i] = without_words(texts[i], hits)
-                    again = search_shard([texts[i] for i in todo], shared.value)[1] if shared else {}
-                    todo = {i: merged([a, b] for a, b, _ in again.get(k, [])) for k, i in enumerate(todo)}
-                yield from _with(table, __text=texts)
-
-        cleaned = found.mapInArrow(clean, found.schema)
-        text = F.when(F.col("text").isNotNull(), F.col("__text").cast(kind))
-        if shared:
-            return cleaned.withColumn("text", text).select(*docs.columns)
-        cleaned = written(cleaned.withColumn("text", text))
+        found, only = searched(docs, benchmark, window, most, remove=True)
+        cleaned = found.withColumn("text", text)
+        if only:
+            return cleaned.select(*docs.columns)
+        cleaned = written(cleaned)
         docs = cleaned.select(*docs.columns)
         if not cleaned.where(F.size("__hits") > 0).take(1):
             return docs
