@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import cut, ship_code
+from verdigris.functions.session import cut, ship_code, short_batches
 
 #: Texts are handed to the Python helpers in slices of about so many UTF-8 bytes.
 SLICE_BYTES = 1_000_000
@@ -70,6 +70,7 @@ def per_text(docs: DataFrame, helper: Callable[[list[str]], list], fields: str)
     ``fields`` is the DDL of those columns; ``helper`` returns a list or array for each, in order.
     """
     ship_code(docs.sparkSession)
+    short_batches(docs.sparkSession)
     texts = texts_of(docs)
     schema = texts.select("doc_id").schema
     for field in _ddl(fields):
@@ -89,6 +90,7 @@ def per_text(docs: DataFrame, helper: Callable[[list[str]], list], fields: str)
 def where_text(docs: DataFrame, decide: Callable[[list[str]], list]) -> DataFrame:
     """The rows of ``docs``, all columns, for which ``decide`` says true of the text (null: empty); no shuffle."""
     ship_code(docs.sparkSession)
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import cut, ship_code, written
+from verdigris.functions.session import cut, long_batches, ship_code, short_batches, written
 from verdigris.llm.common import connected_components, document_key, hub_join, let, sliced, texts_of
 
 #: ``TAU`` may be a fixed number of edits; None lets it grow with the line.
@@ -424,7 +424,8 @@ def verified(pairs: DataFrame, texts: DataFrame, tau: int | None) -> DataFrame:
 def line_links(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_NEAR, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
     """Links (a, b) of line ids that connect all distinct lines within the edits they allow."""
     rows = segment_rows(docs, tau, least).repartition("key").sortWithinPartitions("key", "about", "line")
-    found = written(rows.mapInArrow(lambda x: candidates_of_keys(x, tau, crowd), "a long, b long, key long").distinct())
+    with long_batches(docs.sparkSession):
+        found = written(rows.mapInArrow(lambda x: candidates_of_keys(x, tau, crowd), "a long, b long, key long").distinct())
     wanted = found.select(F.explode(F.array("a", "b")).alias("line")).where("line is not null").distinct()
     texts = written(line_texts(docs, wanted, least))
     crowded = found.where("b is null").select(F.col("a").alias("line"), "key")
@@ -456,6 +457,7 @@ def dropped_lines(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_LIN
 def deduplicate_lines(docs: DataFrame, tau: int | None = TAU, least: int = LEAST_LINE, crowd: int = CROWD, near: int = LEAST_NEAR) -> DataFrame:
     """The rows and columns of ``docs``, and __dropped: the lines that go, each with what stays for it (null: none)."""
     ship_code(docs.sparkSession)
+    short_batches(docs.sparkSession)
     gone = dropped_lines(docs, tau, least, crowd, near).withColumnRenamed("__key", "__gone")
     keyed = docs.withColumn("__key", document_key())
     return keyed.join(gone, F.col("__key") == F.col("__gone"), "left").select(*docs.columns, "__dropped")

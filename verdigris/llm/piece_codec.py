@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import ship_code
+from verdigris.functions.session import ship_code, short_batches
 from verdigris.llm.common import per_text, sliced
 from verdigris.llm.piece_model import BPE, NORMAL, SPACE, UNIGRAM, UNUSED, USER_DEFINED, PieceModel, chunks
 
@@ -197,6 +197,7 @@ def with_ids(docs: DataFrame, path: str, threads: int | None = None) -> DataFram
     import pyarrow as pa
 
     ship_code(docs.sparkSession)
+    short_batches(docs.sparkSession)
     threads = threads or cores_of_a_task(docs)
     docs = docs.drop("ids", "n_tokens", "__ids")
     rows = docs.withColumn("__ids", F.array().cast("array<int>"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import cut, ship_code, written
+from verdigris.functions.session import long_batches, ship_code, written
 from verdigris.llm.common import connected_components, document_key, hub_join, per_text, texts_of
 
 SHINGLE, RADIUS, SEED, CROWD = 4, 4, 42, 32
@@ -238,7 +238,8 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, crowd: int = CROWD) ->
         return rows.repartition("key").sortWithinPartitions("key")
 
     rows = variants(distinct.select("fp").repartition(spread, "fp"), radius, whole=False)
-    found = written(by_key(rows).mapInArrow(lambda x: pairs_of_runs(x, radius, crowd), "a long, b long").distinct())
+    with long_batches(distinct.sparkSession):
+        found = written(by_key(rows).mapInArrow(lambda x: pairs_of_runs(x, radius, crowd), "a long, b long").distinct())
     crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     stars = by_key(variants(crowded.repartition(spread, "fp"), radius, whole=True)).mapInArrow(lambda x: stars_of_runs(x, radius), "a long, b long")
     return found.where("b is not null").unionByName(stars)
