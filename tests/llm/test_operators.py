@@ -197,6 +197,23 @@ def components(links, nodes):
     return {n: min(groups[top(n)]) for n in nodes}
 
 
+def test_hubs_are_joined_like_other_keys(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice([1, 1, 1, 2, 2, rng.randint(3, 60)]), i) for i in range(3000)]
+    counts = {k: sum(a == k for a, _ in rows) for k, _ in rows}
+    values = [(k, f"v{k}", n) for k, n in counts.items() if k % 7] + [(99, "none", 0)]
+    found = common.hub_join(spark.createDataFrame(rows, "k int, i int"), spark.createDataFrame(values, "k int, v string, n long"), "k", len(rows))
+    assert found.columns == ["k", "i", "v"] and max(counts.values()) > 5 * common.LEAST_HUB
+    assert sorted(map(tuple, found.collect())) == sorted((k, i, f"v{k}") for k, i in rows if k % 7)
+
+
+def test_components_of_hubs_and_chains(spark):
+    pairs = [(0, i) for i in range(1, 900)] + [(2000 + i, 2001 + i) for i in range(40)] + [(899, 1500), (7, 7)]
+    root = components(pairs, {x for p in pairs for x in p})
+    found = {r.node: r.root for r in common.connected_components(spark.createDataFrame(pairs, "a int, b int")).collect()}
+    assert found == {x: r for x, r in root.items() if x != r}
+
+
 def test_simhash_components_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     fps = {0}
