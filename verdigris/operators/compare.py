@@ -109,7 +109,9 @@ def key_diff(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str], r
 def column_diff(src: DataFrame, tgt: DataFrame, keys: list[str], cols: list[str], rules: Rules | None = None) -> DataFrame:
     """(column, n_compared, n_changed) over the keys that both sides have once."""
     n = F.get("statuses", F.lit(0)) + F.get("statuses", F.lit(1))
-    told = F.array(*(F.struct(F.lit(c).alias("column"), n.alias("n_compared"), F.get("changed", F.lit(i)).alias("n_changed")) for i, c in enumerate(cols)))
+    told = F.array(
+        *(F.struct(F.lit(c).alias("column"), n.alias("n_compared"), F.get("changed", F.lit(i)).alias("n_changed")) for i, c in enumerate(cols))
+    )
     return comparison(src, tgt, keys, cols, rules).select(F.explode(told).alias("x")).select("x.*")
 
 
@@ -134,7 +136,11 @@ def group_reconcile(src: DataFrame, tgt: DataFrame, by: list[str], measures: lis
         out = [F.count(F.lit(1)).alias(f"n_{side}")]
         for m in measures:
             exact = F.col(m).try_cast(f"decimal(38,{scale})")
-            out += [F.try_sum(exact).cast(f"decimal(38,{scale})").alias(f"{m}_{side}"), F.count(F.when(F.col(m).isNotNull() & exact.isNull(), 1)).alias(f"{m}_lost_{side}"), F.count(exact).alias(f"{m}_held_{side}")]
+            out += [
+                F.try_sum(exact).cast(f"decimal(38,{scale})").alias(f"{m}_{side}"),
+                F.count(F.when(F.col(m).isNotNull() & exact.isNull(), 1)).alias(f"{m}_lost_{side}"),
+                F.count(exact).alias(f"{m}_held_{side}"),
+            ]
         return df.groupBy(*(F.col(c).alias(f"{side}_{i}") for i, c in enumerate(by))).agg(*out)
 
     on = [F.col(f"source_{i}").eqNullSafe(F.col(f"target_{i}")) for i in range(len(by))]

@@ -24,11 +24,15 @@ def profile(df: DataFrame, cols: list[str], scale: int | None = None) -> DataFra
         return F.lit(None).cast("string") if "map<" in kinds[c].simpleString() else canonical(which(c), kinds[c], scale)
 
     def total(c: str) -> Column:
-        return F.try_sum(F.col(c).try_cast(f"decimal(38,{places})")).cast(f"decimal(38,{places})") if isinstance(kinds[c], NumericType) else F.lit(None).cast(f"decimal(38,{places})")
-
-    exact = df.agg(F.count(F.lit(1)).alias("n_rows"), *(e.alias(f"{what}_{i}") for i, c in enumerate(cols) for what, e in {"null": F.count(F.when(F.col(c).isNull(), 1)), "min": edge(F.min, c), "max": edge(F.max, c), "sum": total(c)}.items()))
-    wide = exact.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), "n_rows", F.col(f"null_{i}").alias("n_null"), F.col(f"min_{i}").alias("least"), F.col(f"max_{i}").alias("most"), F.col(f"sum_{i}").alias("total")) for i, c in enumerate(cols)))).alias("x")).select("x.*")
-    values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), canonical(F.col(c), kinds[c]).alias("value")) for c in cols))).alias("x")).select("x.*")
+        kind = f"decimal(38,{places})"
+        return (F.try_sum(F.col(c).try_cast(kind)) if isinstance(kinds[c], NumericType) else F.lit(None)).cast(kind)
+
+    facts = {"n_null": lambda c: F.count(F.when(F.col(c).isNull(), 1)), "least": lambda c: edge(F.min, c), "most": lambda c: edge(F.max, c), "total": total}
+    exact = df.agg(F.count(F.lit(1)).alias("n_rows"), *(fact(c).alias(f"{what}_{i}") for i, c in enumerate(cols) for what, fact in facts.items()))
+    rows = [F.struct(F.lit(c).alias("column"), "n_rows", *(F.col(f"{what}_{i}").alias(what) for what in facts)) for i, c in enumerate(cols)]
+    wide = exact.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    texts = [F.struct(F.lit(c).alias("column"), canonical(F.col(c), kinds[c]).alias("value")) for c in cols]
+    values = df.select(F.explode(F.array(*texts)).alias("x")).select("x.*")
     distinct = values.groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(F.count("value").alias("n_distinct"))
     return wide.join(distinct, "column", "left").select("column", "n_rows", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "least", "most", "total")
 
