@@ -44,7 +44,10 @@ def passages_of(text: Column) -> Column:
             heads,
             lambda heads: F.transform(
                 heads,
-                lambda h, k: F.struct(F.get(lines, h)["level"].alias("level"), F.transform(F.slice(lines, h + 1, F.coalesce(F.get(heads, k + 1), F.size(lines)) - h), lambda x: x["line"]).alias("lines")),
+                lambda h, k: F.struct(
+                    F.get(lines, h)["level"].alias("level"),
+                    F.transform(F.slice(lines, h + 1, F.coalesce(F.get(heads, k + 1), F.size(lines)) - h), lambda x: x["line"]).alias("lines"),
+                ),
             ),
         )
 
@@ -72,13 +75,22 @@ def originals(rows: DataFrame) -> DataFrame:
     own_passages = F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: F.array_join(p["lines"], " "))
     units = F.concat(F.array(F.array_join("own_lines", " ")), own_passages, F.col("own_lines"))
     units = F.array_distinct(F.filter(F.transform(units, normalised), lambda u: u != ""))
-    return rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(units).alias("u")).select("conv_id", "turn", _hash(F.col("u")).alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    told = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(units).alias("u"))
+    return told.groupBy("conv_id", _hash(F.col("u")).alias("hash")).agg(F.min("turn").alias("origin"))
 
 
 def quotes(rows: DataFrame) -> DataFrame:
     """conv_id, turn, passage, level, whole, size and hash of every quoted passage and of each of its lines."""
-    whole = F.transform(F.filter("passages", lambda p: p["level"] > 0), lambda p: F.struct(p["level"].alias("level"), F.concat(F.array(F.struct(F.lit(True).alias("whole"), normalised(F.array_join(p["lines"], " ")).alias("u"))), F.array_distinct(F.transform(p["lines"], lambda x: F.struct(F.lit(False).alias("whole"), normalised(x).alias("u"))))).alias("units")))
-    found = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode(whole).alias("passage", "q"))
+
+    def unit(whole: bool, text: Column) -> Column:
+        return F.struct(F.lit(whole).alias("whole"), normalised(text).alias("u"))
+
+    def units(p: Column) -> Column:
+        lines = F.array_distinct(F.transform(p["lines"], lambda x: unit(False, x)))
+        return F.struct(p["level"].alias("level"), F.concat(F.array(unit(True, F.array_join(p["lines"], " "))), lines).alias("units"))
+
+    quoted = F.transform(F.filter("passages", lambda p: p["level"] > 0), units)
+    found = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode(quoted).alias("passage", "q"))
     found = found.select("conv_id", "turn", "passage", F.col("q.level").alias("level"), F.explode("q.units").alias("e")).select("*", "e.*").where("u <> ''")
     return found.select("conv_id", "turn", "passage", "level", "whole", F.length("u").cast("long").alias("size"), _hash(F.col("u")).alias("hash"))
 
@@ -123,7 +135,8 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     roots = threads(answers)
     linked = answers.join(roots, ["conv_id", "turn"])
     quoted = F.aggregate("passages", F.lit(0), lambda n, p: n + F.when(p["level"] > 0, F.size(p["lines"])).otherwise(0))
-    return rows.select("conv_id", "turn", "role", quoted.cast("long").alias("n_quoted_lines"), F.trim(F.array_join("own_lines", "\n")).alias("text")).join(linked, ["conv_id", "turn"], "left").select(
+    told = rows.select("conv_id", "turn", "role", quoted.cast("long").alias("n_quoted_lines"), F.trim(F.array_join("own_lines", "\n")).alias("text"))
+    return told.join(linked, ["conv_id", "turn"], "left").select(
         "conv_id",
         F.coalesce("root", "turn").alias("thread_turn"),
         "turn",

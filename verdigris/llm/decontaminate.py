@@ -14,7 +14,6 @@ results; empty tables give no hits or no rows.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

@@ -123,7 +123,8 @@ def _distances(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
         if ends < len(live) or j % 32 == 31:
             result[live] = score
             stay = (np.arange(len(live)) < ends) & (score <= most)
-            rows, columns, live, score, diagonal, up, down, n, most = rows[:, stay], columns[:, stay], live[stay], score[stay], diagonal[stay], up[stay], down[stay], n[stay], most[stay]
+            rows, columns = rows[:, stay], columns[:, stay]
+            live, score, diagonal, up, down, n, most = (x[stay] for x in (live, score, diagonal, up, down, n, most))
             if not len(live):
                 return result
         same = np.bitwise_or.reduce((rows[j : j + 2 * band + 1] == columns[j]) * weights, axis=0)
@@ -282,9 +283,10 @@ def candidates_of_keys(batches: Iterator[pa.RecordBatch], tau: int | None, crowd
         a, b = line[i[keep]], line[j[keep]]
         two = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), axis=1), axis=0)
         many = np.flatnonzero(full[run]) if len(key) else np.zeros(0, dtype=np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((two[:, 0], line[many]))), pa.concat_arrays([pa.array(two[:, 1]), pa.nulls(len(many), pa.int64())]), pa.concat_arrays([pa.nulls(len(two), pa.int64()), pa.array(key[many])])], ["a", "b", "key"]
-        )
+        a = pa.array(np.concatenate((two[:, 0], line[many])))
+        b = pa.concat_arrays([pa.array(two[:, 1]), pa.nulls(len(many), pa.int64())])
+        crowded = pa.concat_arrays([pa.nulls(len(two), pa.int64()), pa.array(key[many])])
+        return pa.RecordBatch.from_arrays([a, b, crowded], ["a", "b", "key"])
 
     def all_crowded(key: np.ndarray, line: np.ndarray) -> pa.RecordBatch:
         line = np.unique(line)
@@ -393,7 +395,9 @@ def crowd_links(crowded: DataFrame, texts: DataFrame, tau: int | None, block: in
     sizes = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     cut_up = hub_join(crowded, sizes, "key", crowded.count())
     keyed = cut_up.groupBy("line").agg(F.array_sort(F.collect_set(F.struct("key", "blocks"))).alias("keys")).join(texts, "line")
-    rows = keyed.select("id", "text", "keys", F.posexplode("keys").alias("at", "k")).select("id", "text", "k.*", F.slice("keys.key", 1, F.col("at")).alias("lower"), F.pmod(F.xxhash64("id"), F.col("k.blocks")).cast("int").alias("block"))
+    rows = keyed.select("id", "text", "keys", F.posexplode("keys").alias("at", "k"))
+    block_of = F.pmod(F.xxhash64("id"), F.col("k.blocks")).cast("int")
+    rows = rows.select("id", "text", "k.*", F.slice("keys.key", 1, F.col("at")).alias("lower"), block_of.alias("block"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "text", "lower", "block")
     spread = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each

@@ -172,7 +172,8 @@ def sanitise(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, genera
     found = written(base_spans(docs, reach))
     marks = marks_of_documents(found, support, generalise, remove)
     places = (F.transform(k, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias(k) for k in KINDS)
-    spans = found.select(F.col("__key").alias("__found"), *places).dropDuplicates(["__found"]).join(marks.withColumnRenamed("__key", "__marked"), F.col("__found") == F.col("__marked"), "left").drop("__marked")
+    spans = found.select(F.col("__key").alias("__found"), *places).dropDuplicates(["__found"])
+    spans = spans.join(marks.withColumnRenamed("__key", "__marked"), F.col("__found") == F.col("__marked"), "left").drop("__marked")
     texts = texts_of(docs).select("doc_id", document_key().alias("__key"), "text")
     rows = texts.join(spans, F.col("__key") == F.col("__found"))
     rows = rows.select("doc_id", *KINDS, rewritten().alias("new"))
@@ -234,7 +235,8 @@ def rewritten() -> Column:
 
             def built(gap: Column) -> Column:
                 def joined(found: Column) -> Column:
-                    terms = F.transform(F.filter(found, lambda m: m["mark"].isNotNull()), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["mark"].alias("mark")))
+                    replaced = F.filter(found, lambda m: m["mark"].isNotNull())
+                    terms = F.transform(replaced, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["mark"].alias("mark")))
                     body = F.array_join(F.transform(found, lambda m: F.concat(m["m"]["left"], F.coalesce(F.concat(m["ahead"], m["mark"]), m["m"]["value"]))), "")
                     rest = F.when(F.size(found) == 0, gap).otherwise(F.get(found, F.size(found) - 1)["m"]["right"])
                     return F.struct(terms.alias("terms"), F.concat(body, rest, mark).alias("text"))
@@ -245,7 +247,9 @@ def rewritten() -> Column:
             return let(part(pieces, a, b), lambda gap: F.when(F.col("__marks").isNotNull(), built(gap)).otherwise(plain(gap)))
 
         def ends(i: Column) -> Column:
-            return stretch(F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(F.lit(0).cast("bigint")), F.coalesce(F.get(spans, i)["start"], size), F.coalesce(F.get(spans, i)["mark"], F.lit("")))
+            before, after = F.get(spans, i - 1)["end"], F.get(spans, i)
+            begin = F.when(i > 0, before).otherwise(F.lit(0).cast("bigint"))
+            return stretch(begin, F.coalesce(after["start"], size), F.coalesce(after["mark"], F.lit("")))
 
         return F.transform(F.sequence(F.lit(0), F.size(spans)), ends)
 

@@ -222,7 +222,8 @@ def held_out():
 def learn(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
     """A model from at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` labelled rows that are not held out."""
     ship_code(docs.sparkSession)
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).dropDuplicates(["doc_id"])
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # of contradicting labels the graver
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).unionByName(usable.where("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
     rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
