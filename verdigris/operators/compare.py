@@ -32,7 +32,10 @@ def schema_diff(src: DataFrame, tgt: DataFrame, nullability: bool = False) -> Da
         status = "missing" if name not in b else "extra" if name not in a else "retyped" if a[name] != b[name] else None
         if status:
             rows.append((name, a.get(name), b.get(name), status))
-    return src.sparkSession.createDataFrame(rows, "column string, source_type string, target_type string, status string")
+    names = ("column", "source_type", "target_type", "status")
+    told = F.array(*(F.struct(*(F.lit(x).cast("string").alias(n) for x, n in zip(row, names))) for row in rows))
+    kind = "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
+    return src.sparkSession.range(1).select(F.explode(told.cast(kind)).alias("x")).select("x.*")
 
 
 #: By column what is done to both sides before they are compared, such as F.rtrim.
