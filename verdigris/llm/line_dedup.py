@@ -36,7 +36,7 @@ from verdigris.llm.common import connected_components, document_key, hub_join, l
 #: ``TAU`` may be a fixed number of edits; None lets it grow with the line.
 TAU, SHARE, MOST, LEAST_LINE, LEAST_NEAR, CROWD = None, 40, 8, 1, 20, 64
 #: Rows of a crowded key that are held against each other in one task, and rows of a key beyond which it is crowded.
-BLOCK, HELD = 1024, 1_000_000
+BLOCK, HELD = 512, 1_000_000
 #: Kinds of characters that a line's signature counts, four bits each.
 KINDS = 8
 #: As many lines are sent to every task; more are joined by shuffle.
@@ -400,7 +400,7 @@ def crowd_links(crowded: DataFrame, texts: DataFrame, tau: int | None, block: in
     rows = rows.select("id", "text", "k.*", F.slice("keys.key", 1, F.col("at")).alias("lower"), block_of.alias("block"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "text", "lower", "block")
-    spread = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each
+    spread = 4 * int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work for each
     return rows.repartition(spread, "key", "x", "y").sortWithinPartitions("key", "x", "y", "id").mapInArrow(run, "a binary, b binary")
 
 
