@@ -10,6 +10,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from verdigris.functions.values import approx_equal
 from verdigris.operators import compare, inspect
 from verdigris.plans import queries as plans
+from verdigris.plans import search_queries
 from verdigris.plans.report import compare_tables
 from verdigris.sources.tables import jdbc_table, parquet_table, write_report
 
@@ -117,15 +118,15 @@ def test_jdbc_round_trip_keeps_timestamps(spark, data, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "report"))) == [(200, 200, 0)]
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES | search_queries.QUERIES))
 def test_query_equals_its_sql(spark, data, name):
     import duckdb
 
     con = duckdb.connect()
     for path in glob.glob(f"{data}/*.parquet"):
         con.execute(f"create view {os.path.basename(path)[:-8]} as select * from read_parquet('{path}')")
-    df = plans.QUERIES[name](spark, data)
-    found = con.execute(plans.ORACLE_SQL[name])
+    df = (plans.QUERIES | search_queries.QUERIES)[name](spark, data)
+    found = con.execute((plans.ORACLE_SQL | search_queries.ORACLE_SQL)[name])
     columns = [c[0] for c in found.description]
     assert sorted(columns) == sorted(df.columns)
     text = lambda values, names: sorted(tuple(str(v) for _, v in sorted(zip(names, r))) for r in values)
@@ -137,3 +138,68 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_instants_at_a_clock_change_stay_apart(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("select id as k, timestamp_micros(1636263000000000 + id * 3600000000) as v from range(2)")
+        assert [r["n_distinct"] for r in inspect.profile(df, ["v"]).collect()] == [2]
+        there = rows(compare.fingerprint(df, ["k"], ["v"]))
+        assert there[0][1] != there[1][1] and inspect.profile(df, ["v"]).first()["least"] == "2021-11-07 05:30:00.000000Z"
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert rows(compare.fingerprint(df, ["k"], ["v"])) == there
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_tolerance_beyond_the_type(spark):
+    df = spark.sql("select * from values (9223372036854775807, -1L), (-9223372036854775808, 1L), (5L, 6L), (null, 1L), (-9223372036854775808, -9223372036854775807) as t(a, b)")
+    assert [r[0] for r in df.select(approx_equal(F.col("a"), F.col("b"), 1.0)).collect()] == [False, False, True, False, True]
+    wide = spark.sql("select cast(99999999999999999999999999999999999999 as decimal(38,0)) as a, cast(-99999999999999999999999999999999999999 as decimal(38,0)) as b")
+    assert not wide.select(approx_equal(F.col("a"), F.col("b"), 1e9)).first()[0]
+
+
+def test_retyped_columns_are_changed_and_retyped_keys_refused(spark):
+    a = spark.sql("select * from values (1, '7', date'2024-01-01', 1), (2, 'x', null, 2), (3, null, null, 3) as t(k, v, d, n)")
+    b = spark.sql("select * from values (1, 7L, timestamp_ntz'2024-01-01', 1.0), (2, 8L, null, 2.5), (3, null, null, 3) as t(k, v, d, n)")
+    assert rows(compare.key_diff_rows(a, b, ["k"], ["v", "d", "n"])) == [(1, "changed", "v,d"), (2, "changed", "v,n")]
+    assert rows(compare.column_diff(a, b, ["k"], ["v", "d", "n"])) == [("d", 3, 1), ("n", 3, 1), ("v", 3, 2)]
+    with pytest.raises(ValueError, match="key v is string"):
+        compare.key_diff(a, b, ["v"], ["k"])
+    assert rows(compare.key_diff(a.withColumn("v", F.expr("try_cast(v as bigint)")), b, ["v"], ["k"])) == [("duplicate", 1), ("extra", 1), ("match", 1)]
+
+
+def test_nothing_to_compare_is_reported(spark):
+    a, b = spark.createDataFrame([(1, "x")], "k int, V string"), spark.createDataFrame([(1, 5), (2, 6)], "k int, w int")
+    found = {(r["check_name"], r["column_name"], r["status"]) for r in compare_tables("t", a, b, ["k"], ["V"]).collect()}
+    assert found == {("row_count", None, "fail"), ("schema", "V", "fail"), ("schema", "w", "fail"), ("key_diff", "extra", "fail"), ("duplicate_keys", None, "pass")}
+    c = spark.createDataFrame([(1, "y")], "k int, v string")
+    assert rows(compare.schema_diff(a, c)) == [("V", "string", "string", "recased")]
+    assert rows(compare.schema_diff(a, spark.createDataFrame([], "k int, v int"))) == [("V", "string", "int", "recased"), ("V", "string", "int", "retyped")]
+    found = {(r["check_name"], r["column_name"]): r["target_value"] for r in compare_tables("t", a, c, ["k"], ["V"]).collect()}
+    assert found["column_diff", "V"] == "1" and found["schema", "V"] == "string" and ("key_diff", "changed") in found
+    assert compare.column_diff(a, c, ["k"], []).count() == inspect.profile(a, []).count() == 0
+
+
+def test_names_that_clash_or_hold_dots(spark):
+    a = spark.createDataFrame([(1, "x", 1, 2.0), (1, "x", 1, 2.0), (2, "y", 2, 3.0)], "status int, `a.b` string, surplus int, n double")
+    b = spark.createDataFrame([(1, "x", 1, 2.0), (3, "y", 2, 3.0)], "status int, `a.b` string, surplus int, n double")
+    assert compare.bag_diff(a, b).columns == ["status", "a.b", "surplus", "n", "surplus_"] and compare.bag_diff(a, b).count() == 3
+    assert compare.key_diff_rows(a, b, ["status"], ["a.b"]).columns == ["status", "status_", "changed"]
+    assert rows(compare.key_diff(a, b, ["a.b"], ["n"])) == [("duplicate", 1), ("match", 1)]
+    assert rows(inspect.duplicate_keys(a, ["n"])) == [(2.0, 2)] and inspect.duplicate_keys(a, ["n"]).columns == ["n", "n_"]
+    grouped = compare.group_reconcile(a.withColumnRenamed("status", "n_source"), b.withColumnRenamed("status", "n_source"), ["n_source", "a.b"], ["n"])
+    assert grouped.columns == ["n_source", "a.b", "n_source_", "n_target", "n_source__", "n_target_", "n_overflow", "agrees"] and grouped.count() == 3
+    assert {r["column"]: r["n_distinct"] for r in inspect.profile(a, ["a.b", "n"]).collect()} == {"a.b": 2, "n": 2}
+    assert compare.fingerprint(a, ["a.b"], ["n"]).columns == ["a.b", "fingerprint"] and compare.table_checksum(a, a.columns).count() >= 1
+    assert rows(inspect.orphans(a, b, "a.b", "a.b")) == [] and compare.domain_diff(a, b, "a.b").count() == 2
+
+
+def test_maps_as_foreign_keys_and_groups(spark):
+    a = spark.createDataFrame([({"x": 1, "y": 2}, 1.0), ({"z": 1}, 2.0), (None, 3.0)], "m map<string,int>, v double")
+    b = spark.createDataFrame([({"y": 2, "x": 1}, 1.0)], "m map<string,int>, v double")
+    assert [r["n"] for r in inspect.orphans(a, b, "m", "m").collect()] == [1]
+    assert sorted(r["agrees"] for r in compare.group_reconcile(a, b, ["m"], ["v"]).collect()) == [False, False, True]
+    assert compare.domain_diff(a, b, "m").count() == 3

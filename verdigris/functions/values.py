@@ -4,19 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DecimalType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, DataType, DecimalType, DoubleType, FloatType, MapType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
+
+
+def named(column: str) -> Column:
+    """The column of that name, whatever characters the name holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def approx_equal(a: Column, b: Column, tol: float) -> Column:
-    """Whether two numbers are equal, both null, both NaN, or at most ``tol`` apart. Never null."""
-    return a.eqNullSafe(b) | F.coalesce(F.abs(a - b) <= F.lit(tol), F.lit(False))
+    """Whether two numbers are equal, both null, both NaN, or at most ``tol`` apart. Never null.
+
+    A difference that the numbers' type does not hold is compared as a double.
+    """
+    near = lambda d: (d <= F.lit(tol)) & (d >= F.lit(-tol))
+    return a.eqNullSafe(b) | F.coalesce(near(F.try_subtract(a, b)), near(a.cast("double") - b.cast("double")), F.lit(False))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores after it as it takes to differ from all ``taken`` names, whatever their case."""
+    held = {x.lower() for x in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def family(kind: DataType) -> str:
+    """Types of one family compare by value; others do not, and are told as retyped: a number is no text, a date no timestamp."""
+    return "number" if isinstance(kind, NumericType) else "text" if isinstance(kind, StringType) else kind.simpleString()
 
 
 def canonical(column: Column, kind: DataType, scale: int | None = None) -> Column:
     """A value as text, different values as different text; null stays null.
 
     Floating-point numbers are exact, or decimals of ``scale`` places that other engines can produce too; NaN and
-    infinities keep their names. Timestamps have microseconds. Of arrays, structs and maps (sorted by key) every
+    infinities keep their names. Timestamps have microseconds; instants are in UTC, whatever zone the session has. Of arrays, structs and maps (sorted by key) every
     element has a null flag and its length.
     """
     if isinstance(kind, (DoubleType, FloatType)):
@@ -25,7 +47,10 @@ def canonical(column: Column, kind: DataType, scale: int | None = None) -> Colum
             return column.cast("string")
         rounded = column.try_cast(DecimalType(38, scale)).cast("string")
         return F.coalesce(rounded, column.cast("string"))
-    if isinstance(kind, (TimestampType, TimestampNTZType)):
+    if isinstance(kind, TimestampType):
+        instant = F.timestamp_add("MICROSECOND", F.unix_micros(column), F.lit("1970-01-01").cast("timestamp_ntz"))
+        return F.concat(F.date_format(instant, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("Z"))
+    if isinstance(kind, TimestampNTZType):
         return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(kind, StructType):
         return F.when(column.isNotNull(), F.concat(F.lit("("), *(flagged(column[f.name], f.dataType, scale) for f in kind.fields), F.lit(")")))
@@ -50,4 +75,4 @@ def comparable(column: Column, kind: DataType) -> Column:
 
 def row_digest(columns: list[tuple[str, DataType]], scale: int | None = None) -> Column:
     """md5 over the columns, each with a null flag and its length."""
-    return F.md5(F.concat(*(flagged(F.col(name), kind, scale) for name, kind in columns)))
+    return F.md5(F.concat(*(flagged(named(name), kind, scale) for name, kind in columns)))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.operators.compare import STATUSES, Rules, comparison, group_reconcile, row_count, schema_diff
+from verdigris.functions.values import named
+from verdigris.operators.compare import STATUSES, Rules, comparison, group_reconcile, recased, row_count, schema_diff
 from verdigris.operators.inspect import orphans, profile
 
 _FINDINGS = "array<struct<check_name:string,column_name:string,source_value:string,target_value:string,status:string>>"
@@ -36,15 +37,18 @@ def compare_tables(
 ) -> DataFrame:
     """Report of a table: row counts, schema, keys, duplicate keys, columns, and the profiles of both sides.
 
-    Columns that are missing or retyped are findings of the schema and not compared. ``totals`` (groups, measures) adds
+    Columns that are missing or retyped are findings of the schema and not compared; without any to compare the rest is reported.
+    A column whose names differ in case alone is such a finding, and compared. ``totals`` (groups, measures) adds
     the number of groups whose sums differ; ``parents`` (foreign key, table, its key) the rows of the target without a parent.
     """
     c = F.col
+    shape, names = schema_diff(src, tgt), {b: a for a, b in recased(src, tgt).items()}
+    tgt = tgt.select(*(named(x).alias(names.get(x, x)) for x in tgt.columns))
     same = {f.name for f in tgt.schema.fields if f.name in src.columns and f.dataType == src.schema[f.name].dataType}
     if not same.issuperset(keys):
         raise ValueError("the keys must have the same names and types on both sides")
     cols = [x for x in cols if x in same]
-    diff, shape = comparison(src, tgt, keys, cols, rules), schema_diff(src, tgt)
+    diff = comparison(src, tgt, keys, cols, rules)
     kinds = ("n_null", "n_distinct", "least", "most", "total")
     a, b = (profile(df, cols, scale).select("column", F.struct(*kinds).alias(x)) for df, x in ((src, "a"), (tgt, "b")))
     count = lambda status: F.get("statuses", F.lit(STATUSES.index(status)))
