@@ -1,11 +1,13 @@
-"""Registered queries of the comparisons that search: digest trees, pairing, renamed columns, sketches. With DuckDB SQL for each."""
+"""Registered queries of the comparisons that search: digest trees, pairing, renamed columns, sketches, keys. With DuckDB SQL for each."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.operators import compare, digest_tree, pairing, sketches
+from verdigris.operators import compare, digest_tree, discovery, pairing, sketches
 from verdigris.sources.tables import parquet_table
 
 ORDER_COLUMNS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -30,6 +32,14 @@ RENAMED_ORDERS = """
 select o_orderkey, cast(o_custkey as integer) as customer, o_orderpriority as o_priority, o_orderstatus, o_totalprice, o_orderdate as placed, o_orderkey % 7 as o_shard
 from orders where o_orderkey % 89 <> 0
 """
+CUSTOMER_NATIONS = ["c_custkey", "c_nationkey", "n_name", "n_regionkey", "c_mktsegment", "c_acctbal"]
+KEYED_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "documents"]
+#: Foreign keys by the tables' definition: (dependent table, column, referenced table, column).
+FOREIGN_KEYS = [
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"),
+]
 #: Orders whose customers became text.
 RETYPED_ORDERS = "select o_orderkey, cast(o_custkey as varchar(20)) as o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 89 <> 0"
 
@@ -93,7 +103,28 @@ def c19_drift(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("column", "n_rows_source", "n_rows_target", (F.abs("null_gap") > 0.1).alias("nulls_moved"), (F.col("rank_gap") > 0.1).alias("ranks_moved"))
 
 
-QUERIES = {f.__name__: f for f in (c3_key_diff_retyped, c16_tree_diff, c16_range_counts, c17_paired_rows, c18_renamed_columns, c19_sketch_profile, c19_drift)}
+def c20_candidate_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The smallest sets of up to three columns that are keys of lineitem."""
+    found = discovery.candidate_keys(parquet_table(spark, folder, "lineitem"), most=3)
+    return spark.createDataFrame([(",".join(k), len(k)) for k in found], "columns string, size int")
+
+
+def c20_dependencies(spark: SparkSession, folder: str) -> DataFrame:
+    """What fixes what in customers joined with their nations."""
+    customers, nations = (parquet_table(spark, folder, t) for t in ("customer", "nation"))
+    joined = customers.join(nations, customers["c_nationkey"] == nations["n_nationkey"]).select(*CUSTOMER_NATIONS)
+    return spark.createDataFrame([(",".join(x), a) for x, a in discovery.dependencies(joined, most=2)], "determinants string, dependent string")
+
+
+def c21_foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Foreign keys of ten tables, told by their values and names."""
+    return discovery.foreign_keys({t: parquet_table(spark, folder, t) for t in KEYED_TABLES})
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (c3_key_diff_retyped, c16_tree_diff, c16_range_counts, c17_paired_rows, c18_renamed_columns, c19_sketch_profile, c19_drift, c20_candidate_keys, c20_dependencies, c21_foreign_keys)
+}
 
 _CHANGED = "concat_ws(',', " + ", ".join(f"case when d_{c} then '{c}' end" for c in ORDER_COLUMNS) + ")"
 _LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -105,7 +136,24 @@ def _told(source: str | None, target: str | None) -> str:
     return ", ".join(f"{f'{alias}.{c}' if alias else f'(select {c} from lineitem limit 0)'} as {side}_{c}" for side, alias in (("source", source), ("target", target)) for c in _TOLD)
 
 
+def _sets(columns: list[str], most: int) -> list[tuple[str, ...]]:
+    return [s for k in range(1, most + 1) for s in combinations(columns, k)]
+
+
+def _counted(columns: list[str], most: int, table: str) -> str:
+    """SQL rows (s, n): how many distinct values each set of columns has."""
+    return " union all ".join(f"select {list(s)} as s, (select count(*) from (select distinct {', '.join(s)} from {table})) as n" for s in _sets(columns, most))
+
+
 ORACLE_SQL = {
+    "c20_candidate_keys": f"""with d as ({_counted(_LINES, 3, "lineitem")}), k as (select s from d where n = (select count(*) from lineitem))
+select array_to_string(s, ',') as columns, cast(len(s) as integer) as size from k where not exists (select 1 from k as x where len(x.s) < len(k.s) and list_has_all(k.s, x.s))""",
+    "c20_dependencies": f"""with j as (select {", ".join(CUSTOMER_NATIONS)} from customer join nation on c_nationkey = n_nationkey), d as ({_counted(CUSTOMER_NATIONS, 3, "j")}),
+f as (select x.s as x, a.c as a from d x, unnest({CUSTOMER_NATIONS}) as a(c), d y where len(x.s) <= 2 and not list_contains(x.s, a.c) and len(y.s) = len(x.s) + 1 and list_has_all(y.s, x.s) and list_contains(y.s, a.c) and y.n = x.n)
+select array_to_string(x, ',') as determinants, a as dependent from f where not exists (select 1 from f as g where g.a = f.a and len(g.x) < len(f.x) and list_has_all(f.x, g.x))""",
+    "c21_foreign_keys": " union all ".join(
+        f"select '{t}.{c}' as dependent, '{u}.{k}' as referenced, count(distinct {c}) as n_values, cast(count(distinct {c}) filter (where {c} not in (select {k} from {u})) as bigint) as n_missing from {t}" for t, c, u, k in FOREIGN_KEYS
+    ),
     "c3_key_diff_retyped": f"with tgt as ({RETYPED_ORDERS}) "
     + " union all ".join(f"""select '{c}' as "column", count(*) as n_compared, cast(count(*) filter (where {"true" if c == "o_custkey" else f"s.{c} is distinct from t.{c}"}) as bigint) as n_changed from orders s join tgt t on s.o_orderkey = t.o_orderkey""" for c in ORDER_COLUMNS),
     "c16_tree_diff": f"""with tgt as ({FEW_DAMAGED}), j as (
