@@ -7,6 +7,7 @@ combined first. Results are exact; nulls are values that equal each other.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import prod
 
@@ -18,44 +19,39 @@ from verdigris.functions.session import written
 from verdigris.functions.values import canonical, family, named
 
 #: One group in so many is in the part that refutes a set, and sets tested in one pass.
-PART, SETS = 64, 64
+PART, SETS = 64, 32
 
 Names = tuple[str, ...]
 
 
 def _cells(df: DataFrame, cols: list[str]) -> DataFrame:
-    """c0, c1 ...: a 128-bit digest of each cell."""
+    """a0, b0, a1, b1 ...: a 128-bit digest of each cell, of its own kind for each column."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     texts = [F.coalesce(F.concat(F.lit("V"), canonical(named(c), kinds[c])), F.lit("N")) for c in cols]
-    return df.select(*(F.struct(F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b")).alias(f"c{i}") for i, t in enumerate(texts)))
+    return df.select(*(F.xxhash64(F.lit(f"{x}{i}"), t).alias(f"{x}{i}") for i, t in enumerate(texts) for x in "ab"))
 
 
-def _digest(cells: list[str]) -> Column:
-    """A digest of several cells, of 128 bits."""
-    return F.struct(F.xxhash64(*(F.col(c) for c in cells)).alias("a"), F.xxhash64(F.lit(2), *(F.col(c) for c in cells)).alias("b"))
+def _by_set(rows: DataFrame, sets: list[tuple[int, ...]], part: int, whole: bool = False) -> DataFrame:
+    """(set, a, b) for each row and set: the set's number and the digest of its cells, of one group in ``part``. With ``whole`` the row's cells too."""
+    digest = lambda x, s: reduce(lambda p, q: p.bitwiseXOR(q), (F.col(f"{x}{i}") for i in s))
+    told = F.array(*(F.struct(F.lit(k).alias("set"), *(digest(x, s).alias(x) for x in "ab")) for k, s in enumerate(sets)))
+    return rows.select(F.explode(told).alias("x"), *(rows.columns if whole else [])).select("x.*", *(rows.columns if whole else [])).where(F.pmod("a", F.lit(part)) == 0)
 
 
-def _by_set(rows: DataFrame, sets: list[list[str]], more: list[Column] | None = None) -> DataFrame:
-    """A row for each row and set: its number, the digest of its cells, and more columns."""
-    told = F.array(*(F.struct(F.lit(k).alias("set"), _digest(s).alias("digest")) for k, s in enumerate(sets)))
-    return rows.select(F.explode(told).alias("x"), *(more or [])).select("x.*", *(m for m in rows.columns if more))
-
-
-def _repeated(rows: DataFrame, sets: list[list[str]], part: int) -> set[int]:
+def _repeated(rows: DataFrame, sets: list[tuple[int, ...]], part: int) -> set[int]:
     """The numbers of the sets that some two rows share all cells of, of one group in ``part``."""
     found: set[int] = set()
     for begin in range(0, len(sets), SETS):
-        groups = _by_set(rows, sets[begin : begin + SETS]).where(F.pmod("digest.a", F.lit(part)) == 0)
-        twice = groups.groupBy("set", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("set").distinct()
-        found |= {begin + r[0] for r in twice.collect()}
+        groups = _by_set(rows, sets[begin : begin + SETS], part).groupBy("set", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        found |= {begin + r[0] for r in groups.where("n > 1").select("set").distinct().collect()}
     return found
 
 
-def _distinct(rows: DataFrame, cells: list[str]) -> list[int]:
+def _distinct(rows: DataFrame) -> list[int]:
     """How many distinct cells each column has."""
-    sets = [[c] for c in cells]
-    counts = {r[0]: r[1] for r in _by_set(rows, sets).groupBy("set", "digest").agg(F.lit(1)).groupBy("set").count().collect()}
-    return [counts.get(k, 0) for k in range(len(cells))]
+    columns = len(rows.columns) // 2
+    counts = {r[0]: r[1] for r in _by_set(rows, [(i,) for i in range(columns)], 1).groupBy("set", "a", "b").agg(F.lit(1)).groupBy("set").count().collect()}
+    return [counts.get(k, 0) for k in range(columns)]
 
 
 def candidate_keys(df: DataFrame, cols: list[str] | None = None, most: int = 3) -> list[Names]:
@@ -68,14 +64,13 @@ def candidate_keys(df: DataFrame, cols: list[str] | None = None, most: int = 3)
     n = rows.count()
     if n < 2:
         return [()]
-    cells = rows.columns
-    distinct = _distinct(rows, cells)
+    distinct = _distinct(rows)
     keys: list[tuple[int, ...]] = []
     for size in range(1, most + 1):
         sets = [s for s in combinations(range(len(cols)), size) if not any(set(k) <= set(s) for k in keys)]
         sets = [s for s in sets if prod(distinct[i] for i in s) >= n]
         for part in (PART, 1):
-            again = _repeated(rows, [[cells[i] for i in s] for s in sets], part) if sets else set()
+            again = _repeated(rows, sets, part)
             sets = [s for k, s in enumerate(sets) if k not in again]
         keys += sets
     return [tuple(cols[i] for i in k) for k in keys]
@@ -88,24 +83,22 @@ def dependencies(df: DataFrame, cols: list[str] | None = None, most: int = 2) ->
     """
     cols = list(cols or df.columns)
     rows = written(_cells(df, cols))
-    cells, n = rows.columns, rows.count()
-    distinct = _distinct(rows, cells)
+    n, distinct = rows.count(), _distinct(rows)
     found: list[tuple[tuple[int, ...], int]] = [((), a) for a in range(len(cols)) if distinct[a] <= 1]
     for size in range(1, most + 1):
         # x -> a is open if no part of x fixes a, nor fixes another column of x (then a smaller set says the same).
         fixed = lambda x, a: any(d == a and set(s) <= set(x) for s, d in found)
         sets = [x for x in combinations(range(len(cols)), size) if not any(fixed(tuple(i for i in x if i != c), c) for c in x)]
         open_pairs = [(x, a) for x in sets for a in range(len(cols)) if a not in x and not fixed(x, a) and prod(distinct[i] for i in x) >= distinct[a]]
-        for whole in (False, True):
+        for part in (PART, 1):
             bad: set[tuple[int, int]] = set()
             asked = sorted({x for x, _ in open_pairs})
             for begin in range(0, len(asked), SETS):
                 block = asked[begin : begin + SETS]
-                told = _by_set(rows, [[cells[i] for i in x] for x in block], [F.col(c) for c in cells])
-                told = told if whole else told.where(F.pmod("digest.a", F.lit(PART)) == 0)
-                wide = told.groupBy("set", "digest").agg(*((F.min(c) != F.max(c)).alias(c) for c in cells))
-                broken = wide.groupBy("set").agg(*(F.max(c).alias(c) for c in cells)).collect()
-                bad |= {(begin + r["set"], a) for r in broken for a, c in enumerate(cells) if r[c]}
+                groups = _by_set(rows, block, part, True).toDF("set", "a", "b", *rows.columns).groupBy("set", "a", "b")
+                wide = groups.agg(*(((F.min(f"a{i}") != F.max(f"a{i}")) | (F.min(f"b{i}") != F.max(f"b{i}"))).alias(f"c{i}") for i in range(len(cols))))
+                broken = wide.groupBy("set").agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(len(cols)))).collect()
+                bad |= {(begin + r["set"], i) for r in broken for i in range(len(cols)) if r[f"c{i}"]}
             open_pairs = [(x, a) for x, a in open_pairs if (asked.index(x), a) not in bad]
         found += open_pairs
     return [(tuple(cols[i] for i in x), cols[a]) for x, a in found] if n else []
