@@ -77,13 +77,20 @@ def written(df: DataFrame) -> DataFrame:
     It is deleted when the application ends.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/verdigris_{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "verdigris")
     df.write.parquet(folder)
-    _files(spark, folder)[0].deleteOnExit(_files(spark, folder)[1])
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder; what is written there is deleted when the application ends."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}_{uuid.uuid4().hex}"
+    files, path = _files(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
 def delete_shared(spark: SparkSession, folder: str) -> None:
     """Delete a folder that Spark wrote, in whatever store it is."""
     files, path = _files(spark, folder)

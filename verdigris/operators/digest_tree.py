@@ -87,7 +87,7 @@ def grid_over(ranges: Ranges, leaves: int = LEAVES, fanout: int = FANOUT) -> Gri
 
 
 def as_number(key: Column, kind: DataType) -> Column:
-    """A key as a long: days of dates, microseconds of timestamps."""
+    """A key as a long: days of dates, microseconds of timestamps; those without a zone as if in UTC, whatever zone the session has."""
     if isinstance(kind, IntegralType):
         return key.cast("long")
     if isinstance(kind, DateType):
@@ -95,7 +95,8 @@ def as_number(key: Column, kind: DataType) -> Column:
     if isinstance(kind, TimestampType):
         return F.unix_micros(key)
     if isinstance(kind, TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), key)
+        second = (F.date_part(F.lit("SECOND"), key) * 1_000_000).cast("long")
+        return F.unix_date(key.cast("date")).cast("long") * 86_400_000_000 + (F.hour(key) * 60 + F.minute(key)).cast("long") * 60_000_000 + second
     raise ValueError(f"ranges need an integral, date or timestamp key, not {kind.simpleString()}")
 
 

@@ -1,4 +1,4 @@
-"""Registered queries of the comparisons that search: digest trees, pairing, renamed columns, sketches, keys. With DuckDB SQL for each."""
+"""Registered queries of the comparisons that search: digest trees, pairing, renamed columns, sketches, keys, times, streams. With DuckDB SQL for each."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.operators import compare, digest_tree, discovery, pairing, sketches
+from verdigris.functions.session import shared_folder
+from verdigris.operators import compare, digest_tree, discovery, pairing, sketches, temporal
 from verdigris.sources.tables import parquet_table
+from verdigris.streaming.reconcile import catch_up, reconcile, stream_table
 
 ORDER_COLUMNS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 #: Orders with a few damaged rows, far apart: about ten at sf0.01.
@@ -40,6 +42,12 @@ FOREIGN_KEYS = [
     ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
     ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"),
 ]
+#: Intervals of a customer: some empty, some open.
+SPANS = """
+select o_custkey, o_orderdate as valid_from, case when o_orderkey % 41 = 0 then cast(null as timestamp) when o_orderkey % 43 = 0 then o_orderdate
+       else o_orderdate + cast(o_orderkey % 5 * 100 + 1 as integer) * interval '1' day end as valid_to
+from orders
+"""
 #: Orders whose customers became text.
 RETYPED_ORDERS = "select o_orderkey, cast(o_custkey as varchar(20)) as o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 89 <> 0"
 
@@ -121,11 +129,39 @@ def c21_foreign_keys(spark: SparkSession, folder: str) -> DataFrame:
     return discovery.foreign_keys({t: parquet_table(spark, folder, t) for t in KEYED_TABLES})
 
 
+def c22_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event with the last order of its user up to then."""
+    events, orders = parquet_table(spark, folder, "events"), parquet_table(spark, folder, "orders")
+    events = events.select("event_id", "user_id", "ts")
+    return temporal.as_of_join(events, orders, [("user_id", "o_custkey")], ("ts", "o_orderdate"), ["o_orderkey", "o_orderdate", "o_totalprice"], ["o_orderkey"])
+
+
+def c22_interval_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """Gaps and overlaps of intervals that begin with a customer's orders and last some hundred days."""
+    src, spans = _side(spark, folder, "orders", SPANS)
+    return temporal.interval_faults(spans, ["o_custkey"], "valid_from", "valid_to")
+
+
+def c23_stream_reconcile(spark: SparkSession, folder: str) -> DataFrame:
+    """Events written to two systems, reconciled as streams; told up to the last event less the delay, until when nothing may change."""
+    path, events = f"{folder}/events.parque[t]", parquet_table(spark, folder, "events")  # a pattern may be one file or a folder
+    source = stream_table(spark, path, events.schema).where("event_id % 17 <> 0")
+    target = stream_table(spark, path, events.schema).where("event_id % 13 <> 0").withColumn("value", F.when(F.col("event_id") % 11 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    place = shared_folder(spark, "reconcile")
+    found = catch_up(reconcile(source, target, ["event_id"], ["user_id", "event_type", "value", "props"], "ts", "2 hours"), f"{place}/out", f"{place}/state")
+    closed = events.select(F.max("ts") - F.expr("interval 2 hours 1 second")).first()[0]
+    return found.where(F.col("ts") < F.lit(closed))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (c3_key_diff_retyped, c16_tree_diff, c16_range_counts, c17_paired_rows, c18_renamed_columns, c19_sketch_profile, c19_drift, c20_candidate_keys, c20_dependencies, c21_foreign_keys)
+    for f in (
+        c3_key_diff_retyped, c16_tree_diff, c16_range_counts, c17_paired_rows, c18_renamed_columns, c19_sketch_profile, c19_drift, c20_candidate_keys, c20_dependencies, c21_foreign_keys,
+        c22_as_of, c22_interval_faults, c23_stream_reconcile,
+    )
 }
 
+
 _CHANGED = "concat_ws(',', " + ", ".join(f"case when d_{c} then '{c}' end" for c in ORDER_COLUMNS) + ")"
 _LINES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 _APART = " + ".join(f"cast(a.{c} is distinct from b.{c} as integer)" for c in _LINES)
@@ -146,6 +182,17 @@ def _counted(columns: list[str], most: int, table: str) -> str:
 
 
 ORACLE_SQL = {
+    "c22_as_of": """with o as (select * from orders qualify row_number() over (partition by o_custkey, o_orderdate order by o_orderkey desc) = 1)
+select event_id, user_id, ts, o_orderkey, o_orderdate, o_totalprice from events asof left join o on user_id = o_custkey and ts >= o_orderdate""",
+    "c22_interval_faults": f"""with s as ({SPANS}), w as (
+  select *, max(coalesce(valid_to, timestamp '9999-01-01')) over (partition by o_custkey order by valid_from, valid_to nulls last rows between unbounded preceding and 1 preceding) as before from s where valid_to is null or valid_to > valid_from
+) select o_custkey, valid_from, valid_to, nullif(before, timestamp '9999-01-01') as previous_end, case when before > valid_from then 'overlap' else 'gap' end as fault from w where before <> valid_from
+union all select o_custkey, valid_from, valid_to, null, 'empty' from s where valid_to <= valid_from""",
+    "c23_stream_reconcile": """with s as (select * from events where event_id % 17 <> 0), t as (select * from events where event_id % 13 <> 0)
+select coalesce(s.event_id, t.event_id) as event_id, coalesce(s.ts, t.ts) as ts, cast(s.event_id is not null as bigint) as n_source, cast(t.event_id is not null as bigint) as n_target,
+       case when t.event_id is null then 'source_only' when s.event_id is null then 'target_only' else 'changed' end as status
+from s full outer join t on s.event_id = t.event_id
+where (s.event_id is null or t.event_id is null or s.event_id % 11 = 0) and coalesce(s.ts, t.ts) < (select max(ts) from events) - interval '2 hours 1 second'""",
     "c20_candidate_keys": f"""with d as ({_counted(_LINES, 3, "lineitem")}), k as (select s from d where n = (select count(*) from lineitem))
 select array_to_string(s, ',') as columns, cast(len(s) as integer) as size from k where not exists (select 1 from k as x where len(x.s) < len(k.s) and list_has_all(k.s, x.s))""",
     "c20_dependencies": f"""with j as (select {", ".join(CUSTOMER_NATIONS)} from customer join nation on c_nationkey = n_nationkey), d as ({_counted(CUSTOMER_NATIONS, 3, "j")}),
