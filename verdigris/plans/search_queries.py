@@ -1,4 +1,4 @@
-"""Registered queries of the comparisons that search: digest trees, pairing, renamed columns, sketches, keys, times, streams. With DuckDB SQL for each."""
+"""Registered queries of the comparisons that search: digest trees, pairing, renamed columns, sketches, keys, times, streams, totals, JSON. With DuckDB SQL for each."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.session import shared_folder
 from verdigris.operators import compare, digest_tree, discovery, pairing, sketches, temporal
+from verdigris.operators.explain import explain_totals
+from verdigris.operators.json_paths import json_diff
 from verdigris.sources.tables import parquet_table
 from verdigris.streaming.reconcile import catch_up, reconcile, stream_table
 
@@ -48,13 +50,25 @@ select o_custkey, o_orderdate as valid_from, case when o_orderkey % 41 = 0 then
        else o_orderdate + cast(o_orderkey % 5 * 100 + 1 as integer) * interval '1' day end as valid_to
 from orders
 """
+#: Lines damaged in two slices.
+SLICED_LINES = """
+select l_orderkey, l_linenumber, l_returnflag, l_linestatus, case when l_returnflag = 'A' and l_linestatus = 'F' then l_quantity + 1 else l_quantity end as l_quantity
+from lineitem where l_linenumber <> 3 or l_orderkey % 2 = 0
+"""
+#: Events whose properties were written anew.
+REWRITTEN_EVENTS = """
+select event_id, case when event_id % 31 = 0 then '{ "more": [1, {"x": null}], "k" : 5 }' when event_id % 37 = 0 then replace(replace(props, ': ', ': "'), '}', '"}')
+       when event_id % 41 = 0 then '{"k": ' when event_id % 43 = 0 then cast(null as varchar(20)) else replace(props, ': ', ' :  ') end as props
+from events where event_id % 47 <> 0
+"""
 #: Orders whose customers became text.
 RETYPED_ORDERS = "select o_orderkey, cast(o_custkey as varchar(20)) as o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 89 <> 0"
 
 
 def _side(spark: SparkSession, folder: str, table: str, sql: str) -> tuple[DataFrame, DataFrame]:
     src = parquet_table(spark, folder, table)
-    return src, spark.sql(sql.replace("varchar(20)", "string").replace(f"from {table}", f"from {{{table}}}"), **{table: src})
+    text = sql.replace("varchar(20)", "string").replace("{", "{{").replace("}", "}}").replace(f"from {table}", f"from {{{table}}}")
+    return src, spark.sql(text, **{table: src})
 
 
 def c3_key_diff_retyped(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,11 +167,24 @@ def c23_stream_reconcile(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(F.col("ts") < F.lit(closed))
 
 
+def c24_explain_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The slices of lineitem whose sums differ: one flag in one status, and one line number."""
+    src, tgt = _side(spark, folder, "lineitem", SLICED_LINES)
+    found = explain_totals(src, tgt, ["l_returnflag", "l_linestatus", "l_linenumber"], "l_quantity")
+    return found.select("slice", "n_dims", "n_source", "n_target", "total_source", "total_target")
+
+
+def c25_json_diff(spark: SparkSession, folder: str) -> DataFrame:
+    """Differences by path in the properties of events, of which some were changed, retyped, extended or lost."""
+    src, tgt = _side(spark, folder, "events", REWRITTEN_EVENTS)
+    return json_diff(src, tgt, ["event_id"], "props")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         c3_key_diff_retyped, c16_tree_diff, c16_range_counts, c17_paired_rows, c18_renamed_columns, c19_sketch_profile, c19_drift, c20_candidate_keys, c20_dependencies, c21_foreign_keys,
-        c22_as_of, c22_interval_faults, c23_stream_reconcile,
+        c22_as_of, c22_interval_faults, c23_stream_reconcile, c24_explain_totals, c25_json_diff,
     )
 }
 
@@ -182,6 +209,19 @@ def _counted(columns: list[str], most: int, table: str) -> str:
 
 
 ORACLE_SQL = {
+    "c24_explain_totals": f"""with tgt as ({SLICED_LINES}), u as (
+  select l_returnflag as f, l_linestatus as s, l_linenumber as n, l_quantity as q, 1 as side from lineitem union all select l_returnflag, l_linestatus, l_linenumber, l_quantity, 0 from tgt
+), slices as (select 'l_returnflag=A,l_linestatus=F' as slice, 2 as n_dims, * from u where f = 'A' and s = 'F' union all select 'l_linenumber=3', 1, * from u where n = 3)
+select slice, n_dims, count(*) filter (where side = 1) as n_source, count(*) filter (where side = 0) as n_target, cast(sum(cast(q as decimal(18,2))) filter (where side = 1) as decimal(38,2)) as total_source,
+       cast(sum(cast(q as decimal(18,2))) filter (where side = 0) as decimal(38,2)) as total_target from slices group by slice, n_dims""",
+    "c25_json_diff": f"""with tgt as ({REWRITTEN_EVENTS}), j as (select s.event_id, json_extract_string(s.props, '$.k') as k, t.event_id is null as gone from events s left join tgt t on s.event_id = t.event_id)
+select event_id, '$.k' as path, 'missing' as status, 'number' as source_kind, k as source_value, cast(null as varchar) as target_kind, cast(null as varchar) as target_value from j
+where gone or (event_id % 31 <> 0 and event_id % 37 <> 0 and (event_id % 41 = 0 or event_id % 43 = 0))
+union all select event_id, '$.k', 'changed', 'number', k, 'number', '5' from j where not gone and event_id % 31 = 0 and k <> '5'
+union all select event_id, '$.more[0]', 'extra', null, null, 'number', '1' from j where not gone and event_id % 31 = 0
+union all select event_id, '$.more[1].x', 'extra', null, null, 'null', null from j where not gone and event_id % 31 = 0
+union all select event_id, '$.k', 'retyped', 'number', k, 'string', k from j where not gone and event_id % 31 <> 0 and event_id % 37 = 0
+union all select event_id, '$', 'extra', null, null, 'malformed', '{{"k": ' from j where not gone and event_id % 31 <> 0 and event_id % 37 <> 0 and event_id % 41 = 0""",
     "c22_as_of": """with o as (select * from orders qualify row_number() over (partition by o_custkey, o_orderdate order by o_orderkey desc) = 1)
 select event_id, user_id, ts, o_orderkey, o_orderdate, o_totalprice from events asof left join o on user_id = o_custkey and ts >= o_orderdate""",
     "c22_interval_faults": f"""with s as ({SPANS}), w as (
