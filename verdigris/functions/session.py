@@ -76,10 +76,15 @@ def written(df: DataFrame) -> DataFrame:
 
     It is deleted when the application ends.
     """
+    return written_at(df)[0]
+
+
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``written``, and the folder, for those who can tell when it is no longer needed (``delete_shared``)."""
     spark = df.sparkSession
     folder = shared_folder(spark, "verdigris")
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
