@@ -177,3 +177,26 @@ def test_periodic_runs_of_a_long_text():
     columns = periodic_runs.describe([1], [b" ".join(words).decode()], 12, False)
     assert (columns[1][0], columns[2][0], columns[3][0]) == (60_000, 60_000, 9999)
     assert columns[7][0].splitlines()[0] == "0,20000,1" and columns[0][0] >= 3
+
+
+def test_blocks_of_phrases_leave_one_pass(spark):
+    """Twenty blocks, of which every pass but the last one written is deleted; the hits are those of one block."""
+    import glob
+
+    from verdigris.functions.session import ensure_checkpoint_dir
+    from verdigris.llm import decontaminate
+
+    rng = random.Random(20)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(200)) for _ in range(50)] + [None, ""]
+    items = [" ".join(texts[k].split()[20:35]) for k in range(4)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    ensure_checkpoint_dir(spark)
+    place = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(glob.glob(f"{place}/verdigris_*"))
+    many = {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(frame(spark, texts), bench, most=1).collect()}
+    left = set(glob.glob(f"{place}/verdigris_*")) - before
+    assert len(left) == 1 and many == {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(frame(spark, texts), bench).collect()}
+    assert sum(r[1] for r in many.values()) == 60
+    for most in (1, 1000):
+        clean = {r.doc_id: r.text for r in decontaminate.decontaminate(frame(spark, texts), bench, most=most).collect()}
+        assert clean[50] is None and clean[51] == "" and len(clean[0].split()) == 185 and clean[9] == texts[9]

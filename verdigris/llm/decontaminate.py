@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import ship_code, short_batches, written
+from verdigris.functions.session import delete_shared, ship_code, short_batches, written, written_at
 from verdigris.llm.common import sliced
 
 #: Words of a window, UTF-8 bytes of text in a shard, phrases in a broadcast, and the distance of sampled suffix positions.
@@ -212,22 +212,16 @@ def searched(docs: DataFrame, benchmark: DataFrame, window: int, most: int, remo
     """``docs`` with __text (null: empty), __n_words, __hits (merged word spans) and __items (ids with occurring windows).
 
     Each block of phrases takes one pass, which adds its hits to those before; with several, a pass is written before the
-    next. With ``remove`` the last pass takes the hits out of __text, and searches changed texts again if it is the only
+    next, without __text, and the one before it deleted, so that never more than two are there. With ``remove`` the last pass takes the hits out of __text, and searches changed texts again if it is the only
     one, which comes second.
     """
     spark = docs.sparkSession
     ship_code(spark)
     short_batches(spark)
-    now = docs.withColumns(
-        {
-            "__text": F.coalesce(F.col("text").cast("string"), F.lit("")),
-            "__n_words": F.lit(0).cast("long"),
-            "__hits": F.array().cast("array<array<bigint>>"),
-            "__items": F.array().cast("array<string>"),
-        }
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    now = docs.withColumns({"__text": text, "__n_words": F.lit(0).cast("long"), "__hits": F.array().cast("array<array<bigint>>"), "__items": F.array().cast("array<string>")})
     blocks, only = benchmark_blocks(benchmark, window, most), True
-    block = next(blocks)
+    block, before = next(blocks), None
     while True:
         following = next(blocks, None)
         only = only and following is None
@@ -235,7 +229,10 @@ def searched(docs: DataFrame, benchmark: DataFrame, window: int, most: int, remo
         now = now.mapInArrow(_searcher(shared, remove and following is None, only), now.schema)
         if following is None:
             return now, only
-        now, block = written(now), following
+        kept, folder = written_at(now.drop("__text"))
+        if before:
+            delete_shared(spark, before)
+        now, block, before = kept.withColumn("__text", text), following, folder
         shared.destroy()
 
 
