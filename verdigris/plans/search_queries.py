@@ -103,14 +103,14 @@ def c18_renamed_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def c19_sketch_profile(spark: SparkSession, folder: str) -> DataFrame:
-    """Sketch profiles of orders, merged from three parts: counts, the most frequent values of columns that have few, and whether distinct counts and medians keep their bounds."""
+    """Sketch profiles of orders, merged from three parts: counts, how often the three most frequent values of columns that have few occur, and whether distinct counts and medians keep their bounds."""
     orders = _side(spark, folder, "orders", FEW_DAMAGED)[1]
     cols = ["o_orderkey", *ORDER_COLUMNS]
     parts = [sketches.sketches(orders.where(F.pmod("o_orderkey", F.lit(3)) == k), cols) for k in range(3)]
     rows = sketches.sketch_profile(sketches.merged(parts), [0.5], 3)
     exact = orders.agg(*(F.count_distinct(c).alias(c) for c in cols)).select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in cols))).alias("x")).select("x.*")
     few = ["o_orderstatus", "o_orderpriority"]
-    top = F.when(F.col("column").isin(few), F.array_join(F.transform("top", lambda t: F.concat(t["item"], F.lit(":"), t["count"].cast("string"))), ","))
+    top = F.when(F.col("column").isin(few), F.array_join(F.transform("top", lambda t: t["count"].cast("string")), ","))
     near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.when(F.col("exact") <= 2**sketches.LOG_DISTINCT, 0).otherwise(sketches.DISTINCT_ERROR * F.col("exact"))
     median = rows.where(F.col("column") == "o_totalprice").select(F.get("quantiles", F.lit(0))).first()[0]
     below = orders.select(F.count(F.when(F.col("o_totalprice") < median, 1)) / F.count("o_totalprice")).first()[0]
@@ -262,7 +262,7 @@ union all select 'extra', -s, '', {_told(None, 'b')} from dst b where id not in
   union all select 'o_orderdate', 'placed', 'timestamp_ntz', 'timestamp_ntz', count(*) filter (where a and b), count(*) from (select v, bool_or(s) as a, bool_or(not s) as b from (select o_orderdate as v, true as s from orders union all select placed, false from tgt) group by v)
 ) select source_column, target_column, source_type, target_type, n_both / n_either > 0.9 as shared from pairs""",
     "c19_sketch_profile": f"""with tgt as ({FEW_DAMAGED}), """
-    + ", ".join(f"""t_{c} as (select string_agg(v || ':' || n, ',' order by n desc) as top from (select {c} as v, count(*) as n from tgt where {c} is not null group by {c} order by n desc limit 3))""" for c in ("o_orderstatus", "o_orderpriority"))
+    + ", ".join(f"""t_{c} as (select string_agg(n, ',' order by n desc) as top from (select {c} as v, count(*) as n from tgt where {c} is not null group by {c} order by n desc limit 3))""" for c in ("o_orderstatus", "o_orderpriority"))
     + " "
     + " union all ".join(f"""select '{c}' as "column", count(*) as n_rows, count(*) - count({c}) as n_null, {f"(select top from t_{c})" if c in ("o_orderstatus", "o_orderpriority") else "cast(null as varchar)"} as top, true as distinct_in_bound, true as median_in_bound from tgt""" for c in ["o_orderkey", *ORDER_COLUMNS]),
     "c19_drift": f"""with tgt as ({FEW_DAMAGED}), moved as (select o_custkey, o_orderstatus, o_totalprice + 100000 as o_totalprice, o_orderdate, case when o_orderkey % 2 = 0 then o_orderpriority end as o_orderpriority from tgt) """
