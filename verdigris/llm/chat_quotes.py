@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import cut
-from verdigris.llm.common import let
+from verdigris.functions.session import cut, written
+from verdigris.llm.common import hub_join, let
 
 MARKS = r"^(?:\x20{0,3}+>)++\x20?"
 #: A line that announces a quote goes with the quote below it.
@@ -97,7 +97,9 @@ def quotes(rows: DataFrame) -> DataFrame:
 
 def quote_links(rows: DataFrame) -> DataFrame:
     """conv_id, turn, level, origin and size: how much of each quote depth comes from which earlier turn."""
-    found = quotes(rows).join(originals(rows), ["conv_id", "hash"]).where("origin < turn")
+    quoted = written(quotes(rows))
+    often = quoted.groupBy("conv_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    found = hub_join(quoted, originals(rows).join(often, ["conv_id", "hash"]), ["conv_id", "hash"], quoted.count(), by_place=True).where("origin < turn")
     # A passage found whole and by its lines counts with the larger of the two.
     size = F.greatest(F.max(F.when(F.col("whole"), F.col("size"))), F.sum(F.when(~F.col("whole"), F.col("size"))))
     whole = found.groupBy("conv_id", "turn", "passage", "level", "origin").agg(size.alias("size"))
@@ -115,9 +117,11 @@ def replies(links: DataFrame) -> DataFrame:
 def threads(answers: DataFrame, most_rounds: int = 64) -> DataFrame:
     """conv_id, turn, root: where following reply_to ends. Every round doubles the steps taken."""
     now = cut(answers.select("conv_id", "turn", F.col("reply_to").alias("root")))
+    total = now.count()
     for _ in range(most_rounds):
         ahead = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"))
-        after = now.join(ahead, ["conv_id", "root"], "left").select("conv_id", "turn", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        steps = now.groupBy("conv_id", "root").agg(F.count(F.lit(1)).alias("n")).join(ahead, ["conv_id", "root"], "left")
+        after = hub_join(now, steps, ["conv_id", "root"], total).select("conv_id", "turn", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         after = cut(after)
         now = after.drop("moved")
         if not after.where("moved").take(1):
@@ -130,7 +134,7 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
 
     Sorting by conv_id, thread_turn and turn gives each conversation in reply order.
     """
-    rows = parsed(messages)
+    rows = written(parsed(messages))
     answers = cut(replies(quote_links(rows)))
     roots = threads(answers)
     linked = answers.join(roots, ["conv_id", "turn"])

@@ -30,27 +30,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sums(numbers: Column, chunk: int = 128) -> Column:
-    """Sums of the first 0, 1, 2 ... elements of an array<bigint>, in chunks so that long arrays stay cheap."""
-    zero = F.lit(0).cast("bigint")
+def running(numbers: Column, start: int, step: Callable[[Column, Column], Column], chunk: int = 128) -> Column:
+    """``start``, then what ``step`` makes of it and the first 1, 2 ... elements of an array<bigint>; ``step`` is associative.
 
-    def within(part: Column, start: Column) -> Column:
-        return F.aggregate(part, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    The array is cut in chunks so that long arrays stay cheap.
+    """
+    begin = F.lit(start).cast("bigint")
+
+    def within(part: Column, first: Column) -> Column:
+        return F.aggregate(part, F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
 
     def chunked(numbers: Column) -> Column:
         count = F.ceil(F.size(numbers) / F.lit(chunk)).cast("int")
         parts = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.slice(numbers, k * chunk + 1, F.lit(chunk)))
 
         def joined(parts: Column) -> Column:
-            starts = within(F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x)), zero)
+            starts = within(F.transform(parts, lambda p: F.aggregate(p, begin, step)), begin)
             inner = let(starts, lambda starts: F.flatten(F.transform(parts, lambda p, k: F.slice(within(p, F.element_at(starts, k + 1)), 2, chunk))))
-            return F.concat(F.array(zero), inner)
+            return F.concat(F.array(begin), inner)
 
         return let(parts, joined)
 
     return let(numbers, chunked)
 
 
+def running_sums(numbers: Column) -> Column:
+    """Sums of the first 0, 1, 2 ... elements of an array<bigint>."""
+    return running(numbers, 0, lambda a, x: a + x)
+
+
 def sliced(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in row ranges of at most ``most`` bytes of text each, one row at least."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()
@@ -116,20 +124,26 @@ def _arrow_schema(schema):
 HUB, LEAST_HUB = 1000, 200
 
 
-def hub_join(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+def hub_join(rows: DataFrame, values: DataFrame, key: str | list[str], total: int, by_place: bool = False) -> DataFrame:
     """``rows`` joined with ``values`` on ``key``, where a few keys may hold much of ``rows``.
 
     ``values`` has each key once, with n, the number of its rows (left out of the result); ``total`` is their sum.
     A key with more than one row in ``HUB`` is dealt out in pieces of that size, its value being repeated for each. Fewer
     than ``HUB`` keys can have so many, which bounds what is broadcast.
+
+    Rows are dealt by what they hold, so that rows alike in all columns stay together. ``by_place`` deals them by
+    their place instead, repeated rows too; it is for rows that come from a written table without a shuffle, which a task
+    that runs again reads in the same order.
     """
+    keys = [key] if isinstance(key, str) else key
     pieces = F.ceil(F.col("n") / F.lit(max(total / HUB, LEAST_HUB))).cast("int")
-    hubs = values.where(pieces > 1).select(key, pieces.alias("__pieces"))
-    dealt = rows.withColumn("__salt", F.xxhash64(*rows.columns)).join(F.broadcast(hubs), key, "left")
+    hubs = values.where(pieces > 1).select(*keys, pieces.alias("__pieces"))
+    told = [F.monotonically_increasing_id()] if by_place else [F.col(c) for c in rows.columns]
+    dealt = rows.withColumn("__salt", F.xxhash64(*told)).join(F.broadcast(hubs), keys, "left")
     dealt = dealt.withColumn("__salt", F.pmod("__salt", F.coalesce("__pieces", F.lit(1)))).drop("__pieces")
     salts = F.sequence(F.lit(0).cast("long"), F.greatest(pieces, F.lit(1)).cast("long") - 1)
     copies = values.withColumn("__salt", F.explode(salts)).drop("n")
-    return dealt.join(copies, [key, "__salt"]).drop("__salt")
+    return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:

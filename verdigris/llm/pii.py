@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.session import written
-from verdigris.llm.common import document_key, hub_join, let, running_sums, texts_of
+from verdigris.llm.common import document_key, hub_join, let, running, running_sums, texts_of
 
 KINDS = ["email", "ip", "card", "phone"]
 #: A match may begin where a run begins or the last match ended: other starts of a run fare no better than its
@@ -40,6 +40,8 @@ REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.8, 0.95
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
 #: Code points of the pieces in which long texts are cut up, and how many telling terms are sent to every task.
 PIECE, FEW_TERMS = 256, 200_000
+#: Pairs of an entity and a term that one task makes of a document.
+PAIRS = 1_000_000
 
 _SPAN = "array<struct<start:bigint,end:bigint,entity:string,context:bigint>>"
 
@@ -113,11 +115,52 @@ def entity_documents(found: DataFrame, support: int) -> DataFrame:
     return hub_join(mentions, entities.where(F.col("contexts") >= support).drop("contexts"), "entity", mentions.count())
 
 
-def disclosing_terms(found: DataFrame, terms: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): how much of the entity's information the term discloses, from ``generalise`` on.
+def grouped(rows: DataFrame, name: str) -> DataFrame:
+    """(name, of, n): for each of ``rows`` (name, a, b) the least name with its digests a and b, and how many share them."""
+    rows = written(rows)
+    groups = written(rows.groupBy("a", "b").agg(F.min(name).alias("of"), F.count(F.lit(1)).alias("n")))
+    found = hub_join(rows, groups.withColumn("size", F.col("n")), ["a", "b"], rows.count())
+    return written(found.select(name, "of", F.col("size").alias("n")))
+
+
+def _digests(*told: str) -> list[Column]:
+    """Two digests, together 128 bits, of columns."""
+    return [F.xxhash64(F.lit(k), *told) for k in (1, 2)]
+
+
+def _of_all(digests: list[Column]) -> list[Column]:
+    """Two digests of a set of rows that differ, from those of each."""
+    return [F.bit_xor(d).alias(c) for c, d in zip("ab", digests)]
+
+
+def entity_groups(near: DataFrame) -> DataFrame:
+    """(entity, of, n): entities that stand in the same documents as often, their contexts dividing these alike, are one group.
+
+    Whatever term is held against them, their shares are the same. Entities of a directory or signature are such groups.
+    """
+    contexts = near.groupBy("entity", "n_e", "context").agg(*_of_all(_digests("__key", "times")))
+    entities = contexts.groupBy("entity", "n_e").agg(*_of_all(_digests("a", "b")))
+    return grouped(entities.select("entity", *(d.alias(c) for c, d in zip("ab", _digests("n_e", "a", "b")))), "entity")
+
+
+def term_groups(rare: DataFrame) -> DataFrame:
+    """(term, of, n): terms of equally many documents, and of the same ones among those with entities, are one group."""
+    terms = rare.groupBy("term", "n_t").agg(*_of_all(_digests("__key")))
+    return grouped(terms.select("term", *(d.alias(c) for c, d in zip("ab", _digests("n_t", "a", "b")))), "term")
+
+
+def firsts_of(rows: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """The rows of the one of each group that gives it its name."""
+    sizes = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n")).join(groups.where(F.col(name) == F.col("of")).select(name), name)
+    return written(hub_join(rows, sizes, name, rows.count()))
+
+
+def disclosing_groups(found: DataFrame, terms: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entity, term, share) between groups, from ``generalise`` on; then the groups of entities and those of terms.
 
     ``found`` is of ``base_spans``; ``terms`` has each term and n, its documents. A term in too many documents to disclose
-    so much, whatever it shares with the entity, is left out before pairs are made.
+    so much, whatever it shares with the entity, is left out before pairs are made. A document whose groups make more
+    than ``PAIRS`` pairs is dealt out by entity, its terms being repeated for each piece.
     """
     near = written(entity_documents(found, support))
     documents, rows = found.count(), terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -125,9 +168,21 @@ def disclosing_terms(found: DataFrame, terms: DataFrame, support: int = SUPPORT,
     n = F.lit(float(documents))
     counted = hub_join(held, terms.withColumn("n_t", F.col("n")), "term", rows)
     largest = near.agg(F.coalesce(F.max("n_e"), F.lit(0))).first()[0]
-    rare = counted.where((F.col("n_t") >= support) & (F.log2("n_t") <= F.log2(n) + generalise * F.log2(F.lit(max(largest, 1)) / n) + 1e-9))
+
+    def may(n_e: Column) -> Column:
+        return F.log2("n_t") <= F.log2(n) + generalise * F.log2(n_e / n) + 1e-9
+
+    rare = written(counted.where((F.col("n_t") >= support) & may(F.lit(max(largest, 1)))))
+    entity_of, term_of = entity_groups(near), term_groups(rare)
+    near, rare = firsts_of(near, entity_of, "entity"), firsts_of(rare, term_of, "term")
+    made = near.groupBy("__key").agg(F.count(F.lit(1)).alias("e")).join(rare.groupBy("__key").agg(F.count(F.lit(1)).alias("t")), "__key")
+    heavy = made.select("__key", F.least("e", F.ceil(F.col("e") * F.col("t") / F.lit(PAIRS))).alias("pieces")).where("pieces > 1")
+    pieces = F.coalesce("pieces", F.lit(1).cast("long"))
+    dealt = near.join(heavy, "__key", "left").withColumn("piece", F.pmod(F.xxhash64("entity"), pieces)).drop("pieces")
+    copies = rare.join(heavy, "__key", "left").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("pieces")
     pairs = (
-        rare.join(near, "__key")
+        copies.join(dealt, ["__key", "piece"])
+        .where(may(F.col("n_e")))
         .groupBy("entity", "term", "n_t", "n_e", "context")
         .agg(F.sum("times").alias("times"))
         .groupBy("entity", "term", "n_t", "n_e")
@@ -135,7 +190,27 @@ def disclosing_terms(found: DataFrame, terms: DataFrame, support: int = SUPPORT,
         .where(F.col("contexts") >= support)
     )
     share = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log2(n / F.col("n_e"))
-    return pairs.where(F.col("n_e") < documents).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    told = pairs.where(F.col("n_e") < documents).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    return told, entity_of, term_of
+
+
+def disclosing_terms(found: DataFrame, terms: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """(entity, term, share) of every entity and term, from ``generalise`` on: as many rows as there are such pairs.
+
+    ``sanitise`` does without them, as it needs the largest share of each term alone.
+    """
+    told, entity_of, term_of = disclosing_groups(found, terms, support, generalise)
+    both = told.withColumnsRenamed({"entity": "of_entity", "term": "of_term"})
+    both = both.join(entity_of.select("entity", F.col("of").alias("of_entity")), "of_entity")
+    return both.join(term_of.select("term", F.col("of").alias("of_term")), "of_term").select("entity", "term", "share")
+
+
+def telling_terms(found: DataFrame, terms: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """(term, share): the most that a term discloses of any entity, from ``generalise`` on."""
+    told, _, term_of = disclosing_groups(found, terms, support, generalise)
+    most = told.groupBy(F.col("term").alias("of")).agg(F.max("share").alias("share"))
+    sizes = term_of.where("term = of").select("of", "n")
+    return hub_join(term_of.select("term", "of"), most.join(sizes, "of"), "of", term_of.count()).select("term", "share")
 
 
 def digest(spans: dict[str, str]) -> Column:
@@ -151,7 +226,7 @@ def digest(spans: dict[str, str]) -> Column:
 def marks_of_documents(found: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
     """(__key, __marks): by document its telling terms, each with the mark that replaces it."""
     terms = written(found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    telling = disclosing_terms(found, terms, support, generalise).groupBy("term").agg(F.max("share").alias("share"))
+    telling = telling_terms(found, terms, support, generalise)
     marked = written(telling.select("term", F.when(F.col("share") >= remove, F.lit("")).otherwise(F.lit("[TERM]")).alias("mark")))
     rows = terms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     held = found.select("__key", F.explode("terms").alias("term"))
@@ -159,7 +234,7 @@ def marks_of_documents(found: DataFrame, support: int, generalise: float, remove
     if number <= FEW_TERMS and size <= 20 * FEW_TERMS:  # a few megabytes
         hits = held.join(F.broadcast(marked), "term")
     else:
-        hits = hub_join(held, terms.join(marked, "term", "left"), "term", rows).where("mark is not null")
+        hits = hub_join(held, terms.join(marked, "term", "left"), "term", rows, by_place=True).where("mark is not null")
     return hits.groupBy("__key").agg(F.collect_set(F.struct("term", "mark")).alias("__marks"))
 
 
@@ -197,13 +272,15 @@ def merged_spans() -> Column:
     def marked(kind: str) -> Column:
         return F.transform(kind, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("mark")))
 
-    def step(acc: Column, m: Column) -> Column:
-        last = F.element_at(acc, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], m["end"]).alias("end"), last["mark"].alias("mark"))
-        apart = (F.size(acc) == 0) | (m["start"] >= F.try_element_at(acc, F.lit(-1))["end"])
-        return F.when(apart, F.concat(acc, F.array(m))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)))
+    def joined(spans: Column, ends: Column) -> Column:
+        """``ends`` holds the furthest end of the spans before each place; a span that begins there or later is a first one."""
+        at = F.filter(F.transform(spans, lambda m, i: F.when(m["start"] >= F.get(ends, i), i)), lambda i: i.isNotNull())
+        furthest = lambda firsts, k: F.get(ends, F.coalesce(F.get(firsts, k + 1), F.size(spans)))
+        one = lambda firsts, i, k: F.struct(F.get(spans, i)["start"].alias("start"), furthest(firsts, k).alias("end"), F.get(spans, i)["mark"].alias("mark"))
+        return let(at, lambda firsts: F.transform(firsts, lambda i, k: one(firsts, i, k)))
 
-    return F.aggregate(F.array_sort(F.concat(*map(marked, KINDS))), F.array().cast("array<struct<start:bigint,end:bigint,mark:string>>"), step)
+    ends = lambda spans: running(F.transform(spans, lambda m: m["end"]), 0, lambda a, x: F.greatest(a, x))
+    return let(F.array_sort(F.concat(*map(marked, KINDS))), lambda spans: let(ends(spans), lambda ends: joined(spans, ends)))
 
 
 def rewritten() -> Column:

@@ -261,7 +261,7 @@ def classes_of(docs: DataFrame, size: int, radius: int) -> tuple[DataFrame, Data
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
     made, classes, rows = classes_of(docs, size, radius)
-    return hub_join(made, classes, "fp", rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return hub_join(made, classes, "fp", rows, by_place=True).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -271,7 +271,7 @@ def deduplicate(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> D
     but are not near each other both stay.
     """
     made, classes, rows = classes_of(docs, size, radius)
-    named = hub_join(made, classes.drop("component_id"), "fp", rows).groupBy("root", "doc_id", "__key").agg(F.count(F.lit(1)).alias("n"))
+    named = hub_join(made, classes.drop("component_id"), "fp", rows, by_place=True).groupBy("root", "doc_id", "__key").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key", "n")).alias("first")
     stay = written(named.groupBy("root").agg(first).select(F.col("first.__key").alias("__stays"), (F.col("first.n") > 1).alias("__again")))
     keyed = docs.withColumn("__key", document_key())
