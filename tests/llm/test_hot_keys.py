@@ -100,3 +100,11 @@ def test_overlapping_spans_merge_under_the_first(spark):
             want.append([a, b, mark])
     found = [[list(m) for m in r.merged] for r in rows.select(pii.merged_spans().alias("merged")).collect()]
     assert found == [want, []] and len(want) < 550
+
+
+def test_marks_are_found_by_halving(spark):
+    for n in (0, 1, 2, 3, 7, 8, 100):
+        marks = [(f"t{2 * i:04}", f"m{i}") for i in range(n)]
+        rows = spark.createDataFrame([(f"t{i:04}", marks) for i in range(-1, 2 * n + 2)], "term string, marks array<struct<term:string,mark:string>>")
+        found = {r.term: r.mark for r in rows.select("term", pii.mark_of(F.col("term"), F.col("marks")).alias("mark")).collect()}
+        assert {t: m for t, m in found.items() if m} == dict(marks) and len(found) == 2 * n + 3

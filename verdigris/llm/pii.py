@@ -38,6 +38,8 @@ HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: that discloses a share s, a part (n_e / N) ** (1 - s) holds the entity: with 8 documents of 50,000, 17 % at 0.8.
 REACH, SUPPORT, GENERALISE, REMOVE = 60, 3, 0.8, 0.95
 TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
+#: A term as it stands in a text, with the digits ahead of it.
+WORD = r"(?<![\p{L}\p{N}])\p{N}*+" + TERM
 #: Code points of the pieces in which long texts are cut up, and how many telling terms are sent to every task.
 PIECE, FEW_TERMS = 256, 200_000
 #: Pairs of an entity and a term that one task makes of a document.
@@ -283,6 +285,18 @@ def merged_spans() -> Column:
     return let(F.array_sort(F.concat(*map(marked, KINDS))), lambda spans: let(ends(spans), lambda ends: joined(spans, ends)))
 
 
+def mark_of(term: Column, marks: Column) -> Column:
+    """The mark of a term in an array of (term, mark) sorted by term, null if it has none; a binary search."""
+    halvings = F.when(F.size(marks) > 0, F.sequence(F.ceil(F.log2(F.size(marks) + 1)).cast("int") - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+
+    def step(at: Column, k: Column) -> Column:
+        ahead = at + F.call_function("shiftleft", F.lit(1), k)
+        return F.when(F.get(marks, ahead - 1)["term"] <= term, ahead).otherwise(at)
+
+    found = F.aggregate(halvings, F.lit(0), step)
+    return let(F.get(marks, found - 1), lambda last: F.when(last["term"] == term, last["mark"]))
+
+
 def rewritten() -> Column:
     """struct<terms: array<struct<start, end, mark>>, text>: where marked terms stand, and the text with all marks in place.
 
@@ -297,17 +311,17 @@ def rewritten() -> Column:
         few = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
         return F.when(b > a, F.substring(few, (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
 
-    def between(pieces: Column, spans: Column, pattern: Column) -> Column:
+    def between(pieces: Column, spans: Column, marks: Column) -> Column:
         """For the stretch before each span, and the last: its terms, its new text, and the mark that follows."""
 
         def stretch(a: Column, b: Column, mark: Column) -> Column:
             def replaced(m: Column) -> Column:
-                """start and end of a match of the pattern, its digits ahead of the term, and the mark (null: stays)."""
+                """start and end of a word, its digits ahead of the term, and the mark (null: stays)."""
                 ahead = F.regexp_extract(m["value"], r"^\p{N}*+", 0)
                 start = m["start"] + F.length(ahead)
                 touches = ((start == 0) & (a > 0)) | ((m["end"] == b - a) & (b < size))
                 term = F.lower(F.substr(m["value"], F.length(ahead) + 1))
-                own = F.get(F.filter("__marks", lambda x: x["term"] == term), F.lit(0))["mark"]
+                own = let(term, lambda term: mark_of(term, marks))
                 return F.struct(m.alias("m"), (start + a).alias("start"), (m["end"] + a).alias("end"), ahead.alias("ahead"), F.when(~touches, own).alias("mark"))
 
             def built(gap: Column) -> Column:
@@ -318,7 +332,7 @@ def rewritten() -> Column:
                     rest = F.when(F.size(found) == 0, gap).otherwise(F.get(found, F.size(found) - 1)["m"]["right"])
                     return F.struct(terms.alias("terms"), F.concat(body, rest, mark).alias("text"))
 
-                return let(F.transform(located(gap, pattern), replaced), joined)
+                return let(F.transform(located(gap, WORD), replaced), joined)
 
             plain = lambda gap: F.struct(none.alias("terms"), F.concat(gap, mark).alias("text"))
             return let(part(pieces, a, b), lambda gap: F.when(F.col("__marks").isNotNull(), built(gap)).otherwise(plain(gap)))
@@ -333,8 +347,7 @@ def rewritten() -> Column:
     def whole(stretches: Column) -> Column:
         return F.struct(F.flatten(F.transform(stretches, lambda s: s["terms"])).alias("terms"), F.array_join(F.transform(stretches, lambda s: s["text"]), "").alias("text"))
 
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\p{N}*+(?:"), F.array_join(F.col("__marks.term"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
-    new = let(pieces, lambda pieces: let(merged_spans(), lambda spans: let(pattern, lambda pattern: let(between(pieces, spans, pattern), whole))))
+    new = let(pieces, lambda pieces: let(merged_spans(), lambda spans: let(F.array_sort("__marks"), lambda marks: let(between(pieces, spans, marks), whole))))
     untouched = (F.col("__marks").isNull()) & (F.size(F.concat(*KINDS)) == 0)
     return F.when(untouched, F.struct(none.alias("terms"), text.alias("text"))).otherwise(new)
