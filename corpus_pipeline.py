@@ -7,12 +7,10 @@ An empty table gives an empty table in every stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.functions.session import delete_shared, ensure_checkpoint_dir
+from verdigris.functions.session import delete_shared, shared_folder
 from verdigris.llm import decontaminate, line_dedup, piece_codec, quality_rules, simhash
 from verdigris.llm.queries import model_path, read
 
@@ -69,9 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder, and deleted when the next is complete."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpus_pipeline_{uuid.uuid4().hex}"
+    """All stages over documents; each result is written to the shared folder, and deleted when the next is complete.
+
+    The last, which the result reads, is deleted when the application ends.
+    """
+    folder = shared_folder(spark, "corpus_pipeline")
     docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
