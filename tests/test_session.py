@@ -1,6 +1,9 @@
 """The session helpers."""
 
 import os
+import subprocess
+import sys
+import time
 
 import pytest
 
@@ -18,6 +21,28 @@ def test_written_tables_and_their_deletion(spark):
     assert not os.path.isdir(f"/{folder}")
 
 
+@pytest.mark.parametrize("last", ["", "spark.stop()", "raise RuntimeError"])
+def test_nothing_written_is_left_when_the_application_ends(tmp_path, last):
+    told = f"""
+from pyspark.sql import SparkSession
+from verdigris.functions import session
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}").getOrCreate()
+for n in (0, 5):
+    assert session.written(spark.range(n)).count() == n
+spark.range(3).write.parquet(session.shared_folder(spark, "own") + "/below")
+{last}
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with subprocess.Popen([sys.executable, "-c", told], cwd=root, stderr=subprocess.DEVNULL) as run:
+        assert (run.wait(120) != 0) == last.startswith("raise")
+    for _ in range(200):  # the JVM ends after Python
+        left = [p for p in tmp_path.rglob("*") if p.is_file()]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert left == []
+
+
 def test_batches_are_short_for_texts_and_long_for_numbers(spark):
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)

@@ -82,18 +82,22 @@ def written(df: DataFrame) -> DataFrame:
 def written_at(df: DataFrame) -> tuple[DataFrame, str]:
     """``written``, and the folder, for those who can tell when it is no longer needed (``delete_shared``)."""
     spark = df.sparkSession
-    folder = shared_folder(spark, "verdigris")
+    folder = shared_folder(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder), folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder; what is written there is deleted when the application ends."""
+    """A new path in the shared checkpoint folder; what is written there is deleted when the application ends.
+
+    All such paths are in one folder, which is made here, as only one that exists can be marked for deletion.
+    """
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}_{uuid.uuid4().hex}"
-    files, path = _files(spark, folder)
+    parent = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/verdigris"
+    files, path = _files(spark, parent)
+    files.mkdirs(path)
     files.deleteOnExit(path)
-    return folder
+    return f"{parent}/{name}_{uuid.uuid4().hex}"
 
 
 def delete_shared(spark: SparkSession, folder: str) -> None:
