@@ -192,11 +192,31 @@ def test_blocks_of_phrases_leave_one_pass(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     ensure_checkpoint_dir(spark)
     place = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
-    before = set(glob.glob(f"{place}/verdigris_*"))
+    before = set(glob.glob(f"{place}/verdigris/table_*"))
     many = {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(frame(spark, texts), bench, most=1).collect()}
-    left = set(glob.glob(f"{place}/verdigris_*")) - before
+    left = set(glob.glob(f"{place}/verdigris/table_*")) - before
     assert len(left) == 1 and many == {r.doc_id: tuple(r)[1:] for r in decontaminate.contamination(frame(spark, texts), bench).collect()}
     assert sum(r[1] for r in many.values()) == 60
     for most in (1, 1000):
         clean = {r.doc_id: r.text for r in decontaminate.decontaminate(frame(spark, texts), bench, most=most).collect()}
         assert clean[50] is None and clean[51] == "" and len(clean[0].split()) == 185 and clean[9] == texts[9]
+
+
+def test_terms_are_found_alike_by_pattern_and_by_word(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from verdigris.llm import pii
+
+    terms = [f"name{k}" for k in range(40)] + ["élan", "über2"]
+    texts = [" ".join(f"{'7' * (k % 3)}{terms[k % 42].upper() if k % 5 else terms[k % 42]}{'s' * (k % 7 == 0)}" for k in range(300)), "a@b.cd ÉLAN, x élan@b.cd.ef Über2", "", None]
+    docs = frame(spark, texts)
+    marks = F.array(*(F.struct(F.lit(t).alias("term"), F.lit("[TERM]" if k % 2 else "").alias("mark")) for k, t in enumerate(terms)))
+    rows = pii.base_spans(docs).drop("terms").join(pii.texts_of(docs), "doc_id")
+
+    def told(few):
+        monkeypatch.setattr(pii, "FEW_MARKS", few)
+        return {r.doc_id: r.new for r in rows.select("doc_id", pii.rewritten().alias("new")).collect()}
+
+    rows = rows.withColumn("__marks", marks)
+    assert told(0) == told(1000)
+    assert len(told(1000)[0].terms) == sum(k % 7 != 0 for k in range(300)) and told(0)[1].text == "[EMAIL] , x é[EMAIL] [TERM]"

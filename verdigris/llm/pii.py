@@ -42,6 +42,9 @@ TERM = r"\p{L}[\p{L}\p{N}]{2,}+"
 WORD = r"(?<![\p{L}\p{N}])\p{N}*+" + TERM
 #: Code points of the pieces in which long texts are cut up, and how many telling terms are sent to every task.
 PIECE, FEW_TERMS = 256, 200_000
+#: Up to so many telling terms of a document are searched for by one pattern, which passes over other words; where there are
+#: more, every word is looked up among them. Both find the same.
+FEW_MARKS = 1000
 #: Pairs of an entity and a term that one task makes of a document.
 PAIRS = 1_000_000
 
@@ -311,12 +314,12 @@ def rewritten() -> Column:
         few = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / PIECE).cast("int") - first + 1), "")
         return F.when(b > a, F.substring(few, (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
 
-    def between(pieces: Column, spans: Column, marks: Column) -> Column:
+    def between(pieces: Column, spans: Column, marks: Column, pattern: Column) -> Column:
         """For the stretch before each span, and the last: its terms, its new text, and the mark that follows."""
 
         def stretch(a: Column, b: Column, mark: Column) -> Column:
             def replaced(m: Column) -> Column:
-                """start and end of a word, its digits ahead of the term, and the mark (null: stays)."""
+                """start and end of a match of the pattern, its digits ahead of the term, and the mark (null: stays)."""
                 ahead = F.regexp_extract(m["value"], r"^\p{N}*+", 0)
                 start = m["start"] + F.length(ahead)
                 touches = ((start == 0) & (a > 0)) | ((m["end"] == b - a) & (b < size))
@@ -332,7 +335,7 @@ def rewritten() -> Column:
                     rest = F.when(F.size(found) == 0, gap).otherwise(F.get(found, F.size(found) - 1)["m"]["right"])
                     return F.struct(terms.alias("terms"), F.concat(body, rest, mark).alias("text"))
 
-                return let(F.transform(located(gap, WORD), replaced), joined)
+                return let(F.transform(located(gap, pattern), replaced), joined)
 
             plain = lambda gap: F.struct(none.alias("terms"), F.concat(gap, mark).alias("text"))
             return let(part(pieces, a, b), lambda gap: F.when(F.col("__marks").isNotNull(), built(gap)).otherwise(plain(gap)))
@@ -348,6 +351,9 @@ def rewritten() -> Column:
         return F.struct(F.flatten(F.transform(stretches, lambda s: s["terms"])).alias("terms"), F.array_join(F.transform(stretches, lambda s: s["text"]), "").alias("text"))
 
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
-    new = let(pieces, lambda pieces: let(merged_spans(), lambda spans: let(F.array_sort("__marks"), lambda marks: let(between(pieces, spans, marks), whole))))
+    few = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\p{N}*+(?:"), F.array_join(F.col("__marks.term"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    pattern = F.when(F.size("__marks") <= FEW_MARKS, few).otherwise(F.lit(WORD))
+    searched = lambda pieces, spans: let(F.array_sort("__marks"), lambda marks: let(pattern, lambda pattern: let(between(pieces, spans, marks, pattern), whole)))
+    new = let(pieces, lambda pieces: let(merged_spans(), lambda spans: searched(pieces, spans)))
     untouched = (F.col("__marks").isNull()) & (F.size(F.concat(*KINDS)) == 0)
     return F.when(untouched, F.struct(none.alias("terms"), text.alias("text"))).otherwise(new)
