@@ -454,6 +454,30 @@ def test_quality_counts_and_forest(spark, data):
     assert good.where("not kept").count() <= 0.01 * good.count() and bad.where("kept").count() <= 0.2 * bad.count()
 
 
+def test_forest_and_threshold_come_from_all_labelled_rows(spark):
+    """The only bad rows have the largest hashes of doc_id, behind 6,475 others."""
+    rng = random.Random(21)
+    ids = [r.id for r in spark.range(6500).selectExpr("id", "xxhash64(id) as h").orderBy("h").collect()]
+    bad = set(ids[-25:])
+    word = lambda i: "".join(rng.choices("abcdefgh" if i not in bad else "ab#|<*", k=rng.randint(3, 8)))
+    texts = [" ".join(word(i) for _ in range(rng.randint(20, 30))) for i in range(6500)]
+    docs = frame(spark, texts)
+    labels = docs.selectExpr("doc_id", f"if(doc_id in ({','.join(map(str, bad))}), 0, 1) as quality")
+    judged = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
+    assert len(judged) == 6500 and not any(judged[i].kept for i in bad)
+    assert sum(r.kept for r in judged.values()) >= 0.998 * 6475
+    assert {r.doc_id for r in quality_rules.keep_good(docs, labels).collect()} == {i for i, r in judged.items() if r.kept}
+    x, good = np.array([quality_rules.statistics(t)[-1] for t in texts]), np.array([i not in bad for i in range(6500)])
+    forest = quality_rules.fit_forest(quality_rules.document_statistics(docs), labels)
+    plain = quality_rules.Forest.fit(x[good], x.min(0), x.max(0))
+    assert np.array_equal(forest.path, plain.path) and np.array_equal(forest.feature, plain.feature)
+    scores = plain.anomaly(x)
+    assert [judged[i].anomaly for i in range(6500)] == scores.tolist()
+    kept = scores <= forest.threshold
+    gains = [(scores[~good] > t).mean() - (scores[good] > t).mean() for t in np.unique(scores) if (scores[good] > t).mean() <= quality_rules.MOST_GOOD_LOST]
+    assert kept[good].mean() - kept[~good].mean() == pytest.approx(max(gains))
+
+
 def test_simhash_runs_too_long_to_hold_settle_nothing():
     import pyarrow as pa
 
