@@ -304,6 +304,29 @@ def test_threads_give_the_same_ids():
     assert one is not two and [x[0].tolist() for x in one.encode(texts)] == [x[0].tolist() for x in two.encode(texts)]
 
 
+def learned(monkeypatch, made, step):
+    """What ``made`` is asked to work out from now on."""
+    seen, inner = [], getattr(made, step)
+    monkeypatch.setattr(made, step, lambda parts: (seen.extend(parts), inner(parts)))
+    return seen
+
+
+#: Usual words, then rare ones beyond a cache of 100 parts, then the usual ones again.
+RECURRING = [[f"usual{i}" for i in range(40)], [f"rare{i}x" for i in range(80)], [f"rare{i}y" for i in range(80)], [f"usual{i}" for i in range(40)]]
+
+
+def test_parts_that_recur_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(piece_codec, "CACHE", 100)
+    codec = piece_codec.Codec(model_path())
+    seen = learned(monkeypatch, codec, "learn")
+    for words in RECURRING * 3:
+        (ids, exact, repaired), *_ = codec.encode([" ".join(words)])
+        assert ids.tolist() == codec.library.encode("▁" + "▁".join(words)) and exact and not repaired
+        assert len(codec.known) <= 100 + 80
+    assert sorted(p for p in seen if "usual" in p) == sorted("▁" + w for w in RECURRING[0])
+    assert len(codec.before) <= 100 + 80
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):

@@ -6,7 +6,7 @@ merges that the scores of a byte-pair model imply, byte fallback, and the decode
 the library's threads, as many as a task has cores (spark.task.cpus) unless told otherwise.
 
 Where texts may be cut without changing tokens (see ``PieceModel.words_are_independent``), each distinct part
-of a batch is encoded once and kept in a bounded cache. The ids are the rebuilt pipeline's. Every newly encoded part is
+of a batch is encoded once and kept in a bounded cache, of which what recurs outlives the rest. The ids are the rebuilt pipeline's. Every newly encoded part is
 held against the sentencepiece library: only where they differ are the library's ids used instead, and the document
 counts the part in n_repaired. Every part is also decoded again. Without such cuts whole texts are encoded, compared
 and decoded. Models other than unigram and byte-pair ones are refused.
@@ -31,8 +31,8 @@ from verdigris.functions.session import ship_code, short_batches
 from verdigris.llm.common import per_text, sliced
 from verdigris.llm.piece_model import BPE, NORMAL, SPACE, UNIGRAM, UNUSED, USER_DEFINED, PieceModel, chunks
 
-#: The number of parts after which a worker's cache keeps only those that recur, and that the library encodes at once.
-CACHE, AT_ONCE = 200_000, 8192
+#: Parts in each of a worker's two caches, beyond which the newer becomes the older, and that the library encodes at once.
+CACHE, AT_ONCE = 300_000, 8192
 #: Bytes of an id in the cache.
 WIDTH = array("I").itemsize
 
@@ -91,13 +91,14 @@ class Codec:
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         import sentencepiece
 
-        self.model = PieceModel.load(path)
+        self.model, self.threads = PieceModel.load(path), threads
         self.cuts = self.model.words_are_independent()
         self.tokenizer = rebuild(self.model, whole_texts=not self.cuts)
         raw = self.model.without_dummy_prefix() if self.cuts else self.model.raw
         self.library = sentencepiece.SentencePieceProcessor(model_proto=raw)
-        #: By part its ids as bytes; the parts that they don't decode to, and those for which the library's were taken.
+        #: By part its ids as bytes, of recent texts and of those before; the parts that they don't decode to, and those for which the library's were taken.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.inexact: set[str] = set()
         self.repaired: set[str] = set()
 
@@ -112,7 +113,7 @@ class Codec:
         for i in range(0, len(parts), AT_ONCE):
             some = parts[i : i + AT_ONCE]
             ours = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            theirs = self.library.encode(some)
+            theirs = self.library.encode(some, num_threads=self.threads)
             if ours != theirs:
                 self.repaired.update(p for p, mine, ids in zip(some, ours, theirs) if mine != ids)
                 ours = [ids if p in self.repaired else mine for p, mine, ids in zip(some, ours, theirs)]
@@ -124,6 +125,17 @@ class Codec:
             ends = [*accumulate(map(len, ours), lambda at, n: at + WIDTH * n, initial=0)]
             self.known.update(zip(some, [flat[a:b] for a, b in pairwise(ends)]))
 
+    def recall(self, parts: set[str]) -> list[str]:
+        """The parts that neither cache has, sorted; those of the older one are moved to the newer."""
+        if len(self.known) > CACHE:
+            self.known, self.before = {}, self.known
+            self.inexact = {p for p in self.inexact if p in self.before}
+            self.repaired = {p for p in self.repaired if p in self.before}
+        new = parts.difference(self.known)
+        again = [p for p in new if p in self.before]
+        self.known.update(zip(again, map(self.before.pop, again)))
+        return sorted(new.difference(again))
+
     def forget(self, parts: list[str]) -> None:
         """Drop parts from the cache."""
         for part in parts:
@@ -134,12 +146,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, bool, int]]:
         """Ids, whether they decode to the text, and parts for which the library's ids were taken."""
         parted = [chunks(t, self.model.dummy_prefix) if self.cuts else [t] if t else [] for t in texts]
-        here = set().union(*parted)
-        if len(self.known) > CACHE:  # what these texts have too is what recurs
-            self.known = {p: self.known[p] for p in here.intersection(self.known)}
-            self.inexact &= here
-            self.repaired &= here
-        new = sorted(here.difference(self.known))
+        new = self.recall(set().union(*parted))
         self.learn(new)
         out, get = [], self.known.__getitem__
         for text, parts in zip(texts, parted):
