@@ -327,6 +327,30 @@ def test_parts_that_recur_are_encoded_once(monkeypatch):
     assert len(codec.before) <= 100 + 80
 
 
+def test_parts_that_recur_are_tabulated_once(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE", 100)
+    counter = token_counts.PrefixCounter(model_path())
+    seen = learned(monkeypatch, counter, "tabulate")
+    for words in RECURRING * 3:
+        text = " ".join(words)
+        assert counter.measure([text], 10**6) == [(len(counter.library.encode(text)), len(text), 0)]
+        assert len(counter.totals) <= 100 + 80 and counter.totals.keys() == counter.tables.keys()
+    assert sorted(p for p in seen if "usual" in p) == sorted("▁" + w for w in RECURRING[0])
+
+
+def test_prefix_counts_without_repairs_on_many_words(monkeypatch):
+    """Random words, also of characters that no token has or that only longer tokens have; pairs are forgotten in between."""
+    rng = random.Random(22)
+    bits = ["▁", "a", "e", "in", "ing", "ter", "er", "qu", "ß", "é", "日", "本", "😀", "𝕏", "\x00", "\n", "1", ".", "--", "'s"]
+    counter = token_counts.PrefixCounter(model_path())
+    monkeypatch.setattr(token_counts, "PAIRS", 300)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(5)) for _ in range(4)]
+        for text, counts in zip(texts, counter.counts(texts)):
+            assert counts.tolist() == [len(x) for x in counter.library.encode([text[:i] for i in range(len(text) + 1)])]
+    assert not counter.repaired and counter.pairs <= 300 + 4 * 5 * 9 * 10
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):

@@ -4,11 +4,12 @@ For byte-pair models the tokens of a text are the only sequence whose neighbours
 tokens are compatible if encoding their joined text gives the two back), and cutting the last token off
 leaves the tokens of the shorter prefix. So the last token of each prefix follows from those of shorter
 prefixes: it is the one that ends there and is compatible with the last token of what precedes it. The
-count of a prefix is one more than the count of the prefix that its last token leaves. The table answers
+count of a prefix is one more than the count of the prefix that its last token leaves. The tokens that end at a place come
+from an automaton over the vocabulary, made as far as texts need it. The table answers
 how many tokens any prefix has and how much of a text fits a budget, without encoding again.
 
 Texts are cut where no merge can cross (before runs of spaces); tables of the parts are kept in a bounded
-cache. The number of tokens is the last entry of the tables, summed. Each part's total is checked against the
+cache, of which what recurs outlives the rest. The number of tokens is the last entry of the tables, summed. Each part's total is checked against the
 library; where that differs (or the model allows no such cuts), the library encodes every prefix of the part instead,
 and the document counts it in n_repaired.
 
@@ -27,9 +28,23 @@ from verdigris.llm.common import per_text
 from verdigris.llm.piece_model import NORMAL, UNUSED, USER_DEFINED, PieceModel, chunks
 
 LIMIT = 4096
-#: So many parts a worker keeps before it drops those that do not recur (pairs: all).
-CACHE = 500_000
-SHORT = (2, 1)
+#: Parts in each of a worker's two caches, beyond which the newer becomes the older, and pairs of tokens beyond which all go.
+CACHE, PAIRS = 400_000, 1_000_000
+#: Characters beyond which a part is seldom seen again.
+LONG = 64
+
+
+class Ending:
+    """What a text ends in: its longest end that begins a token (Aho-Corasick), and the tokens that end there.
+
+    ``tokens`` has length, text, tokens counted and, by token before, whether it fits; longest first, then the lone character.
+    """
+
+    __slots__ = ("text", "after", "tokens")
+
+    def __init__(self, text: str, tokens: list[tuple[int, str, int, dict[str, bool]]]) -> None:
+        self.text, self.tokens = text, tokens
+        self.after: dict[str, Ending] = {}
 
 
 class PrefixCounter:
@@ -45,17 +60,15 @@ class PrefixCounter:
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=self.model.without_dummy_prefix())
         self.cuts = self.model.words_are_independent()
         self.ids = {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if kind in (NORMAL, USER_DEFINED, UNUSED)}
-        #: By the last three characters, the lengths of tokens that end in them, longest first.
-        lengths: dict[str, set[int]] = {}
-        for token in self.ids:
-            if len(token) > 2:
-                lengths.setdefault(token[-3:], set()).add(len(token))
-        self.endings = {k: (*sorted(v, reverse=True), *SHORT) for k, v in lengths.items()}
-        self.fits: dict[str, dict[str, bool]] = {}
+        self.begun = {token[:i] for token in self.ids for i in range(len(token) + 1)}
+        self._forget_pairs()
         self.single: dict[str, int] = {}
         self.tables: dict[str, bytes] = {}
         self.totals: dict[str, int] = {}
+        #: Tables and totals of earlier texts' parts.
+        self.before: tuple[dict[str, bytes], dict[str, int]] = {}, {}
         self.repaired: set[str] = set()
+        self.long: list[str] = []
 
     @classmethod
     def of(cls, path: str) -> PrefixCounter:
@@ -79,40 +92,58 @@ class PrefixCounter:
         size = (self._size(left) if left else 0) + self._size(right)
         return len(got) == size and (a is None or got[0] == a) and (b is None or got[-1] == b)
 
+    def _longer(self, ending: Ending, char: str) -> Ending:
+        """The ending after one more character."""
+        text = ending.text + char
+        while text and text not in self.begun:
+            text = text[1:]
+        found = [text[i:] for i in range(len(text) - 1) if text[i:] in self.ids]
+        tokens = [(len(t), t, self._size(t), self.fits.setdefault(t, {})) for t in (*found, char)]
+        if not text:  # of characters that no token has there can be too many to keep
+            made = Ending(text, tokens)
+            made.after = self.nothing.after
+            return made
+        ending.after[char] = self.endings.get(text) or self.endings.setdefault(text, Ending(text, tokens))
+        return ending.after[char]
+
+    def _forget_pairs(self) -> None:
+        """Start without endings and without what is known of pairs of tokens."""
+        self.nothing = Ending("", [])
+        self.endings: dict[str, Ending] = {}
+        #: By token and the token before it, whether they may stand side by side, and how many such pairs are kept.
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
+
     def tabulate(self, parts: list[str]) -> None:
         """Tables of new parts. In sorted order a part extends the states of what it shares with the one before."""
-        ids, fits, endings = self.ids, self.fits, self.endings
-        if len(self.fits) > 2 * CACHE:
-            fits.clear()
-        counts, lasts, before = [0], [""], ""
+        if self.pairs > PAIRS:
+            self._forget_pairs()
+        counts, lasts, endings, before = [0], [""], [self.nothing], ""
         made = []
         for part in parts:
             shared, most = 0, min(len(before), len(part), len(counts) - 1)
             while shared < most and before[shared] == part[shared]:
                 shared += 1
-            del counts[shared + 1 :], lasts[shared + 1 :]
-            for end in range(shared + 1, len(part) + 1):
-                for n in endings.get(part[max(0, end - 3) : end], SHORT):
-                    if n > end:
-                        continue
-                    token = part[end - n : end]
-                    if n == 1 or token in ids:
-                        last = lasts[end - n]
-                        known = fits.get(last)
-                        if known is None:
-                            known = fits[last] = {}
-                        fit = known.get(token)
-                        if fit is None:
-                            fit = known[token] = self._fit(last, token)
-                        if fit:
-                            counts.append(counts[end - n] + (1 if token in ids else self._size(token)))
-                            lasts.append(token)
-                            break
+            del counts[shared + 1 :], lasts[shared + 1 :], endings[shared + 1 :]
+            ending = endings[-1]
+            for char in part[shared:]:
+                ending = ending.after.get(char) or self._longer(ending, char)
+                for n, token, size, known in ending.tokens:
+                    last = lasts[-n]
+                    fit = known.get(last)
+                    if fit is None:
+                        fit = known[last] = self._fit(last, token)
+                        self.pairs += 1
+                    if fit:
+                        counts.append(counts[-n] + size)
+                        lasts.append(token)
+                        endings.append(ending)
+                        break
                 else:
                     break
             made.append(array("I", counts[1:]).tobytes() if len(counts) == len(part) + 1 else b"")
             before = part
-        for part, table, tokens in zip(parts, made, self.bare.encode(parts)):
+        for part, table, tokens in zip(parts, made, self.bare.encode(parts, num_threads=1)):
             total = int.from_bytes(table[-4:], sys.byteorder)
             if total != len(tokens):
                 table, total = array("I", [len(x) for x in self.bare.encode([part[: i + 1] for i in range(len(part))])]).tobytes(), len(tokens)
@@ -122,17 +153,21 @@ class PrefixCounter:
     def prepare(self, texts: list[str]) -> list[list[str]]:
         """The parts of each text, their tables made."""
         parted = [chunks(t, self.model.dummy_prefix) for t in texts]
-        here = set().union(*parted)
-        if len(self.totals) > CACHE:  # what these texts have too is what recurs
-            self.tables = {p: self.tables[p] for p in here.intersection(self.totals)}
-            self.totals = {p: self.totals[p] for p in self.tables}
-            self.repaired &= here
-        self.tabulate(sorted(here.difference(self.totals)))
+        if len(self.totals) > CACHE:
+            self.before, self.tables, self.totals = (self.tables, self.totals), {}, {}
+            self.repaired = {p for p in self.repaired if p in self.before[1]}
+        new = set().union(*parted).difference(self.totals)
+        for kept, old in zip((self.tables, self.totals), self.before):
+            again = [p for p in new if p in old]
+            kept.update(zip(again, map(old.pop, again)))
+        new = sorted(new.difference(self.totals))
+        self.tabulate(new)
+        self.long = [p for p in new if len(p) > LONG]
         return parted
 
-    def trim(self, longest: int = 64) -> None:
+    def trim(self) -> None:
         """Drop what seldom recurs: the tables of long parts."""
-        for part in [p for p in self.totals if len(p) > longest]:
+        for part in self.long:
             del self.tables[part], self.totals[part]
             self.repaired.discard(part)
 
