@@ -1,5 +1,6 @@
 """The text operators against brute force on small fixtures, with nulls, empty texts, repeats and clashing columns."""
 
+import gc
 import hashlib
 import random
 import re
@@ -214,6 +215,24 @@ def test_components_of_hubs_and_chains(spark):
     assert found == {x: r for x, r in root.items() if x != r}
 
 
+def test_few_links_have_few_partitions(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(300) if i % 11]
+    root = components(pairs, {x for p in pairs for x in p})
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for links, parts in ((None, 8), (20, 40)):
+            if links:
+                monkeypatch.setattr(common, "LINKS", links)
+            found = common.connected_components(spark.createDataFrame(pairs, "a int, b int"))
+            assert {r.node: r.root for r in found.collect()} == {x: r for x, r in root.items() if x != r}
+            assert 8 <= found.rdd.getNumPartitions() <= parts
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_simhash_components_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     fps = {0}
@@ -304,6 +323,15 @@ def test_threads_give_the_same_ids():
     assert one is not two and [x[0].tolist() for x in one.encode(texts)] == [x[0].tolist() for x in two.encode(texts)]
 
 
+def test_workers_keep_a_codec_for_one_stage(spark):
+    docs = frame(spark, [f"some words {i} and more of them" for i in range(40)]).repartition(4)
+    assert all(r.ids for r in piece_codec.with_ids(docs, model_path()).collect())
+    found = common.per_text(docs, lambda texts: [[sum(isinstance(x, piece_codec.Codec) for x in gc.get_objects())] * len(texts)], "codecs int").collect()
+    assert len(found) == 40 and not any(r.codecs for r in found)
+    one, two = (piece_codec.Codec.of(model_path()) for _ in range(2))
+    assert one is two
+
+
 def learned(monkeypatch, made, step):
     """What ``made`` is asked to work out from now on."""
     seen, inner = [], getattr(made, step)

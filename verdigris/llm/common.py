@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +73,30 @@ def sliced(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         yield batch.slice(begin)
 
 
+#: What a Python worker keeps between tasks, by the stage it is kept for (None outside of tasks) and its name.
+_KEPT: dict[tuple, object] = {}
+
+
+def let_go() -> None:
+    """At the start of a task: what the Python worker keeps for another stage goes, since workers outlive stages."""
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if gone := [k for k in _KEPT if k[0] != stage]:
+        for k in gone:
+            del _KEPT[k]
+        pa.default_memory_pool().release_unused()
+
+
+def kept(name: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, such as a model with its caches; made once in a Python worker for all its tasks of a stage."""
+    let_go()
+    task = TaskContext.get()
+    key = (task.stageId() if task else None, *name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def per_text(docs: DataFrame, helper: Callable[[list[str]], list], fields: str) -> DataFrame:
     """One row for each document: doc_id and the columns that ``helper`` makes of a list of texts.
 
@@ -86,6 +111,7 @@ def per_text(docs: DataFrame, helper: Callable[[list[str]], list], fields: str)
     arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in sliced(batch):
                 made = helper(part.column(1).to_pylist())
@@ -101,6 +127,7 @@ def where_text(docs: DataFrame, decide: Callable[[list[str]], list]) -> DataFram
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in sliced(batch):
                 yield part.filter(pa.array(decide([t or "" for t in part.column("text").to_pylist()]), pa.bool_()))
@@ -146,6 +173,15 @@ def hub_join(rows: DataFrame, values: DataFrame, key: str | list[str], total: in
     return dealt.join(copies, [*keys, "__salt"]).drop("__salt")
 
 
+#: Links in a partition of a round of ``connected_components``, and partitions that links may have however few they are.
+LINKS, LEAST_PARTS = 50_000, 8
+
+
+def _gathered(links: DataFrame, most: int) -> DataFrame:
+    """``links``, at most so many, without a shuffle in no more partitions than they need: each is a task and files in every round."""
+    return links.coalesce(max(LEAST_PARTS, -(-most // LINKS)))
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Components of an undirected graph given as links (a, b): rows (node, root), root the smallest.
 
@@ -155,6 +191,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     now = cut(edges.where("a <> b").select(hi.alias("a"), lo.alias("b")).distinct())
     mark = _mark(now)
+    now = _gathered(now, mark[0])
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -167,7 +204,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        now = cut(small)
+        now = cut(_gathered(small, 2 * mark[0]))  # a link makes two at most
         before, mark = mark, _mark(now)
         if mark == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.session import delete_shared, ship_code, short_batches, written, written_at
-from verdigris.llm.common import sliced
+from verdigris.llm.common import let_go, sliced
 
 #: Words of a window, UTF-8 bytes of text in a shard, phrases in a broadcast, and the distance of sampled suffix positions.
 WINDOW, SHARD_BYTES, BLOCK_WINDOWS, SAMPLE = 10, 4_000_000, 200_000, 8
@@ -262,6 +262,7 @@ def _searcher(shared, remove: bool, only: bool):
     """The task of one pass: the phrases of one block, searched in an index of each shard; ``remove`` as in ``searched``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         phrases = shared.value
         for table in _shards(batches):
             texts = table["__text"].to_pylist()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.session import cut, long_batches, ship_code, short_batches, written
-from verdigris.llm.common import connected_components, document_key, hub_join, let, sliced, texts_of
+from verdigris.llm.common import connected_components, document_key, hub_join, let, let_go, sliced, texts_of
 
 #: ``TAU`` may be a fixed number of edits; None lets it grow with the line.
 TAU, SHARE, MOST, LEAST_LINE, LEAST_NEAR, CROWD = None, 40, 8, 1, 20, 64
@@ -224,6 +224,7 @@ def segment_rows(docs: DataFrame, tau: int | None, least: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("about", pa.int64()), ("line", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in sliced(batch, "line"):
                 names, first = np.unique(part.column("name").to_numpy(), return_index=True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.functions.session import ship_code, short_batches
-from verdigris.llm.common import per_text, sliced
+from verdigris.llm.common import kept, per_text, sliced
 from verdigris.llm.piece_model import BPE, NORMAL, SPACE, UNIGRAM, UNUSED, USER_DEFINED, PieceModel, chunks
 
 #: Parts in each of a worker's two caches, beyond which the newer becomes the older, and that the library encodes at once.
@@ -82,9 +82,7 @@ def _regex(pattern: str):
 
 
 class Codec:
-    """Encoder and decoder of one model; made once in each Python worker."""
-
-    _made: dict[tuple[str, int], Codec] = {}
+    """Encoder and decoder of one model; made once in each Python worker for the tasks of a stage."""
 
     def __init__(self, path: str, threads: int = 1) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -104,9 +102,7 @@ class Codec:
 
     @classmethod
     def of(cls, path: str, threads: int = 1) -> Codec:
-        if (path, threads) not in cls._made:
-            cls._made[path, threads] = cls(path, threads)
-        return cls._made[path, threads]
+        return kept(("codec", path, threads), lambda: cls(path, threads))
 
     def learn(self, parts: list[str]) -> None:
         """Encode new parts, hold them against the library, decode them again."""
