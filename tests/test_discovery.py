@@ -29,6 +29,12 @@ def dependencies_brute(rows, cols, most):
     return found
 
 
+def shuffle_files(spark):
+    """Names of the shuffle files that are on disk."""
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {name for name in found.split("\n") if "/shuffle_" in name}
+
+
 def test_keys_and_dependencies_equal_enumeration(spark, monkeypatch):
     monkeypatch.setattr(D, "PART", 3)
     monkeypatch.setattr(D, "SETS", 4)
@@ -41,6 +47,23 @@ def test_keys_and_dependencies_equal_enumeration(spark, monkeypatch):
         assert sorted(D.dependencies(df, most=2)) == (sorted(dependencies_brute(plain, df.columns, 2)) if n else [])
 
 
+def test_keys_take_one_digest_of_each_row_at_a_time_and_leave_no_shuffle(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(D, "FEW", 100, raising=False)
+    monkeypatch.setattr(D, "DIGESTS", 1, raising=False)
+    rng = random.Random(7)
+    rows = [(i // 4, i % 4 if i != 801 else 2, rng.random(), -0.0 if i == 3 else 0.0 if i == 7 else float(i // 2), None if i in (5, 900) else i) for i in range(1000)]
+    spark.createDataFrame(rows, "x int, y int, u double, v double, w long").selectExpr("*", "w % 10 as z").repartition(3).write.parquet(f"{tmp_path}/t")
+    seen, real = [], D._by_set
+    monkeypatch.setattr(D, "_by_set", lambda rows, sets, part, whole=False: (seen.append((part, len(sets), rows)), real(rows, sets, part, whole))[1])
+    df = spark.read.parquet(f"{tmp_path}/t")
+    plain = [tuple(r) for r in df.collect()]
+    before = shuffle_files(spark)
+    for table in (df, df.withColumn("x", df["x"] + 0)):  # as it lies, and computed
+        assert D.candidate_keys(table, most=3) == keys_brute(plain, df.columns, 3) != []
+    assert shuffle_files(spark) <= before
+    assert {n for part, n, rows in seen if part == 1 and rows.count() == 1000} == {1}
+
+
 def test_lines_have_no_pair_as_a_key(spark, data):
     lines = parquet_table(spark, data, "lineitem")
     rows = [tuple(r) for r in lines.collect()]

@@ -37,6 +37,25 @@ def long_batches(spark: SparkSession, rows: int = 10_000) -> Iterator[None]:
         spark.conf.set(_BATCH, before)
 
 
+_SHORT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each query that is run inside go when it ends, not only when the driver collects its garbage."""
+    before = spark.conf.get(_SHORT, None)
+    spark.conf.set(_SHORT, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHORT) if before is None else spark.conf.set(_SHORT, before)
+
+
+def kept_in_files(df: DataFrame) -> bool:
+    """Whether ``df`` is a table of files as it is read, which can be read again at little cost and with the same rows."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and bool(df.inputFiles())
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package, once for each Spark context (as ``--py-files`` would)."""
     sc = spark.sparkContext

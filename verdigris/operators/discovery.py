@@ -1,8 +1,9 @@
 """What a schema does not say: candidate keys, functional dependencies and inclusions between columns, found in the data.
 
-Sets of columns are searched level by level, smallest first. A set is only tested if nothing smaller decides it, if the product of its
-columns' distinct counts allows it, and if a part of its groups (chosen by their digest, so that rows alike are chosen together) does not refute it. What is left is tested over all rows, all sets of a level in one shuffle of 128-bit digests whose counts are
-combined first. Results are exact; nulls are values that equal each other.
+Sets of columns are searched level by level, smallest first. A set is only tested if nothing smaller decides it and if a part of its groups
+(chosen by their digest, so that rows alike are chosen together) does not refute it. For dependencies the product of its columns' distinct counts has to allow it as
+well; for keys a few of the rows are asked first, as what they repeat is repeated in all. What is left is tested over all rows, in shuffles of 128-bit digests.
+For keys one shuffle holds about one digest of each row, and its files go before the next is made. Results are exact; nulls are values that equal each other.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegralType, NumericType
+from pyspark.sql.types import BooleanType, DataType, DateType, DoubleType, FloatType, IntegralType, NumericType, TimestampNTZType, TimestampType
 
-from verdigris.functions.session import written
+from verdigris.functions.session import kept_in_files, short_shuffles, written
 from verdigris.functions.values import canonical, family, named
 
 #: One group in so many is in the part that refutes a set, and sets tested in one pass.
 PART, SETS = 64, 32
+#: About so many rows are asked before a part of all, and so many digests are in a shuffle if one of each row is fewer.
+FEW, DIGESTS = 1 << 16, 1 << 23
+#: Types whose values Spark hashes as they are: NaN equals NaN, and zero has no sign.
+PLAIN = (IntegralType, DoubleType, FloatType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 Names = tuple[str, ...]
 
@@ -27,22 +32,33 @@ Names = tuple[str, ...]
 def _cells(df: DataFrame, cols: list[str]) -> DataFrame:
     """a0, b0, a1, b1 ...: a 128-bit digest of each cell, of its own kind for each column."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    texts = [F.coalesce(F.concat(F.lit("V"), canonical(named(c), kinds[c])), F.lit("N")) for c in cols]
-    return df.select(*(F.xxhash64(F.lit(f"{x}{i}"), t).alias(f"{x}{i}") for i, t in enumerate(texts) for x in "ab"))
+    cells = [named(c) if isinstance(kinds[c], PLAIN) else F.coalesce(F.concat(F.lit("V"), canonical(named(c), kinds[c])), F.lit("N")) for c in cols]
+    return df.select(*(F.xxhash64(F.lit(f"{x}{i}"), c).alias(f"{x}{i}") for i, c in enumerate(cells) for x in "ab"))
 
 
 def _by_set(rows: DataFrame, sets: list[tuple[int, ...]], part: int, whole: bool = False) -> DataFrame:
     """(set, a, b) for each row and set: the set's number and the digest of its cells, of one group in ``part``. With ``whole`` the row's cells too."""
     digest = lambda x, s: reduce(lambda p, q: p.bitwiseXOR(q), (F.col(f"{x}{i}") for i in s))
     told = F.array(*(F.struct(F.lit(k).alias("set"), *(digest(x, s).alias(x) for x in "ab")) for k, s in enumerate(sets)))
-    return rows.select(F.explode(told).alias("x"), *(rows.columns if whole else [])).select("x.*", *(rows.columns if whole else [])).where(F.pmod("a", F.lit(part)) == 0)
+    if len(sets) == 1:
+        found = rows.select(F.lit(0).alias("set"), *(digest(x, sets[0]).alias(x) for x in "ab"), *(rows.columns if whole else []))
+    elif part == 1:
+        found = rows.select(F.explode(told).alias("x"), *(rows.columns if whole else [])).select("x.*", *(rows.columns if whole else []))
+    else:  # numbers alone, until the part is taken
+        found = rows.select(F.posexplode(F.array(*(digest("a", s) for s in sets))).alias("set", "a"), *rows.columns).where(F.pmod("a", F.lit(part)) == 0)
+        found = found.select("set", "a", F.get(F.array(*(digest("b", s) for s in sets)), F.col("set")).alias("b"), *(rows.columns if whole else []))
+    return found.where(F.pmod("a", F.lit(part)) == 0) if part > 1 else found
 
 
-def _repeated(rows: DataFrame, sets: list[tuple[int, ...]], part: int) -> set[int]:
-    """The numbers of the sets that some two rows share all cells of, of one group in ``part``."""
+def _repeated(rows: DataFrame, sets: list[tuple[int, ...]], part: int, at_once: int, dealt: bool = False) -> set[int]:
+    """The numbers of the sets that some two rows share all cells of, of one group in ``part``.
+
+    ``dealt``: hardly any are expected, so digests are dealt out as they are, in place of first counting what each task has of them.
+    """
     found: set[int] = set()
-    for begin in range(0, len(sets), SETS):
-        groups = _by_set(rows, sets[begin : begin + SETS], part).groupBy("set", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    for begin in range(0, len(sets), at_once):
+        groups = _by_set(rows, sets[begin : begin + at_once], part)
+        groups = (groups.repartition("a", "b") if dealt else groups).groupBy("set", "a", "b").agg(F.count(F.lit(1)).alias("n"))
         found |= {begin + r[0] for r in groups.where("n > 1").select("set").distinct().collect()}
     return found
 
@@ -57,22 +73,25 @@ def _distinct(rows: DataFrame) -> list[int]:
 def candidate_keys(df: DataFrame, cols: list[str] | None = None, most: int = 3) -> list[Names]:
     """The smallest sets of up to ``most`` columns that no two rows share, in order. Without two rows the empty set is the key.
 
-    The search is over names, of which the driver holds the lattice; the rows stay distributed.
+    The search is over names, of which the driver holds the lattice; the rows stay distributed. A table of files is read where it lies, anything else is written once.
     """
     cols = list(cols or df.columns)
-    rows = written(_cells(df, cols))
-    n = rows.count()
-    if n < 2:
-        return [()]
-    distinct = _distinct(rows)
+    table = df if kept_in_files(df) else written(df.select(*map(named, cols)))
+    rows = _cells(table, cols)
     keys: list[tuple[int, ...]] = []
-    for size in range(1, most + 1):
-        sets = [s for s in combinations(range(len(cols)), size) if not any(set(k) <= set(s) for k in keys)]
-        sets = [s for s in sets if prod(distinct[i] for i in s) >= n]
-        for part in (PART, 1):
-            again = _repeated(rows, sets, part)
-            sets = [s for k, s in enumerate(sets) if k not in again]
-        keys += sets
+    with short_shuffles(df.sparkSession):
+        n = rows.count()
+        if n < 2:
+            return [()]
+        asked = [(rows, PART, SETS, False), (rows, 1, max(1, min(SETS, DIGESTS // n)), True)]
+        if n > FEW:  # by their place, so that what many rows repeat is among them
+            asked.insert(0, (written(_cells(table.where(F.pmod(F.monotonically_increasing_id(), F.lit(n // FEW)) == 0), cols)), 1, SETS, False))
+        for size in range(1, most + 1):
+            sets = [s for s in combinations(range(len(cols)), size) if not any(set(k) <= set(s) for k in keys)]
+            for some, *how in asked:
+                again = _repeated(some, sets, *how)
+                sets = [s for k, s in enumerate(sets) if k not in again]
+            keys += sets
     return [tuple(cols[i] for i in k) for k in keys]
 
 
