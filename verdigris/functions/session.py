@@ -56,6 +56,12 @@ def kept_in_files(df: DataFrame) -> bool:
     return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and bool(df.inputFiles())
 
 
+def deterministic(df: DataFrame) -> bool:
+    """Whether ``df`` has the same rows whenever it is computed from the same tables."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.deterministic()
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package, once for each Spark context (as ``--py-files`` would)."""
     sc = spark.sparkContext

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DecimalType, DoubleType, FloatType, MapType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, MapType, NumericType, StringType, StructType, TimestampNTZType, TimestampType
+
+#: Types whose values Spark hashes as they are: NaN equals NaN, and zero has no sign.
+PLAIN = (IntegralType, DoubleType, FloatType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 
 def named(column: str) -> Column:

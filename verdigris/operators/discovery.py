@@ -14,17 +14,15 @@ from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, DateType, DoubleType, FloatType, IntegralType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, IntegralType, NumericType
 
 from verdigris.functions.session import kept_in_files, short_shuffles, written
-from verdigris.functions.values import canonical, family, named
+from verdigris.functions.values import PLAIN, canonical, family, named
 
 #: One group in so many is in the part that refutes a set, and sets tested in one pass.
 PART, SETS = 64, 32
 #: About so many rows are asked before a part of all, and so many digests are in a shuffle if one of each row is fewer.
 FEW, DIGESTS = 1 << 16, 1 << 23
-#: Types whose values Spark hashes as they are: NaN equals NaN, and zero has no sign.
-PLAIN = (IntegralType, DoubleType, FloatType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 Names = tuple[str, ...]
 
